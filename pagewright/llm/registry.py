@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import caps, lines
+from pagewright.llm import caps, lines, sigtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (lines, caps)
+MODULES = (sigtree, lines, caps)
 
 
 def queries() -> dict[str, Query]:
