@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import caps, lines, sigtree
+from pagewright.llm import bpe, caps, lines, packing, sigtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (sigtree, lines, caps)
+MODULES = (sigtree, lines, caps, bpe, packing)
 
 
 def queries() -> dict[str, Query]:
