@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, caps, lines, packing, shared, sigtree
+from pagewright.llm import bpe, caps, lines, mainbody, packing, residue, shared, sigtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (sigtree, lines, caps, bpe, packing, shared)
+MODULES = (mainbody, sigtree, lines, caps, bpe, residue, packing, shared)
 
 
 def queries() -> dict[str, Query]:
