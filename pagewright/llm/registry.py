@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, caps, encoding, lines, mainbody, packing, residue, shared, sigtree
+from pagewright.llm import bpe, caps, encoding, history, lines, mainbody, packing, residue, shared, sigtree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (mainbody, sigtree, lines, caps, residue, encoding, bpe, packing, shared)
+MODULES = (mainbody, sigtree, lines, caps, history, residue, encoding, bpe, packing, shared)
 
 
 def queries() -> dict[str, Query]:
