@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def title(html: Column) -> Column:
@@ -93,7 +94,7 @@ class _Parser(HTMLParser):
             parts.append(data)
 
 
-@F.udtf(returnType="kind string, name string, value string")
+@F.udtf(returnType=T.StructType().add("kind", "string").add("name", "string").add("value", "string"))
 class html_parts:  # noqa: N801
     """Rows (kind, name, value) of a page: links (href, text), metas (name, content) and the first header, footer, nav and main (tag, text)."""
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import lexicon as L
 
@@ -93,7 +94,7 @@ def prefilter(url: Column) -> Column:
     return F.struct(bad.isNull().alias("keep"), reason.alias("reason"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _join(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from urllib.parse import urljoin
 

@@ -15,9 +15,7 @@ def postings(docs: DataFrame, key: str, text: str, limit: int | None = None) ->
     """(term, key, tf): one row per term and document. ``limit`` indexes the first characters only. Null texts have no terms."""
     t = F.coalesce(F.col(text), F.lit(""))
     t = F.substring(t, 1, limit) if limit else t
-    # terms are counted within the row: nothing is shuffled
-    counted = F.transform(F.array_distinct(X.tokens(t)), lambda w: F.struct(w.alias("term"), F.size(F.filter(X.tokens(t), lambda v: v == w)).alias("tf")))
-    return docs.select(F.col(key), F.explode(counted).alias("p")).select(F.col("p.term").alias("term"), key, F.col("p.tf").alias("tf"))
+    return docs.select(F.col(key), F.explode(X.tokens(t)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def dictionary(posts: DataFrame) -> DataFrame:
