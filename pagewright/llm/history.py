@@ -45,17 +45,19 @@ def address_key(url: Column) -> Column:
 
 def segments(sigs: DataFrame) -> DataFrame:
     """(seg, cid, first): the segments of each class; seg hashes position and symbol, first is its earliest batch."""
-    return sigs.select(F.posexplode("draws").alias("at", "symbol"), "cid", "first").select(F.xxhash64("at", "symbol").alias("seg"), "cid", "first")
+    return sigs.select(F.posexplode("draws").alias("at", "symbol"), "cid", "first").select(S.root_of("at", "symbol").alias("seg"), "cid", "first")
 
 
-def probe(new: DataFrame, index: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """(cid_a, cid_b): pairs of a new class and an earlier one that share a segment and can reach the threshold.
+def probe(index: DataFrame, since: int, sigs: DataFrame, threshold: float) -> DataFrame:
+    """(cid_a, cid_b): pairs of a class of batch ``since`` or later and one of an earlier batch that share a segment and can reach the threshold.
 
-    ``sigs`` has (cid, n, bits) of all classes. Segments that one batch only holds end before the join.
+    ``index`` has the segments of all classes, ``sigs`` their (cid, n, bits). Segments that one batch only holds end before the join.
     """
-    live = materialize(index.groupBy("seg").agg(F.min("first").alias("lo")).join(new.groupBy("seg").agg(F.max("first").alias("hi")), "seg").filter("lo < hi").select("seg"), "p5-live")
-    old = index.join(live, "seg").select("seg", F.col("cid").alias("cid_b"), F.col("first").alias("first_b"))
-    fresh = new.join(live, "seg", "left_semi").select("seg", F.col("cid").alias("cid_a"), F.col("first").alias("first_a"))
+    live = index.groupBy("seg").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi").select("seg")
+    live = materialize(live, "p5-live")
+    met = materialize(checked_join(index, live, ["seg"], "inner", "cid", S.BROADCAST_ROOTS), "p5-met")
+    old = met.select("seg", F.col("cid").alias("cid_b"), F.col("first").alias("first_b"))
+    fresh = met.filter(F.col("first") >= since).select("seg", F.col("cid").alias("cid_a"), F.col("first").alias("first_a"))
     pairs = fresh.join(old, "seg").filter("first_b < first_a").select("cid_a", "cid_b").distinct()
     one = sigs.select("cid", "n", "bits")
     both = pairs.join(one.select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "cid_a").join(
@@ -88,7 +90,7 @@ def known_by_content(rows: DataFrame, n: int = 3, threshold: float = 0.6, min_wo
     )
     index = materialize(segments(reps), "p5-segments")
     first = reps.select("cid", "first")
-    candidates = probe(index.filter("first > 0"), index, reps, threshold)
+    candidates = probe(index, 1, reps, threshold)
     pairs = S.verified(candidates, rows, "doc_idx", "content", n, threshold)
     # the earliest batch that a class or one of its similar classes has
     earlier = pairs.join(first.select(F.col("cid").alias("cid_b"), F.col("first").alias("first_b")), "cid_b").groupBy("cid_a").agg(F.min("first_b").alias("seen"))
@@ -129,8 +131,7 @@ class SegmentIndex:
         known = self.spark.createDataFrame([], "doc_idx long")
         if no:
             old = {k: self.spark.read.parquet(f"{self.path}/{k}") for k in ("segments", "sigs", "sets", "addresses")}
-            new = segments(sigs)
-            pairs = probe(new, new.unionByName(old["segments"]), sigs.drop("draws").unionByName(old["sigs"]), self.threshold)
+            pairs = probe(segments(sigs).unionByName(old["segments"]), no, sigs.drop("draws").unionByName(old["sigs"]), self.threshold)
             both = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga")), "cid_a").join(old["sets"].select(F.col("key").alias("cid_b"), F.col("grams").alias("gb")), "cid_b")
             common = F.size(F.array_intersect("ga", "gb"))
             near = both.filter(common >= self.threshold * (F.size("ga") + F.size("gb") - common)).select(F.col("cid_a").alias("doc_idx"))

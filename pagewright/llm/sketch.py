@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,10 @@ SCHEMA = "block int, counts binary"
 
 
 def blocks_of(total: np.ndarray) -> pa.RecordBatch:
-    """A task's counters as rows (block, counts); blocks of zeros are left out."""
+    """A task's counters as rows (block, packed counts); blocks of zeros are left out."""
     at = [i for i in range(len(total) // BLOCK) if total[i * BLOCK : (i + 1) * BLOCK].any()]
     return pa.RecordBatch.from_pydict(
-        {"block": pa.array(at, pa.int32()), "counts": pa.array([total[i * BLOCK : (i + 1) * BLOCK].astype(np.uint32).tobytes() for i in at], pa.binary())}
+        {"block": pa.array(at, pa.int32()), "counts": pa.array([zlib.compress(total[i * BLOCK : (i + 1) * BLOCK].astype(np.uint32).tobytes(), 1) for i in at], pa.binary())}
     )
 
 
@@ -27,7 +28,7 @@ def log_sketch(parts: DataFrame, size: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(c.as_buffer(), np.uint32)
+                x = np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32)
                 total[b] = total[b] + x if b in total else x.astype(np.uint64)
         packed = [np.round(8 * np.log2(np.maximum(v, 1) + (v > 0) * 0.1)).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "counts": pa.array(packed, pa.binary())})
