@@ -36,11 +36,17 @@ CHROME_RE = re.compile("|".join(CHROME))
 #: Headings after which lines belong to a list of teasers or comments.
 SECTION_RE = re.compile(r"(?:you may also like|related(?: posts| reading)?|recent posts|elsewhere on this site|recent comments|comments?|\d+ (?:comments|replies|responses))$")
 
-#: Placeholders of templates that were not filled.
-TEMPLATE_RE = re.compile(
+#: Placeholders of templates that were not filled: by their brackets, and by their wording.
+BRACKETS_RE = re.compile(
     r"\{\{[^{}]{0,80}\}\}|\{%[^%]{0,80}%\}|[$#]\{[^{}]{0,80}\}|%%\w{1,60}%%|__\w{1,60}__|@\w{1,30}\.\w{1,30}@|\[\[\w+[:.]\w+\]\]|\[object object\]|<\?(?:=|php).{0,80}?\?>|<%.{0,80}?%>"
-    r"|\bundefined \w+ undefined\b|<\w+ goes here>|\[your \w+ here\]|\b[a-z]+-[a-z]+-tbd\b|\bdear \{\w+\}|\b(?:replace|edit|insert) this placeholder\b|\bclick to edit this\b|\b(?:write|put|type|insert|add) (?:the|your|a) \w+ (?:in this box|here)\b|^insert \w+ text\b|\binsert \w+ text$|\b(?:demo|dummy|sample) \w+ (?:text|line) for the \w+ (?:theme|layout|template)|is yours to change or to throw away|\byour \w+ goes here\b"
+    r"|<\w+ goes here>|\[your \w+ here\]|\bdear \{\w+\}"
 )
+WORDING_RE = re.compile(
+    r"\bundefined \w+ undefined\b|\b[a-z]+-[a-z]+-tbd\b|\b(?:replace|edit|insert) this placeholder\b|\bclick to edit this\b|\b(?:write|put|type|insert|add) (?:the|your|a) \w+ (?:in this box|here)\b|^insert \w+ text\b|\binsert \w+ text$"
+    r"|\b(?:demo|dummy|sample) \w+ (?:text|line) for the \w+ (?:theme|layout|template)|is yours to change or to throw away|\byour \w+ goes here\b"
+)
+#: One of these is in every text that WORDING_RE finds.
+_WORDING = ("undefined ", "-tbd", "placeholder", "to edit", "in this box", " here", " text", " line for", "is yours to")
 
 #: Notices of errors, maintenance, scripts or checks that stand in place of a post: whole lines.
 NOTICES = [
@@ -193,17 +199,26 @@ _MENU_SPLIT = re.compile(r"[^a-z]+")
 
 def is_menu(text: str) -> bool:
     """Whether a normalised line holds menu words only."""
-    if len(text) > 200:
+    if len(text) > 200 or text[-1:] in ".!?":
         return False
     words = [w for w in _MENU_SPLIT.split(text) if w]
     return bool(words) and all(w in MENU_WORDS for w in words)
 
 
 def is_filler(text: str) -> bool:
+    if not any(w.strip(".,") in FILLER_WORDS for w in text.split(" ", 4)[:4]):
+        return False
     words = _WORDS.findall(text)
     return len(words) >= 3 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words)
 
 
+def is_template(text: str) -> bool:
+    """Whether a normalised text holds an unfilled placeholder."""
+    if ("{" in text or "%" in text or "[" in text or "<" in text or "@" in text or "__" in text) and BRACKETS_RE.search(text):
+        return True
+    return any(w in text for w in _WORDING) and bool(WORDING_RE.search(text))
+
+
 def is_residue(text: str) -> bool:
     """Whether a normalised line is a notice, an unfilled template or filler."""
-    return bool(NOTICE_RE.match(text) or TEMPLATE_RE.search(text)) or is_filler(text)
+    return bool(NOTICE_RE.match(text)) or is_template(text) or is_filler(text)

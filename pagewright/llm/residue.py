@@ -32,6 +32,8 @@ FOLDS, SEED = 5, 6
 SHORT_BODY = 160
 #: Share of the body's characters that must score above 0.
 BODY_SHARE = 0.5
+#: Words up to which a block's trigrams count.
+TRIGRAMS = 30
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]{1,3}")
 
 
@@ -64,18 +66,19 @@ def slots(html: str | None, title: str | None, host: str | None) -> list[tuple[s
 
 
 def features(slot: str, text: str) -> np.ndarray:
-    """Feature numbers of a block: word n-grams up to three with borders, slot, length class and phrase features."""
+    """Feature numbers of a block: word n-grams with borders (up to three words in short blocks, two in long ones), slot, length class and phrases."""
     toks = ["^", *("0" if t[0].isdigit() else t for t in _TOKEN.findall(text)), "$"]
     grams = set(toks)
     grams.update(map(" ".join, zip(toks, toks[1:])))
-    grams.update(map(" ".join, zip(toks, toks[1:], toks[2:])))
+    if len(toks) <= TRIGRAMS:
+        grams.update(map(" ".join, zip(toks, toks[1:], toks[2:])))
     size = len(text).bit_length()
     grams.add(f"slot {slot}")
     grams.add(f"size {slot} {size}")
     grams.add(f"ends {text[-1:] in '.!?'} {size}")
     if P.NOTICE_RE.match(text):
         grams.add("phrase notice")
-    if P.TEMPLATE_RE.search(text):
+    if P.is_template(text):
         grams.add("phrase template")
     if P.is_filler(text):
         grams.add("phrase filler")
@@ -161,8 +164,8 @@ def is_found(blocks: list[tuple[str, str]], judged: list[bool]) -> bool:
     return any(j for (s, _), j in zip(blocks, judged) if s != "body") or (size > 0 and sum(n for n, j in body if j) >= BODY_SHARE * size)
 
 
-def judged(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(page_id, host, found, weak): the classifier's verdict on every page, and the weak labels' verdict."""
+def judged(rows: DataFrame, weights: np.ndarray, with_weak: bool = False) -> DataFrame:
+    """(page_id, host, found, weak): the classifier's verdict on every page, and if asked for the weak labels' verdict (else null)."""
     w = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,7 @@ def judged(rows: DataFrame, weights: np.ndarray) -> DataFrame:
                     f = features(s, t)
                     verdict.append(bool(model[f].sum() / np.sqrt(len(f)) + model[-1] > 0))
                 found.append(is_found(blocks, verdict))
-                weak.append(is_found(blocks, weak_labels(blocks, status)))
+                weak.append(is_found(blocks, weak_labels(blocks, status)) if with_weak else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(found, pa.bool_()), pa.array(weak, pa.bool_())], names=["page_id", "host", "found", "weak"])
 
     return _pages(rows).mapInArrow(run, "page_id long, host string, found boolean, weak boolean")
@@ -192,7 +195,7 @@ def p6_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the classifier with the weak labels, on trained and on unseen hosts."""
     rows = table(spark, sf_dir, "crawled_pages")
     unseen = F.pmod(F.crc32(F.coalesce("host", F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
-    out = judged(rows, train(rows)).groupBy(unseen.alias("unseen_host")).agg(
+    out = judged(rows, train(rows), True).groupBy(unseen.alias("unseen_host")).agg(
         F.count("*").alias("pages"), F.count_if(F.col("found") & F.col("weak")).alias("both"), F.count_if("found").alias("found"), F.count_if("weak").alias("weak")
     )
     return out.select("unseen_host", "pages", "found", "weak", (F.col("both") / F.col("found")).alias("precision"), (F.col("both") / F.col("weak")).alias("recall"))
