@@ -30,14 +30,19 @@ def domain_reasons(domain: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
-def matches(text: Column, lower: Column, pattern: str) -> Column:
-    """Number of matches; the pattern only runs where its longest literal occurs."""
-    return F.when(lower.contains(L.literal(pattern)), F.regexp_count(text, F.lit(L.java(pattern)))).otherwise(0)
+def matches(text: Column, lower: Column, patterns: tuple[str, ...], weight: int = 1) -> Column:
+    """Number of matches of all patterns, times ``weight``; a pattern only runs where its longest literal occurs.
+
+    One expression over an array of constants: unrolled, the patterns would outgrow a generated method.
+    """
+    table = F.array(*[F.struct(F.lit(L.literal(p)).alias("holds"), F.lit(L.java(p)).alias("pattern")) for p in patterns])
+    present = F.filter(table, lambda p: lower.contains(p["holds"]))
+    return F.aggregate(present, F.lit(0), lambda n, p: n + F.regexp_count(text, p["pattern"]) * weight)
 
 
 def content_counts(text: Column, lower: Column, groups: tuple[L.Group, ...] = L.CONTENT) -> list[tuple[L.Group, Column]]:
     """Matches per category. ``lower`` is ``lower(text)``, computed once by the caller."""
-    return [(g, sum((matches(text, lower, p) for p in g.patterns), F.lit(0))) for g in groups]
+    return [(g, matches(text, lower, g.patterns)) for g in groups]
 
 
 def structural_html(html: Column, url: Column) -> Column:

@@ -217,7 +217,7 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(old, new, "url", ["fetched_at", "page_id"]).select("url", "page_id", "status_code")
 
 
-_HREF = r"regexp_extract_all(html_content, '(?is)<a\s[^>]*?href\s*=\s*[""'']([^""'']*)[""'']', 1)".replace('""', '"')
+_HREF = r'''regexp_extract_all(html_content, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)'''
 _NET = "regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 
 

@@ -39,10 +39,13 @@ def metrics_popular_top10(spark: SparkSession, d: str) -> DataFrame:
     return R.popular(table(spark, d, "search_log"))
 
 
-@query("SELECT event_id, round(avg(search_time_ms) OVER (ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM search_log")
+@query("""SELECT event_id, round(avg(us) OVER (ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) / 1000, 6) AS moving_average
+    FROM (SELECT event_id, CAST(round(search_time_ms * 1000) AS BIGINT) AS us FROM search_log)""")
 def metrics_moving_avg_1000(spark: SparkSession, d: str) -> DataFrame:
-    m = moving_average(table(spark, d, "search_log").select("event_id", "search_time_ms"), "search_time_ms", ["event_id"], 1000)
-    return m.select("event_id", F.round("moving_average", 6).alias("moving_average"))
+    # whole microseconds, so that the sums are exact in any order
+    us = table(spark, d, "search_log").select("event_id", F.round(F.col("search_time_ms") * 1000).cast("long").alias("us"))
+    m = moving_average(us, "us", ["event_id"], 1000)
+    return m.select("event_id", F.round(F.col("moving_average") / 1000, 6).alias("moving_average"))
 
 
 @query("SELECT list(search_time_ms ORDER BY event_id) AS latencies FROM (SELECT event_id, search_time_ms FROM search_log WHERE search_time_ms IS NOT NULL ORDER BY event_id DESC LIMIT 10)")

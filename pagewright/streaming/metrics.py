@@ -15,7 +15,7 @@ def hourly(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
     Events later than the watermark are dropped; rows without a time are left out.
     """
-    timed = log.filter("searched_at is not null").withWatermark("searched_at", delay)
+    timed = log.filter("searched_at is not null").withColumn("searched_at", F.col("searched_at").cast("timestamp")).withWatermark("searched_at", delay)
     g = timed.groupBy(F.window("searched_at", "1 hour").alias("w")).agg(
         F.count("*").alias("searches"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failed"), F.round(F.sum("search_time_ms"), 3).alias("total_ms")
     )
