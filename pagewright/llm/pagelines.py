@@ -58,7 +58,7 @@ NOTICES = [
     r"(?:nothing|no (?:such )?(?:file|page|post|entry)) (?:matches|is stored under|answers to|lives at) /",
     # outages and maintenance
     r"service (?:temporarily unavailable|notice)", r"we are down for maintenance", r"(?:this (?:site|page)|the (?:blog|site|server)|\S+\.\w+) is (?:offline|closed for repairs|being moved|down for maintenance)\b.{0,30}$", r"bandwidth limit exceeded", r"account suspended", r"too many requests", r"this domain is parked",
-    r"(?:connection|query|request|script) (?:failed|was refused|timed out) after \d+", r"(?:fatal error|warning|notice|parse error|deprecated): ", r"traceback\b", r"error(?: establishing a database connection)?$", r"\d{3} (?:forbidden|bad gateway|internal server error)", r"(?:the machine|something) went wrong\b",
+    r"(?:connection|query|request|script) (?:failed|was refused|timed out) after \d+", r"(?:fatal error|warning|notice|parse error|deprecated): ", r"(?:\w+ ){1,3}went wrong (?:on our side|behind the scenes|while)", r"traceback\b", r"error(?: establishing a database connection)?$", r"\d{3} (?:forbidden|bad gateway|internal server error)", r"(?:the machine|something) went wrong\b",
     # scripts and checks
     r"(?:please )?(?:enable|allow|switch on|turn on|activate) (?:js|javascript|scripts?|scripting)\b.{0,60}$", r"(?:this (?:app|site|page)|the \w+|\S+\.\w+) (?:needs|requires|relies on|works best with) (?:javascript|js|scripting|scripts|client-side scripts)\b", r"javascript is (?:disabled|off|required)", r"you need to turn on scripts", r"your browser is too old or has scripts blocked", r"bitte aktivieren sie (?:skripte|javascript)", r"one moment while we verify", r"checking (?:your browser|that you are human)", r"(?:just a moment|please wait|hang on|loading)(?:\W*$|\b.{0,30}$)",
     # starter texts
@@ -77,7 +77,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[^>
 _ATTR = re.compile(r"""(?:id|class)\s*=\s*["']?([^"'>]*)""", re.I)
 _HIDDEN = frozenset(["head", "script", "style", "noscript", "template"])
 _VOID = frozenset(["br", "hr", "img", "meta", "link", "input", "col", "wbr", "source", "area", "base", "embed"])
-_INLINE = frozenset(["a", "b", "i", "em", "strong", "span", "code", "small", "u", "s", "sub", "sup", "abbr", "cite", "q", "kbd", "mark", "time", "font", "img", "wbr"])
+_INLINE = frozenset(["a", "b", "i", "em", "strong", "code", "small", "u", "s", "sub", "sup", "abbr", "cite", "q", "kbd", "mark", "time", "font", "img", "wbr"])
 _BOX = frozenset(["body", "div", "section", "aside", "td", "th", "main", "article", "header", "footer", "nav", "center", "form"])
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "h1": ("p",), "h2": ("p",), "h3": ("p",), "h4": ("p",), "div": ("p",), "td": ("td", "p"), "tr": ("td", "tr", "p"), "hr": ("p",)}
 
