@@ -44,8 +44,8 @@ def address_key(url: Column) -> Column:
 
 
 def segments(sigs: DataFrame) -> DataFrame:
-    """(seg, cid, first): the segments of each class; seg hashes position and symbol, first is its earliest batch."""
-    return sigs.select(F.posexplode("draws").alias("at", "symbol"), "cid", "first").select(S.root_of("at", "symbol").alias("seg"), "cid", "first")
+    """(seg, cid, first, n): the segments of each class; seg hashes position and symbol, first is its earliest batch, n its size."""
+    return sigs.select(F.posexplode("draws").alias("at", "symbol"), "cid", "first", "n").select(S.root_of("at", "symbol").alias("seg"), "cid", "first", "n")
 
 
 def probe(index: DataFrame, since: int, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -56,9 +56,10 @@ def probe(index: DataFrame, since: int, sigs: DataFrame, threshold: float) -> Da
     live = index.groupBy("seg").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi").select("seg")
     live = materialize(live, "p5-live")
     met = materialize(checked_join(index, live, ["seg"], "inner", "cid", S.BROADCAST_ROOTS), "p5-met")
-    old = met.select("seg", F.col("cid").alias("cid_b"), F.col("first").alias("first_b"))
-    fresh = met.filter(F.col("first") >= since).select("seg", F.col("cid").alias("cid_a"), F.col("first").alias("first_a"))
-    pairs = fresh.join(old, "seg").filter("first_b < first_a").select("cid_a", "cid_b").distinct()
+    old = met.select("seg", F.col("cid").alias("cid_b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
+    fresh = met.filter(F.col("first") >= since).select("seg", F.col("cid").alias("cid_a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"))
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6
+    pairs = fresh.join(old, "seg").filter((F.col("first_b") < F.col("first_a")) & fits).select("cid_a", "cid_b").distinct()
     one = sigs.select("cid", "n", "bits")
     both = pairs.join(one.select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "cid_a").join(
         one.select(F.col("cid").alias("cid_b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "cid_b"
@@ -84,7 +85,7 @@ def known_by_content(rows: DataFrame, n: int = 3, threshold: float = 0.6, min_wo
     )
     members = materialize(checked_join(sigs.select("doc_idx", "batch_no", "sum", "n"), multi, ["sum", "n"], "inner", "doc_idx").select("doc_idx", "batch_no", "cid", "first"), "p5-members")
     reps = (
-        sigs.join(members.select("doc_idx", "cid", "first"), "doc_idx", "left")
+        checked_join(sigs, members.select("doc_idx", "cid", "first"), ["doc_idx"], "left", "doc_idx", S.BROADCAST_IDS)
         .filter("cid is null or cid = doc_idx")
         .select(F.col("doc_idx").alias("cid"), F.coalesce("first", "batch_no").alias("first"), "n", "draws", "bits")
     )

@@ -118,9 +118,13 @@ def page_lines(source: str | None) -> list[Line]:
                 elif hidden is None:
                     tag = stack[-1][0] if stack else "body"
                     linked = any(t == "a" for t, _ in stack[-3:])
+                    loose = not stack or bool(stack[-1][1])  # text right in a box: every line is a block of its own
                     for i, part in enumerate(tok.split("\n")):
                         if part and not part.isspace():
-                            at = texts.setdefault(line + i, [[], boxes[-1], tag, 0, 0, block])
+                            own = -line - i if loose else block
+                            at = texts.setdefault(line + i, [[], boxes[-1], tag, 0, 0, own])
+                            if at[5] != own and at[0]:
+                                at[0].append(" ")
                             at[0].append(part)
                             n = len(part.strip())
                             at[3] += n
