@@ -121,3 +121,18 @@ def literal(pattern: str) -> str:
     """The longest lower-case literal that every match of the pattern holds."""
     plain = re.sub(r"\([^)]*\)", "|", pattern.removeprefix("B").removesuffix("B")).lower()
     return max((x.replace("\\", "") for x in re.split(r"\\s[*+]|\||\[[^]]*\]", plain)), key=len)
+
+
+def single_word(pattern: str) -> str | None:
+    """The word of a pattern that is one word between borders."""
+    m = re.fullmatch(r"B([A-Za-z0-9_]+)B", pattern)
+    return m.group(1).lower() if m else None
+
+
+def markers(pattern: str) -> tuple[str, ...]:
+    """Words of which every match of a phrase pattern holds at least one: the shortest list of alternatives, or the longest word."""
+    groups = re.findall(r"\(([^)]*)\)", pattern)
+    if groups:
+        return tuple(sorted({re.split(r"\\s[+*]", alt)[0].lower() for alt in groups[0].split("|")}))
+    plain = re.split(r"\\s[+*]|-", pattern.removeprefix("B").removesuffix("B"))
+    return (max(plain, key=len).lower(),)

@@ -30,19 +30,32 @@ def domain_reasons(domain: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
-def matches(text: Column, lower: Column, patterns: tuple[str, ...], weight: int = 1) -> Column:
-    """Number of matches of all patterns, times ``weight``; a pattern only runs where its longest literal occurs.
+def words(text: Column) -> Column:
+    """Lower-case runs of ASCII letters, digits and underscores; what the content patterns are looked up by."""
+    return F.split(F.lower(text), "[^a-z0-9_]+")
 
-    One expression over an array of constants: unrolled, the patterns would outgrow a generated method.
+
+def matches(text: Column, tokens: Column, patterns: tuple[str, ...]) -> Column:
+    """Number of matches of all patterns. ``tokens`` is ``words(text)``, computed once by the caller.
+
+    Patterns of one word are counted among the tokens. Phrases run as regular expressions, and only in texts
+    that hold one of their marker words.
     """
-    table = F.array(*[F.struct(F.lit(L.literal(p)).alias("holds"), F.lit(L.java(p)).alias("pattern")) for p in patterns])
-    present = F.filter(table, lambda p: lower.contains(p["holds"]))
-    return F.aggregate(present, F.lit(0), lambda n, p: n + F.regexp_count(text, p["pattern"]) * weight)
+    single = [w for p in patterns if (w := L.single_word(p))]
+    table = [(L.markers(p), L.java(p)) for p in patterns if not L.single_word(p)]
+    out = F.size(F.filter(tokens, lambda w: w.isin(single))) if single else F.lit(0)
+    if table:
+        markers = sorted({m for ms, _ in table for m in ms})
+        present = F.array_intersect(tokens, F.array(*map(F.lit, markers)))
+        rows = F.array(*[F.struct(F.array(*map(F.lit, ms)).alias("markers"), F.lit(p).alias("pattern")) for ms, p in table])
+        likely = F.filter(rows, lambda r: F.arrays_overlap(r["markers"], present))
+        out = out + F.when(F.size(present) == 0, 0).otherwise(F.aggregate(likely, F.lit(0), lambda n, r: n + F.regexp_count(text, r["pattern"])))
+    return out
 
 
-def content_counts(text: Column, lower: Column, groups: tuple[L.Group, ...] = L.CONTENT) -> list[tuple[L.Group, Column]]:
-    """Matches per category. ``lower`` is ``lower(text)``, computed once by the caller."""
-    return [(g, matches(text, lower, g.patterns)) for g in groups]
+def content_counts(text: Column, tokens: Column, groups: tuple[L.Group, ...] = L.CONTENT) -> list[tuple[L.Group, Column]]:
+    """Matches per category. ``tokens`` is ``words(text)``, computed once by the caller."""
+    return [(g, matches(text, tokens, g.patterns)) for g in groups]
 
 
 def structural_html(html: Column, url: Column) -> Column:
@@ -71,11 +84,11 @@ def page_filter(domain: Column, content: Column, structural: Column) -> Column:
 
 
 def lexicon_tenths(text: Column, lower: Column) -> Column:
-    """Sum of the structural patterns present, in tenths; null text counts 0."""
-    total = F.lit(0)
-    for pattern, w in (*L.STRUCTURE_PERSONAL.items(), *L.STRUCTURE_CORPORATE.items()):
-        total = total + F.when(lower.contains(L.literal(pattern)) & text.rlike(L.java(pattern)), w).otherwise(0)
-    return total
+    """Sum of the structural patterns present, in tenths; null text counts 0. A pattern only runs where its longest literal occurs."""
+    both = (*L.STRUCTURE_PERSONAL.items(), *L.STRUCTURE_CORPORATE.items())
+    table = F.array(*[F.struct(F.lit(L.literal(p)).alias("holds"), F.lit(L.java(p)).alias("pattern"), F.lit(w).alias("w")) for p, w in both])
+    likely = F.filter(table, lambda r: lower.contains(r["holds"]))
+    return F.when(text == "", 0).otherwise(F.coalesce(F.aggregate(likely, F.lit(0), lambda n, r: n + F.when(F.regexp_like(text, r["pattern"]), r["w"]).otherwise(0)), F.lit(0)))
 
 
 def link_tenths(links: Column) -> Column:

@@ -28,8 +28,8 @@ OBSERVED, INTENDED = Thresholds(), Thresholds(domain=0.9)
 
 def content_scores(pages: DataFrame, key: str, text: str, groups: tuple[L.Group, ...] = L.CONTENT) -> DataFrame:
     """(key, one count per category, content_score). Null text counts as ''."""
-    base = pages.select(key, F.coalesce(text, F.lit("")).alias("_t")).withColumn("_l", F.lower("_t"))
-    counted = base.select(key, *[c.alias(g.name) for g, c in S.content_counts(F.col("_t"), F.col("_l"), groups)])
+    base = pages.select(key, F.coalesce(text, F.lit("")).alias("_t")).withColumn("_w", S.words(F.col("_t")))
+    counted = base.select(key, *[c.alias(g.name) for g, c in S.content_counts(F.col("_t"), F.col("_w"), groups)])
     total = sum((F.col(g.name) * g.weight for g in groups), F.lit(0))
     return counted.withColumn("content_score", total)
 
@@ -39,10 +39,12 @@ def filtered(pages: DataFrame, key: str, url: str, text: str | None, html: str |
     t = F.coalesce(F.col(text), F.lit("")) if text else F.lit("")
     h = F.coalesce(F.col(html), F.lit("")) if html else F.lit("")
     u = F.coalesce(F.col(url), F.lit(""))
-    base = pages.select(F.col(key), u.alias("_u"), t.alias("_t"), h.alias("_h")).withColumn("_l", F.lower("_t"))
-    content = sum((c * g.weight for g, c in S.content_counts(F.col("_t"), F.col("_l"))), F.lit(0))
+    base = pages.select(F.col(key), u.alias("_u"), t.alias("_t"), h.alias("_h")).withColumn("_w", S.words(F.col("_t")))
+    content = sum((c * g.weight for g, c in S.content_counts(F.col("_t"), F.col("_w"))), F.lit(0))
     structural = F.when(F.col("_h") != "", S.structural_html(F.col("_h"), F.col("_u"))).otherwise(0)
-    parts = base.select(key, S.domain_score(U.canonical_domain(F.col("_u"))).alias("domain_score"), content.alias("content_score"), structural.alias("structural_score"))
+    scores = F.struct(S.domain_score(U.canonical_domain(F.col("_u"))).alias("domain_score"), content.alias("content_score"), structural.alias("structural_score"))
+    # a generator keeps later filters from copying the long expressions
+    parts = base.select(key, F.inline(F.array(scores)))
     return parts.withColumn("r", S.page_filter(F.col("domain_score"), F.col("content_score"), F.col("structural_score"))).select(*parts.columns, "r.*")
 
 
@@ -54,12 +56,12 @@ def structural_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
     h = F.coalesce(F.col(html), F.lit(""))
     base = pages.select(F.col(key), h.alias("_h"))
     texts = base.select(key, "_h", H.strip_tags(F.col("_h")).alias("_text"), *[H.strip_tags(H.section(F.col("_h"), s)).alias(f"_{s}") for s in ("header", "nav", "main", "footer")])
-    scored = texts.select(
-        key,
+    scores = F.struct(
         *[S.lexicon_tenths(F.col(f"_{s}"), F.lower(f"_{s}")).alias(s) for s in ("text", "header", "nav", "main", "footer")],
         S.link_tenths(H.anchors(F.col("_h"))).alias("links"),
         S.meta_tenths(H.metas(F.col("_h"))).alias("metas"),
     )
+    scored = texts.select(key, F.inline(F.array(scores)))
     total = sum((F.col(c) for c in scored.columns if c != key), F.lit(0))
     return scored.withColumn("total", total)
 
