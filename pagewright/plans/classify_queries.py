@@ -11,7 +11,7 @@ from pagewright.functions import scoring as S
 from pagewright.functions import urls as U
 from pagewright.operators import classify as C
 from pagewright.operators import crawl, ingest, learn
-from pagewright.plans.runtime import table
+from pagewright.plans.runtime import spread, table
 from pagewright.plans.scalar_queries import CANONICAL, WS, quoted
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -64,7 +64,7 @@ def domain_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT doc_idx, {', '.join(f"CAST({_count_sql('t', g)} AS INT) AS {g.name}" for g in L.CONTENT)}, CAST({_content_sql('t')} AS INT) AS content_score
     FROM (SELECT doc_idx, coalesce(content, '') AS t FROM search_index)""")
 def content_score(spark: SparkSession, d: str) -> DataFrame:
-    return C.content_scores(table(spark, d, "search_index"), "doc_idx", "content")
+    return C.content_scores(spread(table(spark, d, "search_index").select("doc_idx", "content")), "doc_idx", "content")
 
 
 #: A lexicon whose patterns do occur in the test texts.
@@ -74,7 +74,7 @@ FIXTURE = (L.Group("articles", 1, (r"BtheB", r"Bthe\s+(inbox|drum)B")), L.Group(
 @query(f"""SELECT doc_id, {', '.join(f"CAST({_count_sql('t', g)} AS INT) AS {g.name}" for g in FIXTURE)}, CAST({' + '.join(f"{_count_sql('t', g)} * {g.weight}" for g in FIXTURE)} AS INT) AS content_score
     FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def content_score_fixture(spark: SparkSession, d: str) -> DataFrame:
-    return C.content_scores(table(spark, d, "documents"), "doc_id", "text", FIXTURE)
+    return C.content_scores(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", FIXTURE)
 
 
 _STRUCT_HTML = r"""(CASE WHEN h = '' THEN 0 ELSE 2 * CAST(regexp_matches(h, '(?is)<link[^>]*type\s*=\s*["'']application/rss\+xml["'']') AS INT)
@@ -91,12 +91,12 @@ _FILTERED = f"""(SELECT *, CASE WHEN domain_score >= 5 THEN true WHEN domain_sco
 
 @query(f"SELECT page_id, domain_score, content_score, structural_score, is_personal, CAST(confidence AS DOUBLE) AS confidence, score, stage FROM {_FILTERED}")
 def filter_page(spark: SparkSession, d: str) -> DataFrame:
-    return C.filtered(table(spark, d, "crawled_pages"), "page_id", "url", "html_content", "html_content")
+    return C.filtered(spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")), "page_id", "url", "html_content", "html_content")
 
 
 @query(f"SELECT is_personal, count(*) AS n FROM {_FILTERED} WHERE confidence >= 0.7 GROUP BY 1")
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
-    pages = C.filtered(table(spark, d, "crawled_pages"), "page_id", "url", "html_content", "html_content")
+    pages = C.filtered(spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")), "page_id", "url", "html_content", "html_content")
     return C.weak_labels(pages).groupBy("is_personal").agg(F.count("*").alias("n"))
 
 
@@ -131,19 +131,19 @@ _STRUCTURE = f"""(SELECT *, text + header + nav + main + footer + links + metas
 
 @query(f"SELECT * FROM {_STRUCTURE}")
 def structural_sections(spark: SparkSession, d: str) -> DataFrame:
-    return C.structural_parts(table(spark, d, "crawled_pages"), "page_id", "html_content")
+    return C.structural_parts(spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")), "page_id", "html_content")
 
 
 @query(f"SELECT page_id, CASE WHEN total > 5 THEN 1 WHEN total < -5 THEN 0 END AS prediction, least(abs(total) / 20.0, 1.0) AS confidence FROM {_STRUCTURE}")
 def structural_decision(spark: SparkSession, d: str) -> DataFrame:
-    parts = C.structural_parts(table(spark, d, "crawled_pages"), "page_id", "html_content")
+    parts = C.structural_parts(spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")), "page_id", "html_content")
     return parts.select("page_id", S.structural_decision(F.col("total")).alias("r")).select("page_id", "r.*")
 
 
 @query()
 def structural_sections_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Sections cut by a real parser."""
-    return C.section_scores_parsed(table(spark, d, "crawled_pages"), "page_id", "html_content")
+    return C.section_scores_parsed(spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")), "page_id", "html_content")
 
 
 _IND = " UNION ALL ".join(
@@ -155,7 +155,7 @@ _IND = " UNION ALL ".join(
 
 @query(f"WITH t AS (SELECT page_id, {_strip_sql('html_content')} AS x FROM crawled_pages WHERE html_content IS NOT NULL) SELECT page_id, type, pattern, CAST(score AS DOUBLE) AS score FROM ({_IND})")
 def structural_indicators(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "crawled_pages").filter("html_content is not null").select("page_id", H.strip_tags(F.col("html_content")).alias("x")).withColumn("low", F.lower("x"))
+    t = spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")).filter("html_content is not null").select("page_id", H.strip_tags(F.col("html_content")).alias("x")).withColumn("low", F.lower("x"))
     return t.select("page_id", F.explode(S.indicators(F.col("x"), F.col("low"))).alias("i")).select("page_id", "i.*")
 
 
@@ -187,7 +187,7 @@ _S = f"(SELECT page_id, CASE WHEN total > 5 THEN 1 WHEN total < -5 THEN 0 END AS
     CASE WHEN sp IS NOT NULL AND sc >= 0.5 THEN 'structural' ELSE 'weighted_vote' END AS stage_used
     FROM (SELECT *, 30 + CASE WHEN sp IS NULL THEN 0 ELSE 15 END AS w FROM {_FILTERED} JOIN {_S} USING (page_id))""")
 def cascade(spark: SparkSession, d: str) -> DataFrame:
-    r = C.classify(table(spark, d, "crawled_pages"), "page_id", "url", "html_content", "html_content")
+    r = C.classify(spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")), "page_id", "url", "html_content", "html_content")
     return r.select("page_id", "is_personal", F.round("confidence", 6).alias("confidence"), "stage_used")
 
 

@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer partitions than that; for costly work on a small input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(cores) if len(files) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by all executors; a temporary one only in local mode without a setting."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,7 @@ from pagewright.operators import index as I
 from pagewright.operators import ingest, reports
 from pagewright.operators import vectors as V
 from pagewright.operators.rows import keep_first
-from pagewright.plans.runtime import table
+from pagewright.plans.runtime import spread, table
 from pagewright.plans.scalar_queries import WS, with_normal_url
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -94,7 +94,7 @@ def search_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT key, first(url ORDER BY doc_idx) AS url, min(doc_idx) AS doc_idx, count(*) AS n FROM ({with_normal_url('search_index', 'doc_idx, url')}) WHERE key <> '' GROUP BY key")
 def dedup_url_api(spark: SparkSession, d: str) -> DataFrame:
-    keyed = table(spark, d, "search_index").select("doc_idx", "url", U.normalize(F.col("url")).alias("key")).filter("key <> ''")
+    keyed = spread(table(spark, d, "search_index").select("doc_idx", "url")).select("doc_idx", "url", U.normalize(F.col("url")).alias("key")).filter("key <> ''")
     n = keyed.groupBy("key").agg(F.count("*").alias("n"))
     return keep_first(keyed, ["key"], [F.col("doc_idx")]).join(n, "key").select("key", "url", "doc_idx", "n")
 
