@@ -35,6 +35,26 @@ def _other_hosts(links: DataFrame, key: str) -> DataFrame:
     return links.filter(~skipped & (host != F.col("host"))).select(key, "link").distinct()
 
 
+def links_of_subpages(pages: DataFrame, mark: str, texts: tuple[str, ...] = (), key: str = "page_id", url: str = "url", html: str = "html_content") -> DataFrame:
+    """(key, link): absolute links found on the subpages that a page's marked anchors lead to.
+
+    An anchor is marked if ``mark``, a regular expression, matches its target or text in lower case; a subpage is a row of ``pages``
+    under the resolved target. With ``texts`` only links whose text holds one of them count. An about page is
+    ``mark='about'`` with :data:`ABOUT_TEXTS`, a page of favourites ``mark='favorites?|reading'`` without texts.
+    """
+    a = pages.select(key, F.col(url).alias("base"), F.explode(H.anchors(F.col(html))).alias("a")).select(key, "base", "a.*")
+    marked = a.filter(F.lower("href").rlike(mark) | F.col("text").rlike(mark))
+    targets = marked.select(key, F.regexp_replace(U.absolute(F.col("base"), F.col("href")), "#.*$", "").alias("base")).distinct()
+    wanted = a.filter(F.col("href").startswith("http"))
+    if texts:
+        wanted = wanted.filter(reduce(lambda x, y: x | y, [F.col("text").contains(t) for t in texts]))
+    return targets.join(wanted.select("base", F.col("href").alias("link")), "base").select(key, "link").distinct()
+
+
+#: Words in the texts of links on an about page that may lead to a person's other sites.
+ABOUT_TEXTS = ("blog", "site", "personal", "writing", "author")
+
+
 def outgoing_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html_content") -> DataFrame:
     """(key, link): distinct absolute links to other hosts that may be blogs."""
     a = pages.select(key, U.raw_netloc(F.col(url)).alias("host"), F.explode(H.hrefs(F.col(html))).alias("link")).filter(F.col("link").startswith("http"))

@@ -239,6 +239,12 @@ def blogroll_links(spark: SparkSession, d: str) -> DataFrame:
     return crawl.blogroll_links(table(spark, d, "crawled_pages"))
 
 
+@query()
+def about_page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links on the about pages that pages lead to."""
+    return crawl.links_of_subpages(table(spark, d, "crawled_pages"), "about", crawl.ABOUT_TEXTS)
+
+
 @query(f"""SELECT host, 'https://' || host || f AS feed FROM (SELECT DISTINCT {_NET.format(x='url')} AS host FROM crawled_pages), (SELECT unnest({quoted(L.FEED_PATHS)}) AS f) WHERE host <> ''
     UNION SELECT host, CASE WHEN starts_with(h, '/') THEN 'https://' || host || h ELSE h END FROM (SELECT host, regexp_extract(tag, '(?is)href\\s*=\\s*["'']([^"'']+)["'']', 1) AS h FROM (
       SELECT {_NET.format(x='url')} AS host, unnest(regexp_extract_all(html_content, '(?is)(<link\\b[^>]*type\\s*=\\s*["'']application/(?:rss|atom)\\+xml["''][^>]*>)', 1)) AS tag FROM crawled_pages)) WHERE h <> '' AND host <> ''""")

@@ -148,6 +148,19 @@ def test_crawl_order(spark):
         assert got == brute(limit, per)
 
 
+def test_links_of_subpages(spark):
+    rows = [
+        (1, "https://a.example/", '<a href="/about">Me</a> <a href="/fav">Favorite reads</a> <a href="/x">x</a>'),
+        (2, "https://a.example/about", '<a href="https://b.example/">my other blog</a> <a href="https://c.example/">shop</a>'),
+        (3, "https://a.example/fav", '<a href="https://d.example/">d</a> <a href="/about">about</a>'),
+        (4, "https://a.example/x", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html_content string")
+    about = {tuple(r) for r in crawl.links_of_subpages(pages, "about", crawl.ABOUT_TEXTS).collect()}
+    assert about == {(1, "https://b.example/"), (3, "https://b.example/")}
+    assert {tuple(r) for r in crawl.links_of_subpages(pages, "favorites?|reading|/fav").collect()} == {(1, "https://d.example/")}
+
+
 def test_validation(spark):
     rows = [(1, 1)] * 3 + [(0, 1)] * 2 + [(1, 0)] + [(0, 0)] * 4 + [(None, None)]
     r = reports.validation(spark.createDataFrame(rows, "t int, p int"), "t", "p").first()
