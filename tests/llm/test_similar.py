@@ -69,6 +69,14 @@ def test_third_of_rows_alike(spark):
     assert got == brute(texts) and len(got) == 30 * 29 // 2
 
 
+def test_pairs_without_broadcasts(spark, monkeypatch):
+    for name in ("BROADCAST_ROOTS", "BROADCAST_IDS"):
+        monkeypatch.setattr(sigtree, name, 0)
+    texts = corpus(3, 30)
+    pairs, members = sigtree.similar(frame(spark, texts))
+    assert {(r.a, r.b) for r in sigtree.expanded(pairs, members, "doc_idx").collect()} == brute(texts)
+
+
 def test_nothing_similar(spark):
     for texts in ({}, {1: None, 2: ""}, {1: "a b c"}):
         pairs, members = sigtree.similar(frame(spark, texts))
