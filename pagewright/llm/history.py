@@ -16,7 +16,6 @@ Addresses are compared by their normal form; rows with equal n-gram sets by the
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +76,7 @@ def known_by_address(rows: DataFrame) -> DataFrame:
 
 def known_by_content(rows: DataFrame, n: int = 3, threshold: float = 0.6, min_words: int = 20) -> DataFrame:
     """doc_idx of rows whose content is similar to that of a row of an earlier batch."""
-    sketch = S.frequency_sketch(rows, "content", S.DRAW_N)
-    sigs = materialize(S.signatures(rows, "doc_idx", "content", ["batch_no"], n, min_words, sketch), "p5-sigs")
+    sigs = materialize(S.signatures(rows, "doc_idx", "content", ["batch_no"], n, min_words), "p5-sigs")
     # a class of equal sets: its smallest row stands for it, its earliest batch decides
     multi = materialize(
         sigs.groupBy("sum", "n").agg(F.min("doc_idx").alias("cid"), F.min("batch_no").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m"), "p5-classes"
@@ -119,13 +117,12 @@ class SegmentIndex:
     def __init__(self, spark: SparkSession, history: DataFrame, n: int = 3, threshold: float = 0.6, min_words: int = 20):
         self.spark, self.n, self.threshold, self.min_words = spark, n, threshold, min_words
         self.path = scratch_path(spark, "segment-index")
-        self.sketch: np.ndarray = S.frequency_sketch(history, "content", S.DRAW_N)
         self.batches = 0
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """doc_idx of the rows of ``batch`` (doc_idx, url, content) whose address or similar content is accepted already."""
         no = self.batches
-        sigs = S.signatures(batch, "doc_idx", "content", [], self.n, self.min_words, self.sketch)
+        sigs = S.signatures(batch, "doc_idx", "content", [], self.n, self.min_words)
         sigs = materialize(sigs.select(F.col("doc_idx").alias("cid"), F.lit(no).alias("first"), "n", "draws", "bits"), "p5-new")
         sets = materialize(S.gram_sets(batch.join(sigs.select(F.col("cid").alias("doc_idx")), "doc_idx", "left_semi"), "doc_idx", "content", self.n), "p5-new-sets")
         addresses = batch.select("doc_idx", address_key(F.col("url")).alias("address")).filter("address is not null")

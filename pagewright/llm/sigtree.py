@@ -1,16 +1,16 @@
 """Problem 2: groups of near-duplicate records, by a forest of signature trees.
 
 1. Rows with the same set of word n-grams collapse into a class; only its smallest row goes on.
-2. Every class draws ``DRAWS`` longer n-grams, rare ones first: weighted minwise sampling, weights
-   from a fixed-size sketch of document frequencies counted over all rows. Two classes
-   that share a draw meet in one tree; the draws are the roots of the forest.
+2. Every class draws ``BANDS`` times ``DEPTH`` of its n-grams, each of them as likely as any
+   other: minwise sampling. Two classes that agree in the ``DEPTH`` draws of a band meet in one
+   tree; the bands' values are the roots of the forest.
 3. A record carries a bitmap of its hashed n-grams and its size. A tree's inner nodes hold
    the OR of their records' bitmaps and their range of sizes; the dual traversal drops pairs
    of nodes, then pairs of records, whose largest possible overlap is too small.
 4. What is left is verified on the whole n-gram sets.
 
-A pair whose drawn n-grams have the weighted similarity w misses every tree with probability
-(1 - w)^DRAWS (1e-6 at 0.5, where edits spread evenly leave a pair of similarity 0.6); everything
+A pair of similarity J agrees in a draw with probability J, whatever other records there are,
+and misses every tree with probability (1 - J^DEPTH)^BANDS: 1.8e-7 at 0.6, 2e-14 at 0.7; everything
 found is exact. Trees of up to ``LEAF`` records are one leaf. Larger
 ones are split by size and by share, so a root that a third of all rows share is spread
 over tasks, and its node pairs are joined only where the bound holds.
@@ -30,11 +30,8 @@ from pagewright.llm.sketch import SCHEMA, blocks_of, log_sketch
 from pagewright.plans.joins import checked_join, salted_join
 from pagewright.plans.runtime import materialize, table
 
-DRAWS = 20
-#: Words of the n-grams that are drawn: longer ones are rarer, so unrelated records seldom share a draw.
-DRAW_N = 5
-#: Size of the document-frequency sketch: 2^SKETCH_BITS counters, broadcast as one byte each.
-SKETCH_BITS = 21
+#: Bands, and draws in each: more draws keep unrelated records with common phrases apart, more bands let no pair at the threshold slip.
+BANDS, DEPTH = 112, 4
 #: 64-bit words of a record's bitmap.
 WORDS = 8
 LEAF = 64
@@ -42,43 +39,21 @@ LEAF = 64
 BROADCAST_IDS = 250_000
 #: Roots shared by several records that are broadcast (16 bytes each).
 BROADCAST_ROOTS = 600_000
-_SEEDS = G.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+#: Size of the bitmap that sifts the postings before they are shuffled, beyond that.
+FILTER_BITS = 24
+_SEEDS = G.mix(np.arange(1, BANDS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def frequency_sketch(rows: DataFrame, text: str, n: int) -> np.ndarray:
-    """Weights of n-grams by hash: log2 of the number of rows that hold one of a counter's n-grams, times 8.
-
-    Counted over all rows, in the tasks; 2^SKETCH_BITS counters of fixed size reach the driver.
-    """
-    size = 1 << SKETCH_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for s in G.slices(batch, "t"):
-                g, _, _ = G.word_grams(s.column(0), n)
-                total += np.bincount((g & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
-        yield blocks_of(total)
-
-    return log_sketch(rows.select(F.col(text).alias("t")).mapInArrow(count, SCHEMA), size)
-
-
-def draw(g: np.ndarray, doc: np.ndarray, sketch: np.ndarray, draws: int) -> np.ndarray:
-    """The drawn n-grams of each text (texts in order of appearance): the least of exponential variables with rate 1 / frequency."""
+def draw(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The bands of each text (texts in order of appearance): 32 bits of a hash of the least values that its n-grams take under DEPTH hash functions."""
     start, _ = G.spans(doc)
-    counts = np.diff(np.append(start, len(doc)))
-    cost = np.exp2(sketch[(g & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.float32) / 8)
-    out = np.empty((len(start), draws), np.uint64)
-    for j in range(draws):
-        h = g * _SEEDS[j]
-        h ^= h >> np.uint64(29)
+    out = np.zeros((BANDS, len(start)), np.uint64)
+    for j, seed in enumerate(_SEEDS):
+        h = g * seed
+        h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
-        u = (h >> np.uint64(40)).astype(np.float32)
-        v = -np.log((u + np.float32(0.5)) * np.float32(2.0**-24)) * cost
-        at = np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, start), counts))
-        first = at[G.spans(doc[at])[0]]
-        out[:, j] = g[first]
-    return out
+        out[j // DEPTH] = G.mix(out[j // DEPTH] + np.minimum.reduceat(h, start))
+    return np.ascontiguousarray((out.T >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def bitmaps(g: np.ndarray, doc: np.ndarray, rank: np.ndarray, n_docs: int) -> np.ndarray:
@@ -88,16 +63,8 @@ def bitmaps(g: np.ndarray, doc: np.ndarray, rank: np.ndarray, n_docs: int) -> np
     return np.packbits(m, axis=1).view(np.int64)
 
 
-def signatures(
-    rows: DataFrame, key: str, text: str, carry: list[str], n: int, min_words: int, sketch: np.ndarray, draws: int = DRAWS, draw_n: int = DRAW_N
-) -> DataFrame:
-    """(key, carry..., n, sum, draws, bits) of each row with at least ``min_words`` words.
-
-    Size, sum and bits are of the word ``n``-grams, the draws of the ``draw_n``-grams; a text too
-    short for one of those draws its ``n``-gram sum as a whole.
-    """
-    spark = rows.sparkSession
-    weights = spark.sparkContext.broadcast(sketch)
+def signatures(rows: DataFrame, key: str, text: str, carry: list[str], n: int, min_words: int) -> DataFrame:
+    """(key, carry..., n, sum, draws, bits) of each row with at least ``min_words`` words: size, sum, bands of draws and bitmap of its word ``n``-grams."""
     kept = rows.select(key, *carry, F.col(text).alias("t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
@@ -113,17 +80,11 @@ def signatures(
                 counts = np.diff(np.append(start, len(doc)))
                 bits = bitmaps(g, doc, np.repeat(np.arange(len(ids)), counts), len(ids))
                 sums = np.add.reduceat(G.mix(g), start).view(np.int64)
-                drawn = np.repeat(sums.view(np.uint64)[:, None], draws, axis=1)
-                long_g, long_doc, _ = G.word_grams(s.column(s.num_columns - 1), draw_n)
-                ok = np.isin(long_doc, ids)
-                if ok.any():
-                    long_ids = G.spans(long_doc[ok])[1]
-                    drawn[np.searchsorted(ids, long_ids)] = draw(long_g[ok], long_doc[ok], weights.value, draws)
                 cols = [c.take(pa.array(ids)) for c in s.columns[:-1]]
-                cols += [pa.array(counts, pa.int32()), pa.array(sums), _lists(drawn.view(np.int64)), _lists(bits)]
+                cols += [pa.array(counts, pa.int32()), pa.array(sums), _lists(draw(g, doc)), _lists(bits)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*s.schema.names[:-1], "n", "sum", "draws", "bits"])
 
-    return kept.mapInArrow(make, f"{schema}, n int, sum long, draws array<long>, bits array<long>")
+    return kept.mapInArrow(make, f"{schema}, n int, sum long, draws array<int>, bits array<long>")
 
 
 def _lists(m: np.ndarray) -> pa.Array:
@@ -167,8 +128,47 @@ def _nodes_possible(a: str, b: str, threshold: float) -> Column:
 
 
 def root_of(position: str, symbol: str) -> Column:
-    """Name of a root: 48 bits, so that the shuffled rows stay small. A clash of two roots only adds candidates."""
-    return F.shiftrightunsigned(F.xxhash64(position, symbol), 16)
+    """Name of a root: the band and its 32 bits. A clash of two roots only adds candidates."""
+    return F.shiftleft(F.col(position).cast("long"), 32).bitwiseOR(F.col(symbol).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def postings(sigs: DataFrame, carry: list[str]) -> DataFrame:
+    """(carry..., root) of each band of each row."""
+    return sigs.select(*carry, F.posexplode("draws").alias("j", "g")).select(*carry, root_of("j", "g").alias("root"))
+
+
+def _likely(sigs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(cid, root) of the postings whose root may be in ``shared``: only a few of the others pass a bitmap of fixed size."""
+    size, spark = 1 << FILTER_BITS, sigs.sparkSession
+
+    def slot(root: np.ndarray) -> np.ndarray:
+        return (G.mix(root.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.uint32)
+        for batch in batches:
+            total[slot(batch.column(0).to_numpy())] = 1
+        yield blocks_of(total)
+
+    held = spark.sparkContext.broadcast(np.packbits(log_sketch(shared.select("root").mapInArrow(mark, SCHEMA), size) > 0, bitorder="little"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = np.arange(BANDS, dtype=np.int64) << 32
+        for batch in batches:
+            root = (band + batch.column(1).flatten().to_numpy().view(np.uint32).reshape(-1, BANDS)).reshape(-1)
+            at = slot(root)
+            ok = np.flatnonzero(held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok // BANDS)), pa.array(root[ok])], names=["cid", "root"])
+
+    return sigs.select(F.col("cid").cast("long").alias("cid"), "draws").mapInArrow(keep, "cid long, root long")
+
+
+def meeting(sigs: DataFrame, shared: DataFrame, carry: list[str]) -> DataFrame:
+    """(cid, carry..., and the columns of ``shared``) of the postings whose root is in ``shared``, a materialised table."""
+    if shared.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS:
+        # nothing is shuffled: the rows that carry the bitmaps are exploded and filtered where they are
+        return postings(sigs, ["cid", *carry]).join(F.broadcast(shared), "root")
+    return salted_join(_likely(sigs, shared), shared, ["root"], "inner", "cid").join(sigs.select("cid", *carry), "cid")
 
 
 def _node(with_records: bool) -> list[Column]:
@@ -196,15 +196,8 @@ def _record_pairs(a: Column, b: Column, threshold: float, same: Column) -> Colum
 
 def tree_candidates(sigs: DataFrame, threshold: float) -> DataFrame:
     """(cid_a, cid_b): the record pairs that the trees cannot rule out. ``sigs``: (cid, n, draws, bits)."""
-    postings = materialize(sigs.select("cid", F.posexplode("draws").alias("j", "g")).select("cid", root_of("j", "g").alias("root")), "p2-roots")
-    shared = materialize(postings.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1"), "p2-shared")
-    if shared.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS:
-        # nothing is shuffled: the rows that carry the bitmaps are exploded and filtered where they are
-        rooted = sigs.select("cid", "n", "bits", F.posexplode("draws").alias("j", "g")).select("cid", "n", "bits", root_of("j", "g").alias("root"))
-        met = rooted.join(F.broadcast(shared), "root")
-    else:
-        met = salted_join(postings, shared, ["root"], "inner", "cid").join(sigs.select("cid", "n", "bits"), "cid")
-    met = materialize(met, "p2-met")
+    shared = materialize(postings(sigs, []).groupBy("root").agg(F.count("*").alias("m")).filter("m > 1"), "p2-shared")
+    met = materialize(meeting(sigs, shared, ["n", "bits"]), "p2-met")
     small = met.filter(F.col("m") <= LEAF).groupBy("root").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("recs"))
     pairs = small.select(F.explode(_record_pairs(F.col("recs"), F.col("recs"), threshold, F.lit(True))).alias("p")).select("p.*")
     big = met.filter(F.col("m") > LEAF)
@@ -261,8 +254,7 @@ def similar(
     one class, named by its smallest key; ``key`` must be unique. Extra columns are ignored.
     """
     rows = rows.select(key, text)
-    sketch = frequency_sketch(rows, text, DRAW_N)
-    sigs = materialize(signatures(rows, key, text, [], n, min_words, sketch), "p2-sigs")
+    sigs = materialize(signatures(rows, key, text, [], n, min_words), "p2-sigs")
     members = materialize(classes(sigs, key), "p2-members")
     copies = members.filter(F.col(key) != F.col("cid")).select(key)
     reps = checked_join(sigs, copies, [key], "left_anti", key, BROADCAST_IDS).select(F.col(key).alias("cid"), "n", "draws", "bits")

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from pagewright.llm import grams, history, shared, sigtree
@@ -77,6 +78,28 @@ def test_pairs_without_broadcasts(spark, monkeypatch):
     assert {(r.a, r.b) for r in sigtree.expanded(pairs, members, "doc_idx").collect()} == brute(texts)
 
 
+def family(seed, size, edits, length=200):
+    """Separately edited copies of one text, and the matrix of their similarities: every edit is a word of its own."""
+    rng = np.random.default_rng(seed)
+    texts, kept = {}, np.ones((size, length - 2), np.float32)
+    for k in range(size):
+        v = [f"b{i}" for i in range(length)]
+        for i in rng.choice(length, edits, replace=False):
+            v[i] = f"e{k}x{i}"
+            kept[k, max(0, i - 2) : i + 1] = 0
+        texts[k] = " ".join(v)
+    both = kept @ kept.T
+    return texts, both / (2 * (length - 2) - both)
+
+
+def test_large_family_of_edited_copies(spark):
+    texts, sim = family(1, 2500, 11)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(sim >= 0.6)) if a < b}
+    assert len(want) > 5000
+    pairs, members = sigtree.similar(frame(spark, texts))
+    assert {(r.a, r.b) for r in sigtree.expanded(pairs, members, "doc_idx").collect()} == want
+
+
 def test_nothing_similar(spark):
     for texts in ({}, {1: None, 2: ""}, {1: "a b c"}):
         pairs, members = sigtree.similar(frame(spark, texts))
