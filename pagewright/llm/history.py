@@ -1,13 +1,12 @@
 """Problem 5: new batches against everything accepted before, by a segment index.
 
-A text's word n-grams are drawn into a string of ``DRAWS`` symbols (see sigtree). The index
-cuts such a string into a fixed number of segments, here one symbol each, and stores them
-by string length and position together with the batch. Strings at a bounded edit (substitution)
-distance below ``DRAWS`` must share a segment at its position, so a batch probes the index
-with its own segments, keeps the pairs whose string distance and bitmaps allow the
-similarity, and verifies these on whole n-gram sets. Accepting a batch appends its
-segments; the history is never read again as a whole. The weights of the draws are
-part of the index and stay as they are when it is made, so that strings remain comparable.
+A text's word n-grams are drawn into a string of ``BANDS`` symbols (see sigtree): minwise
+bucketing. The index cuts the string into segments of one symbol each and stores them with
+the batch. A batch probes the index with its own segments, keeps the pairs whose sizes and
+bitmaps allow the similarity, and verifies these on whole n-gram sets. Strings that differ in
+every symbol share no segment: at a similarity of 0.6 that is one pair in 5 million, however
+many edited copies a text has, as each n-gram is as likely to be drawn as any other.
+Accepting a batch appends its segments; no text is read again.
 
 Edit distance over raw characters cannot bound the similarity of sets of word n-grams (one
 moved paragraph is a long edit), so the strings compared are those of the draws.
@@ -42,19 +41,14 @@ def address_key(url: Column) -> Column:
     return F.when(u != "", F.concat(scheme, F.lit("://"), port, path, F.lit("?"), F.array_join(kept, "&")))
 
 
-def segments(sigs: DataFrame) -> DataFrame:
-    """(seg, cid, first, n): the segments of each class; seg hashes position and symbol, first is its earliest batch, n its size."""
-    return sigs.select(F.posexplode("draws").alias("at", "symbol"), "cid", "first", "n").select(S.root_of("at", "symbol").alias("seg"), "cid", "first", "n")
-
-
-def probe(index: DataFrame, since: int, sigs: DataFrame, threshold: float) -> DataFrame:
+def probe(sigs: DataFrame, since: int, threshold: float) -> DataFrame:
     """(cid_a, cid_b): pairs of a class of batch ``since`` or later and one of an earlier batch that share a segment and can reach the threshold.
 
-    ``index`` has the segments of all classes, ``sigs`` their (cid, n, bits). Segments that one batch only holds end before the join.
+    ``sigs`` has (cid, first, n, draws, bits) of all classes; first is the earliest batch, n the size. Segments that one batch only holds end before the join.
     """
-    live = index.groupBy("seg").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi").select("seg")
+    live = S.postings(sigs, ["first"]).groupBy("root").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi").select("root")
     live = materialize(live, "p5-live")
-    met = materialize(checked_join(index, live, ["seg"], "inner", "cid", S.BROADCAST_ROOTS), "p5-met")
+    met = materialize(S.meeting(sigs, live, ["first", "n"]).withColumnRenamed("root", "seg"), "p5-met")
     old = met.select("seg", F.col("cid").alias("cid_b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
     fresh = met.filter(F.col("first") >= since).select("seg", F.col("cid").alias("cid_a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"))
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6
@@ -87,9 +81,9 @@ def known_by_content(rows: DataFrame, n: int = 3, threshold: float = 0.6, min_wo
         .filter("cid is null or cid = doc_idx")
         .select(F.col("doc_idx").alias("cid"), F.coalesce("first", "batch_no").alias("first"), "n", "draws", "bits")
     )
-    index = materialize(segments(reps), "p5-segments")
+    reps = materialize(reps, "p5-reps")
     first = reps.select("cid", "first")
-    candidates = probe(index, 1, reps, threshold)
+    candidates = probe(reps, 1, threshold)
     pairs = S.verified(candidates, rows, "doc_idx", "content", n, threshold)
     # the earliest batch that a class or one of its similar classes has
     earlier = pairs.join(first.select(F.col("cid").alias("cid_b"), F.col("first").alias("first_b")), "cid_b").groupBy("cid_a").agg(F.min("first_b").alias("seen"))
@@ -109,7 +103,7 @@ def known_rows(rows: DataFrame) -> DataFrame:
 
 
 class SegmentIndex:
-    """The persisted index: one table of segments, signatures and texts' sets per accepted batch.
+    """The persisted index: the segments (in the signatures), sets and addresses of the accepted batches.
 
     ``accept`` checks a batch against all accepted before and then appends it.
     """
@@ -128,14 +122,14 @@ class SegmentIndex:
         addresses = batch.select("doc_idx", address_key(F.col("url")).alias("address")).filter("address is not null")
         known = self.spark.createDataFrame([], "doc_idx long")
         if no:
-            old = {k: self.spark.read.parquet(f"{self.path}/{k}") for k in ("segments", "sigs", "sets", "addresses")}
-            pairs = probe(segments(sigs).unionByName(old["segments"]), no, sigs.drop("draws").unionByName(old["sigs"]), self.threshold)
+            old = {k: self.spark.read.parquet(f"{self.path}/{k}") for k in ("sigs", "sets", "addresses")}
+            pairs = probe(sigs.unionByName(old["sigs"]), no, self.threshold)
             both = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga")), "cid_a").join(old["sets"].select(F.col("key").alias("cid_b"), F.col("grams").alias("gb")), "cid_b")
             common = F.size(F.array_intersect("ga", "gb"))
             near = both.filter(common >= self.threshold * (F.size("ga") + F.size("gb") - common)).select(F.col("cid_a").alias("doc_idx"))
             same = addresses.join(old["addresses"], "address", "left_semi").select("doc_idx")
             known = materialize(near.unionByName(same).distinct(), "p5-known")
-        for name, df in (("segments", segments(sigs)), ("sigs", sigs.drop("draws")), ("sets", sets), ("addresses", addresses.select("address"))):
+        for name, df in (("sigs", sigs), ("sets", sets), ("addresses", addresses.select("address"))):
             df.write.mode("append").parquet(f"{self.path}/{name}")
         self.batches += 1
         return known

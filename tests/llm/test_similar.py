@@ -163,6 +163,15 @@ def test_index_batch_by_batch(spark):
     assert got == brute_known(rows)
 
 
+def test_later_rows_of_a_large_family(spark):
+    texts, sim = family(2, 2400, 12)
+    old = 1200
+    want = {int(k) for k in old + np.flatnonzero((sim[old:, :old] >= 0.6).any(1))}
+    assert 300 < len(want) < 500
+    df = spark.createDataFrame([(k, None, t, int(k >= old)) for k, t in texts.items()], "doc_idx long, url string, content string, batch_no int")
+    assert {r.doc_idx for r in history.known_rows(df).collect()} == want
+
+
 def test_addresses(spark):
     same = ["https://A.example/x/?b=1&a=2&utm_source=q", "https://www.a.example:443/x/index.html?a=2&b=1&REF=z#top", "https://a.example/x?a=2&b=1"]
     other = ["http://a.example/x?a=2&b=1", "https://a.example/X?a=2&b=1", "https://a.example/x?a=2", None, "", "  "]
