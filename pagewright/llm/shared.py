@@ -59,8 +59,11 @@ def _window_minima(h: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((most == h) & valid)
 
 
-def _nodes(texts: pa.Array, edges: bool, span: int, k: int) -> tuple[np.ndarray, ...]:
-    """(hash, text number, position) of the nodes of each text of at least ``span`` code points; with ``edges`` their edges in and out too (0: none)."""
+def _nodes(texts: pa.Array, edges: bool, span: int, k: int, twins: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash, text number, position) of the nodes of each text of at least ``span`` code points; with ``edges`` their edges in and out too (0: none).
+
+    With ``twins`` (text number, position, position of the kept twin) of all occurrences, where those with the same surroundings are twins.
+    """
     cp, off = G.code_points(texts)
     h, inside = G.rolling(cp, off, k)
     long_enough = np.diff(off) >= span
@@ -83,9 +86,14 @@ def _nodes(texts: pa.Array, edges: bool, span: int, k: int) -> tuple[np.ndarray,
     if len(at):
         order = np.lexsort((at, around, doc_of))
         first = np.concatenate(([True], (around[order][1:] != around[order][:-1]) | (doc_of[order][1:] != doc_of[order][:-1])))
+        if twins:
+            kept = order[first][np.cumsum(first) - 1]
+            return doc_of[order], (at[order] - off[doc_of[order]]).astype(np.int32), (at[kept] - off[doc_of[kept]]).astype(np.int32)
         keep = np.sort(order[first])
         at, doc_of, node, around = at[keep], doc_of[keep], node[keep], around[keep]
     pos = (at - off[doc_of]).astype(np.int32)
+    if twins:
+        return doc_of, pos, pos
     if not edges:
         return node, doc_of, pos
     link = np.zeros(len(at) + 1, np.uint64)
@@ -116,6 +124,21 @@ def nodes(rows: DataFrame, key: str, text: str, edges: bool, span: int = SPAN, k
     return kept.mapInArrow(run, f"node long, `{key}` {kind}{more}")
 
 
+def twins(rows: DataFrame, key: str, text: str, span: int = SPAN, k: int = K) -> DataFrame:
+    """(key, at, pos): every other place ``at`` of a record whose node and surroundings are those of the occurrence at pos."""
+    kept = rows.select(F.col(key), F.col(text).alias("t"))
+    kind = kept.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in G.slices(batch, "t"):
+                doc, at, pos = _nodes(s.column(1), False, span, k, True)
+                ok = np.flatnonzero(at != pos)
+                yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(doc[ok])), pa.array(at[ok]), pa.array(pos[ok])], names=[key, "at", "pos"])
+
+    return kept.mapInArrow(run, f"`{key}` {kind}, at int, pos int")
+
+
 def compacted(at: DataFrame) -> DataFrame:
     """The occurrences without those of nodes inside a non-branching path."""
     per = materialize(
@@ -212,7 +235,7 @@ def shared_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", span:
     ``after`` characters behind the node of ``k`` characters at pos (0-based code points), at least
     ``span`` in all; the ends are clipped to ``span - k`` characters. Texts below
     ``span`` characters, null and empty ones share nothing. ``key`` must be unique. With
-    ``compact=False`` all places come out, so that their union covers every shared stretch.
+    ``compact=False`` all places come out but repeats within a text; with those of their ``twins`` their union covers every shared stretch.
     """
     rows = rows.select(key, text).filter(F.length(text) >= span)
     members = materialize(classes(rows, key, text), "p10-members")
@@ -250,17 +273,26 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its length, the characters that lie in stretches shared with other documents, and their share."""
-    rows = table(spark, sf_dir, "documents")
+    return shares(table(spark, sf_dir, "documents"))
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """(doc_id, chars, shared_chars, share) of documents (doc_id, text)."""
     found, members = shared_spans(rows, compact=False)
-    places = found.select(F.explode(F.array(*(F.struct(F.col(n).alias("cid"), (F.col(f"pos_{n}") - F.col("before")).alias("s"), (F.col(f"pos_{n}") + K + F.col("after")).alias("e")) for n in "ab"))).alias("p")).select("p.*")
-    # places of one record, merged: bounded by its length after the distinct
+    # all places at one occurrence hold its node, so their union is one stretch
+    places = found.select(F.explode(F.array(*(F.struct(F.col(n).alias("cid"), F.col(f"pos_{n}").alias("pos"), "before", "after") for n in "ab"))).alias("p")).select("p.*")
+    places = materialize(places.groupBy("cid", "pos").agg(F.max("before").alias("before"), F.max("after").alias("after")), "p10-places")
+    concerned = rows.join(places.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    again = twins(concerned, "doc_id", "text").withColumnRenamed("doc_id", "cid").join(places, ["cid", "pos"]).select("cid", F.col("at").alias("pos"), "before", "after")
+    places = places.select("cid", "pos", "before", "after").unionByName(again).select("cid", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + K + F.col("after")).alias("e"))
+    # places of one record, merged: bounded by its length
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("s", "e"))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], x["e"]).alias("upto")),
         lambda acc: acc["n"],
     )
-    covered = places.distinct().groupBy("cid").agg(merged.alias("n"))
+    covered = places.groupBy("cid").agg(merged.alias("n"))
     n = F.coalesce(F.length("text"), F.lit(0))
     out = rows.select("doc_id", n.alias("chars")).join(members, "doc_id", "left").withColumn("has_copy", F.col("cid").isNotNull())
     out = out.withColumn("cid", F.coalesce("cid", "doc_id")).join(covered, "cid", "left")

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -217,6 +218,21 @@ def test_shared_spans(spark, monkeypatch, seed, direct, compact):
     assert got == brute_shared(texts, 200)
 
 
+def test_share_counts_every_repeat(spark):
+    texts = spanned(5, 25)
+    random.seed(6)
+    long = "".join(random.choice("abcdefgh ") for _ in range(3000))
+    texts |= {100: long + "--" + long + long[:700], 101: "x" + long, 102: "ab" * 900, 103: "y" + "ab" * 400 + "zz" + "ab" * 300}
+    windows = {k: {t[i : i + 200] for i in range(len(t) - 199)} for k, t in texts.items() if t}
+    held = Counter(w for v in windows.values() for w in v)
+    want = {}
+    for k, t in texts.items():
+        covered = {i + d for i in range(len(t or "") - 199) if held[t[i : i + 200]] > 1 for d in range(200)}
+        want[k] = (len(t or ""), len(covered))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.chars, r.shared_chars) for r in shared.shares(df).collect()} == want
+
+
 def test_shared_of_nothing(spark):
     for rows in ([], [(1, None), (2, "short")]):
         found, members = shared.shared_spans(spark.createDataFrame(rows, "doc_id long, text string"))
