@@ -210,8 +210,6 @@ def is_menu(text: str) -> bool:
 
 
 def is_filler(text: str) -> bool:
-    if not any(w.strip(".,") in FILLER_WORDS for w in text.split(" ", 4)[:4]):
-        return False
     words = _WORDS.findall(text)
     return len(words) >= 3 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words)
 

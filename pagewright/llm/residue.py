@@ -32,8 +32,6 @@ FOLDS, SEED = 5, 6
 SHORT_BODY = 160
 #: Share of the body's characters that must score above 0.
 BODY_SHARE = 0.5
-#: Words up to which a block's trigrams count.
-TRIGRAMS = 30
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]{1,3}")
 
 
@@ -66,12 +64,11 @@ def slots(html: str | None, title: str | None, host: str | None) -> list[tuple[s
 
 
 def features(slot: str, text: str) -> np.ndarray:
-    """Feature numbers of a block: word n-grams with borders (up to three words in short blocks, two in long ones), slot, length class and phrases."""
+    """Feature numbers of a block: word n-grams with borders (up to three words), slot, length class and phrases."""
     toks = ["^", *("0" if t[0].isdigit() else t for t in _TOKEN.findall(text)), "$"]
     grams = set(toks)
     grams.update(map(" ".join, zip(toks, toks[1:])))
-    if len(toks) <= TRIGRAMS:
-        grams.update(map(" ".join, zip(toks, toks[1:], toks[2:])))
+    grams.update(map(" ".join, zip(toks, toks[1:], toks[2:])))
     size = len(text).bit_length()
     grams.add(f"slot {slot}")
     grams.add(f"size {slot} {size}")

@@ -144,3 +144,11 @@ def test_examined(spark):
     got = sorted((r.doc_idx, r.field_name, r.restored) for r in encoding.examined(df, "doc_idx", ["title", "content"], True).collect())
     assert got == [(1, "title", "café")] + [(3, "content", "“You” said")] * 2
     assert encoding.examined(df.limit(0), "doc_idx", ["title", "content"], True).count() == 0
+
+
+def test_long_blocks_are_judged_whole():
+    filler = sorted(pagelines.FILLER_WORDS)[:12]
+    assert pagelines.is_filler("welcome to our site " + " ".join(filler))
+    words = [a + b for a in "vw" for b in "abcdefghijklmnopqrst"]
+    assert len(residue.features("body", " ".join(words))) > 110  # 42 words with borders, 41 pairs, 40 triples
+    assert all("x" + c != ("x" + c).translate(mainbody._PUNCTUATION) for c in "！？“”«»()")
