@@ -1,8 +1,4 @@
-"""Visible text of web pages by source line, and the phrases that mark a line as no main body.
-
-The phrase tables are fixed values: wording that site software and banners use. They are
-matched against whole lines, so prose that quotes or discusses such wording is untouched.
-"""
+"""Visible text of web pages by source line, and the phrases that weakly label text that stands in place of a post."""
 
 from __future__ import annotations
 
@@ -10,66 +6,37 @@ import html
 import re
 from typing import NamedTuple
 
-MONTH = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
-DATE = rf"(?:\d{{1,2}} {MONTH} \d{{4}}|{MONTH} \d{{1,2}}, \d{{4}}|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}})"
-
-#: Words of menus. A line of these alone is a menu.
-MENU_WORDS = frozenset(
-    "home about archive archives blog blogroll colophon contact feed feeds garden guestbook links log me notes now photos projects reading rss search tags talks uses".split()
-)
-
-#: Lines that stand beside a post. Matched at the start of a line (lower case, single blanks).
-CHROME = [
-    # bylines
-    rf"by .{{2,60}} on {DATE}$", r"written by .{2,60}, \d+ minutes? to read$", rf"posted (?:on )?{DATE} by ", rf".{{2,60}} \W{{0,6}} ?{DATE} .{{0,8}}\d+ min read$", rf"{DATE} \S{{1,12}} \S+ \S+(?: \S+)?$", r"published by .{2,60} on ",
-    # cookie notices
-    r"cookies help us ", r"this (?:site|website|page|blog) uses cookies", r"by browsing on you agree ", r"we value your privacy", r".{1,60} sets one small cookie", r"you can read what each cookie does", r"we use cookies",
-    # share, subscribe and support prompts
-    r"share this post", r"share on the social ", r"tweet it, toot it", r"\d+ people shared this", r"liked it\? pass it on", r"tell somebody about this page", r"subscribe to .{1,60} by mail", r"join \d+ readers", r"get the next letter in your inbox", r"if you enjoyed this, the feed of ", r"support .{1,60} with a coffee$", r"sign up for (?:the|our|my) newsletter",
-    # comments and teasers
-    r"leave a (?:comment|reply)\b", r"comments?$", r"recent comments$", r"\d+ (?:comments|replies|responses)$", r"\S+ \S+(?: \S+)? says:", r"you may also like", r"related(?: posts| reading)?$", r"recent posts$", r"elsewhere on this site", r"friends: ", r"tags: ", r"filed under: ", r"about me: ", r"about the author",
-    # legal notices, footers, paging
-    r"text and pictures by .* licensed for ", r"copyright (?:\(c\) |© )?\d{4}", r"\S{0,9}© ?\d{4}", r"\(c\) .{1,60} \d{4}", r"the opinions on .* not of any employer", r"all rights reserved", r"made with a static generator", r"theme drawn by hand", r"built by .* with plain files and patience$", r"previous post next post$", r"back to top(?: of |$)", r"(?:ok|okay|details|accept|decline|got it|read more|share)$", r"powered by ",
-]
-CHROME_RE = re.compile("|".join(CHROME))
-
-#: Headings after which lines belong to a list of teasers or comments.
-SECTION_RE = re.compile(r"(?:you may also like|related(?: posts| reading)?|recent posts|elsewhere on this site|recent comments|comments?|\d+ (?:comments|replies|responses))$")
-
-#: Placeholders of templates that were not filled: by their brackets, and by their wording.
+#: Placeholders of templates that were not filled, by the brackets of common template languages (fixed values).
 BRACKETS_RE = re.compile(
-    r"\{\{[^{}]{0,80}\}\}|\{%[^%]{0,80}%\}|[$#]\{[^{}]{0,80}\}|%%\w{1,60}%%|__\w{1,60}__|@\w{1,30}\.\w{1,30}@|\[\[\w+[:.]\w+\]\]|\[object object\]|<\?(?:=|php).{0,80}?\?>|<%.{0,80}?%>"
-    r"|<\w+ goes here>|\[your \w+ here\]|\bdear \{\w+\}"
+    r"\{\{[^{}]{0,80}\}\}|\{%[^%]{0,80}%\}|[$#]\{[^{}]{0,80}\}|%%\w{1,60}%%|__\w{1,60}__|@\w{1,30}\.\w{1,30}@|\[\[\w+[:.]\w+\]\]|\[object object\]|<\?(?:=|php).{0,80}?\?>|<%.{0,80}?%>|<\w+ goes here>|\[your \w+ here\]"
 )
-WORDING_RE = re.compile(
-    r"\bundefined \w+ undefined\b|\b[a-z]+-[a-z]+-tbd\b|\b(?:replace|edit|insert) this placeholder\b|\bclick to edit this\b|\b(?:write|put|type|insert|add) (?:the|your|a) \w+ (?:in this box|here)\b|^insert \w+ text\b|\binsert \w+ text$"
-    r"|\b(?:demo|dummy|sample) \w+ (?:text|line) for the \w+ (?:theme|layout|template)|is yours to change or to throw away|\byour \w+ goes here\b"
-)
-#: One of these is in every text that WORDING_RE finds.
-_WORDING = ("undefined ", "-tbd", "placeholder", "to edit", "in this box", " here", " text", " line for", "is yours to")
+#: Wording of unfilled templates and starter pages.
+WORDING = [
+    r"\byour \w+ goes here\b", r"\bclick to edit\b", r"\breplace this placeholder\b", r"^insert \w+ text$", r"\bundefined \w+ undefined\b", r"\b\w+-\w+-(?:tbd|todo)\b", r"\b(?:demo|dummy|sample) \w+ (?:text|line)\b",
+    r"^(?:write|type|put|add) your \w+ (?:here|in this box)\b", r"\bthis starter \w+\b", r"^dear \{\w+\}", r"^sample page$", r"^hello world\W*$", r"^under construction\W*$",
+]
+WORDING_RE = re.compile("|".join(WORDING))
 
-#: Notices of errors, maintenance, scripts or checks that stand in place of a post: whole lines.
+#: Notices of errors, outages, scripts and checks: wording common on the web, by whole lines or their beginning.
 NOTICES = [
-    # missing pages
-    r"(?:error )?(?:404|410|403|500|502|503)\b(?: ?[-:] ?| )?(?:not found|file missing|nothing lives at this address|forbidden.*|internal server error|bad gateway.*|service unavailable.*|gone.*)?$",
-    r"page not found(?: [-|] .{1,60})?$", r"not found$", r"nothing here\. try the search box", r"seite nicht gefunden", r"page introuvable", r"página no encontrada", r"página não encontrada", r"pagina non trovata",
-    r"(?:oops|sorry|well|uh-oh|hmm?|whoops)\W{1,3}(?:we (?:couldn.{1,8}t find|looked everywhere for)|(?:that|this|the|your) \w+(?: \w+)? (?:is broken|is gone|isn.{1,8}t here|does not exist|doesn.{1,8}t exist|leads nowhere|could not be found|was not found))",
-    r"the requested address .{1,60} was not found", r"(?:what you requested|the (?:content|post|page|entry)(?: \S+)?|the (?:page|post) you (?:asked for|requested)|this (?:post|page|entry|content))(?: on this site)? (?:was (?:removed|deleted)|has (?:expired|moved|been (?:deleted|removed))|is no longer available)",
-    r"(?:nothing|no (?:such )?(?:file|page|post|entry)) (?:matches|is stored under|answers to|lives at) /",
-    # outages and maintenance
-    r"service (?:temporarily unavailable|notice)", r"we are down for maintenance", r"(?:this (?:site|page)|the (?:blog|site|server)|\S+\.\w+) is (?:offline|closed for repairs|being moved|down for maintenance)\b.{0,30}$", r"bandwidth limit exceeded", r"account suspended", r"too many requests", r"this domain is parked",
-    r"(?:connection|query|request|script) (?:failed|was refused|timed out) after \d+", r"(?:fatal error|warning|notice|parse error|deprecated): ", r"(?:\w+ ){1,3}went wrong (?:on our side|behind the scenes|while)", r"traceback\b", r"error(?: establishing a database connection)?$", r"\d{3} (?:forbidden|bad gateway|internal server error)", r"(?:the machine|something) went wrong\b",
-    # scripts and checks
-    r"(?:please )?(?:enable|allow|switch on|turn on|activate) (?:js|javascript|scripts?|scripting)\b.{0,60}$", r"(?:this (?:app|site|page)|the \w+|\S+\.\w+) (?:needs|requires|relies on|works best with) (?:javascript|js|scripting|scripts|client-side scripts)\b", r"javascript is (?:disabled|off|required)", r"you need to turn on scripts", r"your browser is too old or has scripts blocked", r"bitte aktivieren sie (?:skripte|javascript)", r"one moment while we verify", r"checking (?:your browser|that you are human)", r"(?:just a moment|please wait|hang on|loading)(?:\W*$|\b.{0,30}$)",
-    # starter texts
-    r"under construction\W*$", r"another great headline$", r"sample page$", r"hello world\W*$",
+    r"(?:error )?(?:403|404|410|500|502|503)\W*(?:[-:|] .{1,60}|(?:not found|forbidden|gone|internal server error|bad gateway|service unavailable)\W*)?$",
+    r"(?:page )?not found\W*(?:[-|] .{1,60})?$", r"seite nicht gefunden", r"page introuvable", r"página no encontrada", r"página não encontrada", r"pagina non trovata",
+    r"the requested (?:address|url|page) .{1,80} was not found", r"no (?:such )?(?:page|file|post|entry)\b.{1,40}$", r"(?:oops|sorry|hmm)\W.{1,60}$",
+    r".{1,40} (?:is no longer available|has been (?:deleted|removed)|has expired|has moved)\b.{0,40}$",
+    r"(?:forbidden|internal server error|bad gateway|service (?:temporarily )?unavailable)\b", r".{0,40}\bdown for maintenance\b", r"service notice$", r"error$",
+    r"bandwidth limit exceeded", r"account suspended", r"too many requests", r"this domain is parked",
+    r"(?:fatal error|parse error|warning|notice|deprecated|traceback): ", r"error establishing a database connection", r"\w+ (?:failed|timed out|was refused) after \d+", r".{1,30} went wrong\b",
+    r"(?:please |you need to )?(?:enable|allow|turn on|switch on) (?:javascript|js|scripts)\b", r"javascript is (?:disabled|required)", r"(?:this|the) \w+ (?:needs|requires) (?:javascript|scripts)\b", r"checking (?:your browser|that you are human)", r".{0,30}verify that you are human", r"just a moment\W*$", r"loading\W*$",
 ]
 NOTICE_RE = re.compile("|".join(NOTICES))
 
-#: Filler words that typesetters use instead of text.
-FILLER_WORDS = frozenset(
-    "arbo auctor dolor elit facilis fermen grata ipsum lacus lorem magna mundi nostra nullam ornare pellis portis quidem quis rutrum sedum sem tessera tortor umbra vela velum vitae amet consectetur adipiscing sit sed eiusmod tempor incididunt".split()
-)
+#: The typesetters' filler passage (fixed value); its longer words are seeds, further filler words are learned.
+PASSAGE = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation
+ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat
+non proident sunt in culpa qui officia deserunt mollit anim id est laborum"""
+FILLER_SEEDS = frozenset(w for w in PASSAGE.split() if len(w) > 3)
+#: Share of a text's words that must be seeds.
+SEED_SHARE = 0.15
 
 _TAG = re.compile(r"<[^>]*>")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -78,12 +45,15 @@ _ATTR = re.compile(r"""(?:id|class)\s*=\s*["']?([^"'>]*)""", re.I)
 _HIDDEN = frozenset(["head", "script", "style", "noscript", "template"])
 _VOID = frozenset(["br", "hr", "img", "meta", "link", "input", "col", "wbr", "source", "area", "base", "embed"])
 _INLINE = frozenset(["a", "b", "i", "em", "strong", "code", "small", "u", "s", "sub", "sup", "abbr", "cite", "q", "kbd", "mark", "time", "font", "img", "wbr"])
+#: Formatting inside a text, no part of its path.
+_FORMAT = frozenset(["b", "i", "em", "strong", "u", "s", "sub", "sup", "abbr", "cite", "q", "kbd", "mark", "font", "img", "wbr", "code"])
 _BOX = frozenset(["body", "div", "section", "aside", "td", "th", "main", "article", "header", "footer", "nav", "center", "form"])
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "h1": ("p",), "h2": ("p",), "h3": ("p",), "h4": ("p",), "div": ("p",), "td": ("td", "p"), "tr": ("td", "tr", "p"), "hr": ("p",)}
 
 
 class Line(NamedTuple):
-    """A source line with visible text: number from 1, text, box path, innermost tag, share of the text inside links, number of the text block."""
+    """A source line with visible text: number from 1, text, container path, innermost tag, share of the text inside links,
+    number of the text block, and the root-to-leaf tag path (container path, then every tag down to the text; formatting left out)."""
 
     no: int
     text: str
@@ -91,6 +61,7 @@ class Line(NamedTuple):
     tag: str
     linked: float
     block: int
+    path: str
 
 
 def normal(text: str) -> str:
@@ -119,16 +90,19 @@ def page_lines(source: str | None) -> list[Line]:
                     tag = stack[-1][0] if stack else "body"
                     linked = any(t == "a" for t, _ in stack[-3:])
                     loose = not stack or bool(stack[-1][1])  # text right in a box: every line is a block of its own
+                    leaf = "/".join(t for t, box in stack[-4:] if not box and t not in _FORMAT)
                     for i, part in enumerate(tok.split("\n")):
                         if part and not part.isspace():
                             own = -line - i if loose else block
-                            at = texts.setdefault(line + i, [[], boxes[-1], tag, 0, 0, own])
+                            at = texts.setdefault(line + i, [[], boxes[-1], tag, 0, 0, own, "", 0])
                             if at[5] != own and at[0]:
                                 at[0].append(" ")
                             at[0].append(part)
                             n = len(part.strip())
                             at[3] += n
                             at[4] += n * linked
+                            if n > at[7]:  # the path of the longest part is the line's
+                                at[6], at[7] = leaf, n
             line += tok.count("\n")
             continue
         name = name.lower()
@@ -171,13 +145,13 @@ def page_lines(source: str | None) -> list[Line]:
         if "\n" in tok:
             line += tok.count("\n")
     out = []
-    for no, (parts, box, tag, n, linked, block) in texts.items():
+    for no, (parts, box, tag, n, linked, block, leaf, _) in texts.items():
         text = "".join(parts)
         if "&" in text:
             text = html.unescape(text)
         text = text.strip()
         if text:
-            out.append(Line(no, text, box, tag, linked / max(n, 1), block))
+            out.append(Line(no, text, box, tag, linked / max(n, 1), block, f"{box}/{leaf}"))
     return out
 
 
@@ -194,33 +168,23 @@ def text_lines(content: str | None) -> list[Line]:
                 part = html.unescape(_TAG.sub("", part))
                 if not part.strip():
                     continue
-            out.append(Line(i, part.strip(), "text", "", 0.0, i))
+            out.append(Line(i, part.strip(), "text", "", 0.0, i, "text"))
     return out
 
 
-_MENU_SPLIT = re.compile(r"[^a-z]+")
-
-
-def is_menu(text: str) -> bool:
-    """Whether a normalised line holds menu words only."""
-    if len(text) > 200 or text[-1:] in ".!?":
-        return False
-    words = [w for w in _MENU_SPLIT.split(text) if w]
-    return bool(words) and all(w in MENU_WORDS for w in words)
-
-
 def is_filler(text: str) -> bool:
+    """Whether a normalised text of three words or more holds filler seeds in a share of its words."""
     words = _WORDS.findall(text)
-    return len(words) >= 3 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words)
+    return len(words) >= 3 and sum(w in FILLER_SEEDS for w in words) >= SEED_SHARE * len(words)
 
 
 def is_template(text: str) -> bool:
     """Whether a normalised text holds an unfilled placeholder."""
     if ("{" in text or "%" in text or "[" in text or "<" in text or "@" in text or "__" in text) and BRACKETS_RE.search(text):
         return True
-    return any(w in text for w in _WORDING) and bool(WORDING_RE.search(text))
+    return bool(WORDING_RE.search(text))
 
 
 def is_residue(text: str) -> bool:
-    """Whether a normalised line is a notice, an unfilled template or filler."""
+    """Whether the phrases call a normalised line a notice, an unfilled template or filler: a weak label."""
     return bool(NOTICE_RE.match(text)) or is_template(text) or is_filler(text)

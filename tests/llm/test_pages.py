@@ -1,10 +1,9 @@
 import random
-import zlib
 
 import numpy as np
 import pytest
 
-from pagewright.llm import encoding, mainbody, pagelines, residue
+from pagewright.llm import mainbody, pagelines, residue
 
 PAGE = """<!DOCTYPE html>
 <html><head><title>A post</title><style>p{}</style></head>
@@ -17,7 +16,7 @@ PAGE = """<!DOCTYPE html>
 <h1>My lopsided drum</h1>
 <span>By Ann Other on 3 May 2020</span>
 <p>The drum broke twice, so I mended it with some string
-and a lot of patience, which felt like baking in reverse.</p>
+and a lot of patience, which felt like baking in reverse. It held for a week, then the string gave way; I took some wire, a kettle, and the better part of a Sunday, and now it sounds as it did when we bought it.</p>
 <pre><code>&lt;p&gt;${name}&lt;/p&gt;
 if x == 404:</code></pre>
 <p>Cookies in the jar were counted, not stored.</p>
@@ -33,35 +32,104 @@ and why we keep it for a while here.</p><button>OK</button></div>
 </body></html>"""
 
 
-def test_main_body_of_a_page():
+WORDS = "kettle harbour ladder pencil marble wicker lantern thimble saddle barrel anchor copper velvet walnut basket mitten".split()
+NAMES = "Ann Bo Cy Di Ed Flo Gus Hal".split()
+
+
+def sentence(rng):
+    return f"The {rng.choice(WORDS)} near the {rng.choice(WORDS)} was mended by {rng.choice(NAMES)} in {rng.randint(1990, 2020)}, and the {rng.choice(WORDS)} never stopped {rng.choice(WORDS)}ing again."
+
+
+def made(i, rng):
+    """A page of one of two layouts, and the texts of its lines beside the post."""
+    site, who = f"site{i % 30}", rng.choice(NAMES) + " Other"
+    title = f"How {rng.choice(NAMES)} lost a {rng.choice(WORDS)} and found {rng.randint(2, 99)} {rng.choice(WORDS)}s"
+    top, by, foot = [site, "Home About Now"], f"By {who} on 3 May 20{rng.randint(10, 20)}", f"© 20{rng.randint(10, 20)} {who}. All rights reserved."
+    share, related = "Share this post: Mail, Copy link, Print", ["Related", f"Another {rng.choice(WORDS)} for {rng.choice(NAMES)}", "Subscribe to the letter by mail"]
+    body = [sentence(rng) + " " + sentence(rng) for _ in range(rng.randint(2, 5))]
+    main = "\n".join(f"<p>{x}</p>" for x in body)
+    side = "<div class='side'><h3>Related</h3>\n" + "\n".join(f"<p>{x}</p>" for x in related[1:]) + "</div>"
+    html = f"""<html><head><title>{title}</title></head><body><div class='top'><h2><a href='/'>{site}</a></h2>
+<nav><a href='/'>Home</a> <a href='/a'>About</a> <a href='/n'>Now</a></nav></div>
+{side if i % 2 else ''}
+<div class='post'><h1>{title}</h1>
+<span class='meta'>{by}</span>
+{main}
+<p>{share}</p></div>
+{'' if i % 2 else side}
+<div class='foot'><p>{foot}</p></div></body></html>"""
+    return html, title, site, [title, *body], [*top, by, share, *related, foot]
+
+
+@pytest.fixture(scope="module")
+def weights():
+    rng = random.Random(1)
+    pages = [made(i, rng) for i in range(300)]
+    return mainbody.fit([mainbody.Page(i, h, t, s, True) for i, (h, t, s, _, _) in enumerate(pages)])
+
+
+def judged(weights, source, title, site, html):
+    p = mainbody.Page(1, source, title, site, html)
+    out = mainbody.judge([p], weights)
+    return [x.text for x, o in zip(p.lines, out) if not o], [x.text for x, o in zip(p.lines, out) if o]
+
+
+def test_unseen_pages_and_extracted_text(weights):
+    rng = random.Random(2)
+    right = wrong = 0
+    for i in range(60):
+        html, title, site, main, beside = made(i, rng)
+        kept, gone = judged(weights, html, title, f"new{i}", True)
+        assert kept == main
+        assert len(gone) == len(beside)
+        mixed = [beside[0], beside[1], main[0], beside[2], *main[1:], *beside[3:]]
+        kept, gone = judged(weights, "\n".join(mixed), title, site, False)
+        right += len(set(kept) & set(main)) + len(set(gone) & set(beside))
+        wrong += len(set(kept) & set(beside)) + len(set(gone) & set(main))
+    assert right > 0.95 * (right + wrong)
+
+
+def test_paths_alone():
     lines = pagelines.page_lines(PAGE)
-    main = [x.text for x in lines if x.no not in mainbody.outside(lines, "A post")]
-    assert main == ["My lopsided drum", "The drum broke twice, so I mended it with some string", "and a lot of patience, which felt like baking in reverse.", "<p>${name}</p>", "if x == 404:", "Cookies in the jar were counted, not stored."]
+    out = {x.text for x, o in zip(lines, mainbody.by_paths(lines)) if o}
+    assert all(any(t in o for o in out) for t in ("Another post of mine", "Related", "OK", "© 2020 Ann Other. All rights reserved.", "By Ann Other on 3 May 2020"))
+    assert not out & {"My lopsided drum", "<p>${name}</p>", "if x == 404:", "Cookies in the jar were counted, not stored."}
     source = PAGE.split("\n")
     assert all(x.text.split()[0] in source[x.no - 1] for x in lines if "<" not in x.text)
+    assert {x.path for x in lines if x.text == "My lopsided drum"} == {"body/div.x1/h1"}
+
+
+def test_code_and_separators_stay(weights):
+    kept, _ = judged(weights, "<div class='a'><p>" + sentence(random.Random(3)) * 3 + "</p>\n<pre>if x == 404:\n  not_found()</pre>\n<p>* * *</p>\n<p>2024</p></div>", "x", "y", True)
+    assert kept[1:] == ["if x == 404:", "not_found()", "* * *", "2024"]
 
 
-def test_plain_content():
-    text = "Home | About | Now\nNotes on drums\n \nDrums are fine, and I said so.\n* * *\nTWEET IT, TOOT IT, POST IT\nRecent comments\nAnn Other on Some other title\nYou may also like\nAnother title\nA teaser sentence.\n<b></b>\n(c) Site 2004 - Imprint"
-    lines = pagelines.text_lines(text)
-    assert [x.no for x in lines if x.no not in mainbody.outside(lines)] == [2, 4, 5]
+@pytest.mark.parametrize("source", ["", "   ", "<", "<p", "<div><div><p>", "</p></p>", "<script>", "x" * 200_000, "<a>" * 5000, "\n" * 1000])
+def test_odd_pages(weights, source):
+    for html in (True, False):
+        p = mainbody.Page(1, source, None, None, html)
+        assert len(mainbody.judge([p], weights)) == len(p.lines)
+        residue.judge([p], weights, weights)
 
 
-@pytest.mark.parametrize("source", [None, "", "   ", "<", "<p", "<div><div><p>", "</p></p>", "<script>", "x" * 200_000, "<a>" * 5000, "\n" * 1000])
-def test_odd_pages(source):
-    for read in (pagelines.page_lines, pagelines.text_lines):
-        lines = read(source)
-        assert mainbody.outside(lines) <= {x.no for x in lines}
+def test_without_pages():
+    w = mainbody.fit([])
+    assert len(mainbody.judge([], w)) == 0
+    assert judged(w, "One line\nand another", None, None, False)[1] == []
 
 
 def test_boilerplate_frames(spark):
-    rows = [(1, PAGE, "A post", 5), (2, None, None, 5), (3, "", None, 5), (1, PAGE, "A post", 5)]
-    df = spark.createDataFrame(rows, "page_id long, html_content string, title string, line_no int")
-    got = mainbody.boilerplate(df, "page_id", "html_content", "title", "crawled_pages").collect()
+    rows = [(1, PAGE, "A post", 5, "a.example"), (2, None, None, 5, None), (3, "", None, 5, ""), (1, PAGE, "A post", 5, "a.example")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "page_id long, html_content string, title string, line_no int, domain string, url string")
+    args = (mainbody.fit([]), "page_id", "html_content", "title", "crawled_pages")
+    got = mainbody.boilerplate(df, *args).collect()
     assert {r.rec_id for r in got} == {1} and len(got) == 2 * len({r.line_no for r in got})
-    texts = {r.page_id: r.main_text for r in mainbody.main_text(df, "page_id", "html_content", "title", True).collect()}
-    assert texts[1].startswith("My lopsided drum") and texts[2] is None and texts[3] == ""
-    assert mainbody.boilerplate(df.limit(0), "page_id", "html_content", "title", "crawled_pages").count() == 0
+    texts = [(r.origin, r.rec_id, r.main_text) for r in mainbody.main_text(df, *args).collect()]
+    assert len(texts) == 2 and texts[0] == texts[1] and texts[0][2].startswith("My lopsided drum")
+    assert mainbody.boilerplate(df.limit(0), *args).count() == 0
+    ready = mainbody.prepared(df, "page_id", "html_content", "title")
+    assert mainbody.sample(ready.limit(0), 5).count() == 0
+    assert mainbody.train(ready).any()
 
 
 def page(title, head, *body):
@@ -83,15 +151,17 @@ def frame(spark, n=240, seed=1):
         rows.append((i, page(t, h, *random.sample(b, len(b))), None if t == "" else t, f"http://h{i % 40}.example/x", random.choice([200, 200, 404]) if bad else random.choice([200, 200, 200, 500]), "x"))
         truth |= {i} if bad else set()
     rows += [(n, None, None, None, None, None), (n + 1, "", "Not Found", "http://a.example", 404, None)]
-    return spark.createDataFrame(rows, "page_id long, html_content string, title string, url string, status_code int, found string"), truth
+    return spark.createDataFrame([(*r, None) for r in rows], "page_id long, html_content string, title string, url string, status_code int, found string, domain string"), truth
 
 
 def test_residue_classifier(spark):
     df, truth = frame(spark)
-    w = residue.train(df)
-    assert {r.page_id for r in residue.judged(df, w).filter("found").collect()} == truth
+    model = residue.train(df)
+    again = residue.train(df.repartition(7))
+    assert all(np.array_equal(a, b) for a, b in zip(model, again)), "the sample doesn't depend on how the table is split"
+    assert {r.page_id for r in residue.judged(df, model).filter("found").collect()} == truth
     other, truth2 = frame(spark, seed=2)
-    assert {r.page_id for r in residue.judged(other, w).filter("found").collect()} == truth2
+    assert {r.page_id for r in residue.judged(other, model).filter("found").collect()} == truth2
 
 
 def test_residue_without_pages(spark):
@@ -100,55 +170,38 @@ def test_residue_without_pages(spark):
         assert residue.judged(part, residue.train(part)).filter("found").count() == 0
 
 
-SAMPLES = ["L’été à Noyon était doux — “très” doux…", "Año 12 en señor café naïve", "Über Größe möchte für", "Привет, это проверка связи", "Manhãs não são lições", "don’t isn’t wasn’t"]
-
-
-@pytest.fixture(scope="module")
-def restorer():
-    sketch = np.zeros(1 << encoding.WORD_BITS, np.float64)
-    for s in SAMPLES * 50:
-        for t in encoding._tokens(s):
-            sketch[zlib.crc32(encoding.word_of(t)) & ((1 << encoding.WORD_BITS) - 1)] += 1
-    return encoding.Restorer(np.round(8 * np.log2(np.maximum(sketch, 1) + (sketch > 0) * 0.1)).astype(np.uint8))
-
-
-def misread(text, name):
-    return "".join(bytes([b]).decode(name, "ignore") or chr(b) for b in text.encode("utf-8"))
-
-
-@pytest.mark.parametrize("name", ["cp1252", "latin-1", "cp437", "mac_roman", "cp1251", "cp850"])
-@pytest.mark.parametrize("text", SAMPLES)
-def test_round_trip(restorer, name, text):
-    bad = misread(text, name)
-    assert restorer.damaged(bad)
-    assert restorer.restore(bad) == text
-
-
-def test_twice_misread_and_lost(restorer):
-    for t in SAMPLES[:3] + SAMPLES[4:]:
-        assert restorer.restore(misread(misread(t, "cp1252"), "cp1252")) == t
-    assert restorer.restore("na�ve caf� don�t") == "naïve café don’t"
-    assert restorer.damaged("��������") and restorer.restore("��������") == "��������"
-    assert restorer.restore("Ïðèâåò ñâÿçè") == "Привет связи"
-    assert restorer.restore("cafй naпve") == "café naïve"
-
-
-@pytest.mark.parametrize("text", SAMPLES + ["CANÇÃO MANHÃS L’ÂGE", "plain ASCII &amp; more", "", None, "ÜBER GRÖSSE", "«Ça» ¿Qué? · © 2020"])
-def test_undamaged(restorer, text):
-    assert not restorer.damaged(text) and restorer.restore(text) == text
-
-
-def test_examined(spark):
-    rows = [(1, "cafÃ©", "fine", "x"), (2, None, "", "x"), (3, "ok", "â€œYouâ€\x9d said", "x"), (3, "ok", "â€œYouâ€\x9d said", "x")]
-    df = spark.createDataFrame(rows, "doc_idx long, title string, content string, field_name string")
-    got = sorted((r.doc_idx, r.field_name, r.restored) for r in encoding.examined(df, "doc_idx", ["title", "content"], True).collect())
-    assert got == [(1, "title", "café")] + [(3, "content", "“You” said")] * 2
-    assert encoding.examined(df.limit(0), "doc_idx", ["title", "content"], True).count() == 0
-
-
-def test_long_blocks_are_judged_whole():
-    filler = sorted(pagelines.FILLER_WORDS)[:12]
-    assert pagelines.is_filler("welcome to our site " + " ".join(filler))
+#: Pages marked by hand: of hosts that are in no table, in words that none of the phrases names but for the first few.
+MARKED_BAD = [
+    ("Page not found", "", ["Page not found"]), ("Not Found", "", ["The requested URL /old/index.htm was not found on this server."]), ("{{ post.title }}", "{{ post.title }}", ["{{ post.body }}"]),
+    ("Sample Page", "Sample Page", ["This is an example page. Replace this placeholder with your own text."]), ("Lorem ipsum", "", ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."]),
+    ("", "", ["The page you asked for is gone.", "Try the search box or go back home."]), ("", "", ["We are closed for repairs and will be back shortly."]),
+    ("", "", ["You need JavaScript to view this app."]), ("", "", ["Please verify that you are human to continue."]), ("", "", ["Exception in index.php on line 12"]),
+    ("My site", "", ["This page is not available. The address you requested does not exist."]), ("503", "", ["The service is unavailable, please try again later."]),
+]
+MARKED_GOOD = [
+    ("On broken links", "On broken links", ["Every year I go through the archive and look for pages that were moved. Last week a reader wrote that the old address only said not found, so I put a note there.", "It took two evenings, and I enjoyed them."]),
+    ("A small update", "A small update", ["The garden is dry. We wait for rain and read on the porch until the light goes."]),
+    ("Why I left the loading spinner out", "Why I left the loading spinner out", ["Spinners annoy me. The page I rebuilt in April loads in half a second, and nobody asked where the little wheel went.", "Scripts are fine where they help."]),
+    ("Ten years of writing here", "", ["Ten years ago I wrote the first lines on this page. Since then I have moved house twice, changed jobs, and learned to bake bread."]),
+]
+
+
+def test_hand_marked_pages_of_unseen_hosts(spark):
+    from pagewright.plans.runtime import table
+
+    chrome, w = residue.train(table(spark, "/root/testdata/sf0.1", "crawled_pages"))
+    bad = [mainbody.Page(i, page(t, h, *b), t, f"unseen{i}", True) for i, (t, h, b) in enumerate(MARKED_BAD)]
+    good = [mainbody.Page(i, page(t, h, *b), t, f"other{i}", True) for i, (t, h, b) in enumerate(MARKED_GOOD)]
+    found, blocks = residue.judge(bad, chrome, w)
+    phrases = blocks.found(blocks.phrases(), len(bad))
+    print("hand-marked: found", found.sum(), "by phrases alone", phrases.sum(), "of", len(bad))
+    assert found.mean() >= 0.8 and (found != phrases).any()
+    assert not residue.judge(good, chrome, w)[0].any()
+
+
+def test_phrases_are_no_features():
     words = [a + b for a in "vw" for b in "abcdefghijklmnopqrst"]
-    assert len(residue.features("body", " ".join(words))) > 110  # 42 words with borders, 41 pairs, 40 triples
-    assert all("x" + c != ("x" + c).translate(mainbody._PUNCTUATION) for c in "！？“”«»()")
+    blocks = residue.Blocks([mainbody.Page(1, "<p>" + " ".join(words) + "</p>", None, None, True)], np.full(mainbody.LC.FEATURES + 1, -1, np.float32))
+    idx, start = blocks.features()
+    assert len(start) == 1 and len(idx) == 40 + 39 + 38 + 5  # words, pairs, triples; first word twice, last word, slot and headline
+    assert pagelines.is_filler("welcome to lorem ipsum dolor sit amet")
