@@ -19,14 +19,14 @@ WORDING_RE = re.compile("|".join(WORDING))
 
 #: Notices of errors, outages, scripts and checks: wording common on the web, by whole lines or their beginning.
 NOTICES = [
-    r"(?:error )?(?:403|404|410|500|502|503)\W*(?:[-:|] .{1,60}|(?:not found|forbidden|gone|internal server error|bad gateway|service unavailable)\W*)?$",
+    r"(?:error )?(?:403|404|410|500|502|503)\W*(?:[-:|] .{1,60}|(?:not found|forbidden|gone|internal server error|bad gateway|service unavailable)\b\W?.{0,60})?$",
     r"(?:page )?not found\W*(?:[-|] .{1,60})?$", r"seite nicht gefunden", r"page introuvable", r"página no encontrada", r"página não encontrada", r"pagina non trovata",
     r"the requested (?:address|url|page) .{1,80} was not found", r"no (?:such )?(?:page|file|post|entry)\b.{1,40}$", r"(?:oops|sorry|hmm)\W.{1,60}$",
     r".{1,40} (?:is no longer available|has been (?:deleted|removed)|has expired|has moved)\b.{0,40}$",
     r"(?:forbidden|internal server error|bad gateway|service (?:temporarily )?unavailable)\b", r".{0,40}\bdown for maintenance\b", r"service notice$", r"error$",
-    r"bandwidth limit exceeded", r"account suspended", r"too many requests", r"this domain is parked",
+    r"(?:this|the) (?:site|blog|page|server) is (?:offline|down|closed)\b", r"bandwidth limit exceeded", r"account suspended", r"too many requests", r"this domain is parked",
     r"(?:fatal error|parse error|warning|notice|deprecated|traceback): ", r"error establishing a database connection", r"\w+ (?:failed|timed out|was refused) after \d+", r".{1,30} went wrong\b",
-    r"(?:please |you need to )?(?:enable|allow|turn on|switch on) (?:javascript|js|scripts)\b", r"javascript is (?:disabled|required)", r"(?:this|the) \w+ (?:needs|requires) (?:javascript|scripts)\b", r"checking (?:your browser|that you are human)", r".{0,30}verify that you are human", r"just a moment\W*$", r"loading\W*$",
+    r"(?:please |you need to )?(?:enable|allow|turn on|switch on) (?:javascript|js|scripts)\b", r"javascript is (?:disabled|required)", r"(?:this|the) \w+ (?:needs|requires|works best with) (?:javascript|scripts)\b", r"bitte aktivieren sie (?:javascript|skripte)", r"your browser (?:is too old|is not supported|does not support)", r"checking (?:your browser|that you are human)", r".{0,30}verify that you are human", r"just a moment\W*$", r"loading\W*$",
 ]
 NOTICE_RE = re.compile("|".join(NOTICES))
 
