@@ -10,9 +10,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Character references that occur in titles, by name (fixed values); numeric ones are read by their number.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "middot": "·", "bull": "•",
+}
+
+
+def unescape(text: Column) -> Column:
+    """Character references of :data:`ENTITIES`, ``&amp;`` (last, so that nothing is read twice) and numeric ones replaced."""
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"), F.lit(1)))
+    text = F.when(F.size(codes) == 0, text).otherwise(F.aggregate(codes, text, lambda t, c: F.replace(t, F.concat(F.lit("&#"), c, F.lit(";")), _char(c))))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def _char(code: Column) -> Column:
+    """The character of a code point, written in decimal or, after an x, in hexadecimal."""
+    digits = F.when(F.lower(code).startswith("x"), F.substring(code, 2, 10)).otherwise(F.hex(code.cast("int")))
+    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+
+def feed_links(xml: Column) -> Column:
+    """The links of RSS items and Atom entries, in order, without empty ones."""
+    items = F.regexp_extract_all(xml, F.lit(r"(?is)(<(?:item|entry)\b.*?</(?:item|entry)>)"), F.lit(1))
+
+    def link(x: Column) -> Column:
+        rss = F.trim(F.regexp_extract(x, r"(?is)<link>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</link>", 1))
+        atom = F.trim(F.regexp_extract(x, r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']+)[\"']", 1))
+        return F.coalesce(F.nullif(rss, F.lit("")), F.nullif(atom, F.lit("")))
+
+    return F.filter(F.transform(items, link), lambda x: x.isNotNull())
+
+
 def title(html: Column) -> Column:
-    """Text of the first ``<title>``, entities of the markup kept, trimmed; '' if there is none."""
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    """Text of the first ``<title>``, character references replaced, white space collapsed, trimmed; '' if there is none."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
 
 
 def strip_tags(html: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def words(text: Column) -> Column:
 def matches(text: Column, tokens: Column, patterns: tuple[str, ...]) -> Column:
     """Number of matches of all patterns. ``tokens`` is ``words(text)``, computed once by the caller.
 
-    Patterns of one word are counted among the tokens. Phrases run as regular expressions, and only in texts
-    that hold one of their marker words.
+    Patterns of one word are counted among the tokens. Phrases run as regular expressions, all of them literals
+    that are compiled once, and only in texts that hold one of their marker words.
     """
     single = [w for p in patterns if (w := L.single_word(p))]
     table = [(L.markers(p), L.java(p)) for p in patterns if not L.single_word(p)]
@@ -47,9 +49,13 @@ def matches(text: Column, tokens: Column, patterns: tuple[str, ...]) -> Column:
     if table:
         markers = sorted({m for ms, _ in table for m in ms})
         present = F.array_intersect(tokens, F.array(*map(F.lit, markers)))
-        rows = F.array(*[F.struct(F.array(*map(F.lit, ms)).alias("markers"), F.lit(p).alias("pattern")) for ms, p in table])
+        rows = F.array(*[F.struct(F.array(*map(F.lit, ms)).alias("markers"), F.lit(i).alias("at")) for i, (ms, _) in enumerate(table)])
         likely = F.filter(rows, lambda r: F.arrays_overlap(r["markers"], present))
-        out = out + F.when(F.size(present) == 0, 0).otherwise(F.aggregate(likely, F.lit(0), lambda n, r: n + F.regexp_count(text, r["pattern"])))
+
+        def count(at: Column) -> Column:
+            return reduce(lambda other, i: F.when(at == i, F.regexp_count(text, F.lit(table[i][1]))).otherwise(other), range(len(table)), F.lit(0))
+
+        out = out + F.when(F.size(present) == 0, 0).otherwise(F.aggregate(likely, F.lit(0), lambda n, r: n + count(r["at"])))
     return out
 
 
@@ -58,6 +64,21 @@ def content_counts(text: Column, tokens: Column, groups: tuple[L.Group, ...] = L
     return [(g, matches(text, tokens, g.patterns)) for g in groups]
 
 
+def content_reasons(text: Column, groups: tuple[L.Group, ...] = L.CONTENT) -> Column:
+    """array(struct(category, pattern, matches, reason)) with one entry per content pattern that matches, in the order of the lexicon."""
+    low = F.lower(text)
+    rows = []
+    for g in groups:
+        for p in g.patterns:
+            # a pattern only runs where one of its words stands
+            likely = reduce(lambda a, b: a | b, [low.contains(m) for m in ((L.single_word(p),) if L.single_word(p) else L.markers(p))])
+            n = F.when(likely, F.regexp_count(text, F.lit(L.java(p)))).otherwise(0)
+            sign = "Positive" if g.weight > 0 else "Negative"
+            rows.append(F.struct(F.lit(g.name).alias("category"), F.lit(p).alias("pattern"), n.alias("matches"), F.lit(f"{sign} ({g.name}): ").alias("reason")))
+    hit = F.filter(F.array(*rows), lambda r: r["matches"] > 0)
+    return F.transform(hit, lambda r: F.struct(r["category"], r["pattern"], r["matches"], F.concat(r["reason"], r["matches"].cast("string"), F.lit(" matches")).alias("reason")))
+
+
 def structural_html(html: Column, url: Column) -> Column:
     """+2 for a feed link, +1 for an article author, +1 for a path that starts with a year from 2000 to 2029."""
     feed = html.rlike(r"(?is)<link[^>]*type\s*=\s*[\"']application/rss\+xml[\"']")
@@ -129,10 +150,10 @@ def structural_decision(tenths: Column) -> Column:
 
 
 def indicators(text: Column, lower: Column) -> Column:
-    """array(struct(type, pattern, score)) of the structural patterns present."""
+    """array(struct(type, pattern, score, description)) of the structural patterns present."""
     all_ = [("personal", p, w) for p, w in L.STRUCTURE_PERSONAL.items()] + [("corporate", p, w) for p, w in L.STRUCTURE_CORPORATE.items()]
     rows = [
-        F.when(lower.contains(L.literal(p)) & text.rlike(L.java(p)), F.struct(F.lit(kind).alias("type"), F.lit(p).alias("pattern"), F.lit(w / 10).alias("score")))
+        F.when(lower.contains(L.literal(p)) & text.rlike(L.java(p)), F.struct(F.lit(kind).alias("type"), F.lit(p).alias("pattern"), F.lit(w / 10).alias("score"), F.lit(f"Found {kind} indicator: {p}").alias("description")))
         for kind, p, w in all_
     ]
     return F.filter(F.array(*rows), lambda x: x.isNotNull())

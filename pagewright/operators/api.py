@@ -20,7 +20,8 @@ def search_response(docs: DataFrame, query: str, limit: int = 10, page: int = 1,
         rows = basic.select("url", F.lit(0).alias("src"), F.col("doc_idx").alias("pos"))
     else:
         rows = vectors.fallback_merge(basic.select("url", F.col("doc_idx").alias("pos")), semantic, limit)
-    best = docs.select("doc_idx", *low).groupBy("url").agg(F.min_by(F.struct("title", "content"), "doc_idx").alias("d"))
+    # only the rows of the page's own urls are looked up: at most `limit` urls, pushed to the scan side as a semi-join
+    best = docs.select("doc_idx", *low).join(F.broadcast(rows.select("url")), "url", "left_semi").groupBy("url").agg(F.min_by(F.struct("title", "content"), "doc_idx").alias("d"))
     strategy = F.when(F.max("src").over(_all()) > 0, "basic_with_semantic_fallback").otherwise("basic_only")
     place = F.row_number().over(_all().orderBy("src", "pos"))
     return rows.join(best, "url", "left").select("url", F.col("d.title").alias("title"), X.snippet(F.col("d.content")).alias("snippet"), place.alias("position"), strategy.alias("search_strategy"))

@@ -40,14 +40,35 @@ def filtered(pages: DataFrame, key: str, url: str, text: str | None, html: str |
     h = F.coalesce(F.col(html), F.lit("")) if html else F.lit("")
     u = F.coalesce(F.col(url), F.lit(""))
     base = pages.select(F.col(key), u.alias("_u"), t.alias("_t"), h.alias("_h")).withColumn("_w", S.words(F.col("_t")))
-    content = sum((c * g.weight for g, c in S.content_counts(F.col("_t"), F.col("_w"))), F.lit(0))
-    structural = F.when(F.col("_h") != "", S.structural_html(F.col("_h"), F.col("_u"))).otherwise(0)
-    scores = F.struct(S.domain_score(U.canonical_domain(F.col("_u"))).alias("domain_score"), content.alias("content_score"), structural.alias("structural_score"))
     # a generator keeps later filters from copying the long expressions
-    parts = base.select(key, F.inline(F.array(scores)))
+    parts = base.select(key, F.inline(F.array(_rules(F.col("_u"), F.col("_t"), F.col("_h"), F.col("_w")))))
     return parts.withColumn("r", S.page_filter(F.col("domain_score"), F.col("content_score"), F.col("structural_score"))).select(*parts.columns, "r.*")
 
 
+def _rules(url: Column, text: Column, html: Column, words: Column) -> Column:
+    """struct(domain_score, content_score, structural_score) of columns without nulls; ``words`` is ``S.words(text)``, computed once by the caller."""
+    content = sum((c * g.weight for g, c in S.content_counts(text, words)), F.lit(0))
+    structural = F.when(html != "", S.structural_html(html, url)).otherwise(0)
+    return F.struct(S.domain_score(U.canonical_domain(url)).alias("domain_score"), content.alias("content_score"), structural.alias("structural_score"))
+
+
+_SECTIONS = ("header", "nav", "main", "footer")
+
+
+def _cut(html: Column) -> list[Column]:
+    """The text of a page, whole and by section."""
+    return [H.strip_tags(html).alias("_text"), *[H.strip_tags(H.section(html, s)).alias(f"_{s}") for s in _SECTIONS]]
+
+
+def _structure(html: Column) -> Column:
+    """struct of the seven structural scores in tenths, over the columns of :func:`_cut`."""
+    return F.struct(
+        *[S.lexicon_tenths(F.col(f"_{s}"), F.lower(f"_{s}")).alias(s) for s in ("text", *_SECTIONS)],
+        S.link_tenths(H.anchors(html)).alias("links"),
+        S.meta_tenths(H.metas(html)).alias("metas"),
+    )
+
+
 def structural_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, text, header, nav, main, footer, links, metas, total) in tenths, from regular markup. Null html counts as ''.
 
@@ -55,13 +76,8 @@ def structural_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
     """
     h = F.coalesce(F.col(html), F.lit(""))
     base = pages.select(F.col(key), h.alias("_h"))
-    texts = base.select(key, "_h", H.strip_tags(F.col("_h")).alias("_text"), *[H.strip_tags(H.section(F.col("_h"), s)).alias(f"_{s}") for s in ("header", "nav", "main", "footer")])
-    scores = F.struct(
-        *[S.lexicon_tenths(F.col(f"_{s}"), F.lower(f"_{s}")).alias(s) for s in ("text", "header", "nav", "main", "footer")],
-        S.link_tenths(H.anchors(F.col("_h"))).alias("links"),
-        S.meta_tenths(H.metas(F.col("_h"))).alias("metas"),
-    )
-    scored = texts.select(key, F.inline(F.array(scores)))
+    texts = base.select(key, "_h", *_cut(F.col("_h")))
+    scored = texts.select(key, F.inline(F.array(_structure(F.col("_h")))))
     total = sum((F.col(c) for c in scored.columns if c != key), F.lit(0))
     return scored.withColumn("total", total)
 
@@ -92,17 +108,34 @@ def cascade(stages: DataFrame, key: str, thresholds: Thresholds = OBSERVED) -> D
     return stages.select(key, r.alias("r")).select(key, F.col("r.prediction").alias("is_personal"), F.col("r.confidence").alias("confidence"), F.col("r.stage").alias("stage_used"))
 
 
-def classify(pages: DataFrame, key: str, url: str, text: str | None, html: str | None, similarities: DataFrame | None = None, thresholds: Thresholds = OBSERVED) -> DataFrame:
-    """The cascade over pages. ``similarities`` (key, personal, corporate) feeds the embedding stage of the rows that have them."""
-    rules = filtered(pages, key, url, text, html).select(key, F.struct(F.col("is_personal").cast("int").alias("prediction"), "confidence").alias("domain"))
-    structure = structural_parts(pages, key, html).select(key, S.structural_decision(F.col("total")).alias("structural")) if html else None
+def classify(
+    pages: DataFrame, key: str, url: str, text: str | None, html: str | None, similarities: DataFrame | None = None, thresholds: Thresholds = OBSERVED, tfidf: DataFrame | None = None
+) -> DataFrame:
+    """The cascade of four stages over pages, in one pass over url, text and html.
+
+    ``tfidf`` (key, prediction, confidence) and ``similarities`` (key, personal, corporate) feed the second and third stage of the rows that have them;
+    rows without text skip both. Without ``html`` the structural stage does not run. Null url, text and html count as ''; ``key`` must be unique.
+    """
+    u, t, h = (F.coalesce(F.col(c), F.lit("")) if c else F.lit("") for c in (url, text, html))
+    base = pages.select(F.col(key), u.alias("_u"), t.alias("_t"), h.alias("_h")).withColumn("_w", S.words(F.col("_t")))
+    cut = base.select("*", *_cut(F.col("_h"))) if html else base
+    scores = [_rules(F.col("_u"), F.col("_t"), F.col("_h"), F.col("_w")).alias("rules")] + [_structure(F.col("_h")).alias("parts")] * bool(html)
+    out = cut.select(key, (F.col("_t") != "").alias("_has"), F.inline(F.array(F.struct(*scores))))
     nothing = F.lit(None).cast("struct<prediction:int,confidence:double>")
-    out = rules.join(structure, key) if structure is not None else rules.withColumn("structural", nothing)
-    if similarities is not None:
-        out = out.join(similarities.select(key, prototype_decision(F.col("personal"), F.col("corporate"), thresholds.embedding).alias("embedding")), key, "left")
-    else:
-        out = out.withColumn("embedding", nothing)
-    return cascade(out.withColumn("tfidf", nothing), key, thresholds)
+    rule = S.page_filter(F.col("rules.domain_score"), F.col("rules.content_score"), F.col("rules.structural_score"))
+    total = sum((F.col(f"parts.{c}") for c in ("text", *_SECTIONS, "links", "metas")), F.lit(0)) if html else None
+    out = out.select(
+        key, "_has", F.struct(rule["is_personal"].cast("int").alias("prediction"), rule["confidence"].alias("confidence")).alias("domain"), (S.structural_decision(total) if html else nothing).alias("structural")
+    )
+
+    def stage(results: DataFrame | None, name: str, value: Column) -> DataFrame:
+        if results is None:
+            return out.withColumn(name, nothing)
+        return out.join(results.select(key, value.alias(name)), key, "left").withColumn(name, F.when(F.col("_has"), F.col(name)))
+
+    out = stage(tfidf, "tfidf", F.struct(F.col("prediction").cast("int").alias("prediction"), F.col("confidence").cast("double").alias("confidence")))
+    out = stage(similarities, "embedding", prototype_decision(F.col("personal"), F.col("corporate"), thresholds.embedding))
+    return cascade(out, key, thresholds)
 
 
 def weak_labels(filtered_pages: DataFrame, least: float = 0.7) -> DataFrame:

@@ -51,6 +51,43 @@ def links_of_subpages(pages: DataFrame, mark: str, texts: tuple[str, ...] = (),
     return targets.join(wanted.select("base", F.col("href").alias("link")), "base").select(key, "link").distinct()
 
 
+def harvest(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html_content", status: str = "status_code") -> DataFrame:
+    """(host, link): what the pages of each host lead to: anchors that name a blogroll, links of about pages, links of pages of favourites.
+
+    Only pages with status 200 count; social hosts and the own host are left out, and each link comes once per host. Hosts are
+    worked on side by side, as one plan over all pages.
+    """
+    ok = pages.filter(F.col(status) == 200)
+    a = blogroll_links(ok, key, url, html)
+    b = links_of_subpages(ok, "about", ABOUT_TEXTS, key, url, html)
+    c = links_of_subpages(ok, "favorites?|reading", (), key, url, html)
+    found = a.unionByName(b).unionByName(c).join(ok.select(key, U.raw_netloc(F.col(url)).alias("host")), key).filter("host <> ''")
+    return _other_hosts(found, "host")
+
+
+def harvest_summary(hosts: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: hosts processed, hosts with links, links (host by host), distinct links. ``hosts`` has (host), ``links`` is of :func:`harvest`."""
+    n = hosts.agg(F.count_distinct("host").alias("domains_processed"))
+    # the distinct links are counted after a distinct of their own, so that no task holds all of them
+    a = links.groupBy("host").agg(F.count("*").alias("n")).agg(F.count("*").alias("domains_with_blogrolls"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_blogroll_links"))
+    b = links.select("link").distinct().agg(F.count("*").alias("unique_blogroll_links"))
+    return n.crossJoin(a).crossJoin(b)  # one row each
+
+
+def enhanced_crawl(pages: DataFrame, documents: DataFrame, limit: int = 50, url: str = "url", html: str = "html_content") -> DataFrame:
+    """(host, link): the links of all feeds of a host, each once: feed discovery, then the first ``limit`` items of every feed found.
+
+    ``documents`` (url, xml, status_code) holds what was fetched from feed addresses; addresses without a document of status 200 give nothing.
+    """
+    fetched = documents.filter("status_code = 200 and xml is not null").select(F.col("url").alias("feed"), F.explode(F.slice(H.feed_links(F.col("xml")), 1, limit)).alias("link"))
+    return feeds(pages, url, html).join(fetched, "feed").select("host", "link").distinct()
+
+
+def indexed_hosts(docs: DataFrame, url: str = "url") -> DataFrame:
+    """(host): the distinct authorities of the index, as written; urls without one are left out."""
+    return docs.select(U.raw_netloc(F.col(url)).alias("host")).filter("host <> ''").distinct()
+
+
 #: Words in the texts of links on an about page that may lead to a person's other sites.
 ABOUT_TEXTS = ("blog", "site", "personal", "writing", "author")
 
@@ -82,7 +119,7 @@ def crawl_order(pages: DataFrame, seeds: DataFrame, max_pages: int, per_page: in
     if max_pages < 1:
         raise ValueError("max_pages must be at least 1")
     spark = pages.sparkSession
-    links = materialize(pages.groupBy("url").agg(F.first("links").alias("links")).select("url", F.slice(F.array_sort(F.array_distinct(F.coalesce("links", F.array().cast("array<string>")))), 1, per_page).alias("links")), "crawl-links")
+    links = materialize(pages.groupBy("url").agg(F.min("links").alias("links")).select("url", F.slice(F.array_sort(F.array_distinct(F.coalesce("links", F.array().cast("array<string>")))), 1, per_page).alias("links")), "crawl-links")
     frontier = seeds.select("url").distinct().join(links.select("url"), "url", "left_semi").select("url", F.array(F.lit(0)).cast("array<int>").alias("path"), F.col("url").alias("first"))
     visited, done, total, level = None, [], 0, 0
     while level < max_levels and total < max_pages:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from pagewright.functions.text import preprocess
 def train(rows: DataFrame, text: str = "text", label: str = "label", max_features: int = 3000, least: int = 10) -> PipelineModel | None:
     """Fit on (text, label 0 or 1); None below ``least`` non-empty rows or with one class only.
 
-    Unigrams and bigrams after stop words, at least 2 documents and at most 95 % of them, idf smoothed by
-    one more (added to the term frequency part), unit length, L2 penalty 1 / n.
+    Unigrams and bigrams after stop words, at least 2 documents and at most 95 % of them, tf times ln((1 + n) / (1 + docs)) + 1,
+    unit length, L2 penalty 1 / n.
     """
     ready = rows.select(preprocess(F.col(text)).alias("text"), F.col(label).cast("double").alias("label")).filter("text <> ''")
     n, classes = ready.agg(F.count("*"), F.count_distinct("label")).first()
@@ -28,11 +29,15 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", max_feature
         NGram(n=2, inputCol="one", outputCol="two"),
         SQLTransformer(statement="SELECT *, concat(one, two) AS grams FROM __THIS__"),
         CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features, minDF=2.0, maxDF=0.95),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
-        LogisticRegression(maxIter=100, regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
     ]
-    return Pipeline(stages=stages).fit(ready)
+    counts = Pipeline(stages=stages).fit(ready)
+    counted = counts.transform(ready).cache()
+    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counted).idf.toArray() + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="tfidf")
+    unit = Normalizer(inputCol="tfidf", outputCol="features", p=2.0)
+    fitted = LogisticRegression(maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(unit.transform(scale.transform(counted)))
+    counted.unpersist()
+    return PipelineModel(stages=[*counts.stages, scale, unit, fitted])
 
 
 def predict(model: PipelineModel | None, rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -47,6 +52,19 @@ def predict(model: PipelineModel | None, rows: DataFrame, key: str, text: str =
     )
 
 
+def predict_words(rows: DataFrame, key: str, text: str, weights: dict[str, float], intercept: float) -> DataFrame:
+    """(key, prediction, confidence) of a linear model over counts of words, written out as expressions: no Python, no model file.
+
+    ``weights`` are few enough for a plan. Empty and null texts get 0 and 0.0.
+    """
+    t = preprocess(F.col(text))
+    words = F.regexp_extract_all(F.col("t"), F.lit("[a-z0-9_]+"), F.lit(0))
+    table = F.create_map(*[x for w, v in sorted(weights.items()) for x in (F.lit(w), F.lit(float(v)))])
+    z = F.aggregate(words, F.lit(float(intercept)), lambda s, w: s + F.coalesce(table[w], F.lit(0.0)))
+    scored = rows.select(F.col(key), t.alias("t")).select(key, (F.col("t") == "").alias("empty"), F.explode(F.array(z)).alias("z"))
+    return scored.select(key, F.when(F.col("empty") | (F.col("z") <= 0), 0).otherwise(1).alias("prediction"), F.when(F.col("empty"), 0.0).otherwise(1 / (1 + F.exp(-F.abs("z")))).alias("confidence"))
+
+
 def idf_weights(docs: DataFrame, key: str, text: str, min_docs: int = 2) -> DataFrame:
     """(term, docs, idf): ln((1 + n) / (1 + docs)) + 1 of every word of two letters or more in at least ``min_docs`` texts."""
     words = F.array_distinct(F.regexp_extract_all(preprocess(F.col(text)), F.lit("[a-z0-9_]{2,}"), F.lit(0)))

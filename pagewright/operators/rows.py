@@ -37,6 +37,29 @@ def moving_average(df: DataFrame, value: str, order: list[str], width: int, bloc
     return spread.withColumn("moving_average", F.avg(value).over(w)).filter("_block = _own").drop("_rank", "_own", "_block")
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantiles of ``value`` (no nulls), exact: values are counted, and the counts ranked over range partitions."""
+    counted = df.groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(value).withColumn("_p", F.spark_partition_id())
+    counted = materialize(counted, "quantiles")
+    parts = counted.groupBy("_p").agg(F.sum("_c").alias("_n"))  # one row per partition
+    before = parts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    upto = F.sum("_c").over(Window.partitionBy("_p").orderBy(value))
+    ranked = counted.join(F.broadcast(before), "_p").withColumn("_hi", upto + F.col("_before")).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    total = ranked.agg(F.sum("_c").alias("_t"))
+    r = ranked.crossJoin(F.broadcast(total))  # one row
+
+    def pick(p: float) -> Column:
+        pos = (F.col("_t") - 1) * p
+
+        def nth(k: Column) -> Column:
+            return F.max(F.when((F.col("_lo") <= k) & (k < F.col("_hi")), F.col(value)))
+
+        lo, hi, part = nth(F.floor(pos)), nth(F.ceil(pos)), F.max(pos - F.floor(pos))
+        return lo + (hi - lo) * part
+
+    return r.agg(*[pick(p).alias(n) for n, p in at.items()])
+
+
 def page_of(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
     """Page ``page`` (from 1) of ``limit`` rows; the rows up to its end are taken by a top-k, not by a full sort."""
     if limit < 1 or page < 1:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as X
 from pagewright.functions import urls as U
 
 #: Prototypes that may go into a plan.
@@ -69,18 +70,24 @@ def prototype_decision(personal: Column, corporate: Column, threshold: float = 0
 
 
 def hashing_encoder(dim: int = 256) -> Callable[[Column], Column]:
-    """A stand-in encoder: signed hashed words, scaled to unit length. Any pandas UDF string -> array<float> can take its place."""
+    """A stand-in encoder: words counted in the bucket of their MD5, scaled to unit length; null and empty texts give zeros.
 
-    @F.pandas_udf("array<float>")
+    Any pandas UDF string -> array of numbers can take its place.
+    """
+
+    @F.pandas_udf("array<double>")
     def encode(texts: pd.Series) -> pd.Series:
-        import zlib
+        from hashlib import md5
 
+        known: dict[str, int] = {}
         out = []
         for t in texts:
-            v = np.zeros(dim, np.float32)
+            v = np.zeros(dim)
             for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1.0 if h >> 31 else -1.0
+                at = known.get(w)
+                if at is None:
+                    at = known[w] = int(md5(w.encode()).hexdigest()[:4], 16) % dim
+                v[at] += 1.0
             n = float(np.linalg.norm(v))
             out.append(v / n if n else v)
         return pd.Series(out)
@@ -88,6 +95,34 @@ def hashing_encoder(dim: int = 256) -> Callable[[Column], Column]:
     return encode
 
 
+def embed_corpus(docs: DataFrame, key: str, encoder: Callable[[Column], Column], max_docs: int = 0, title: str = "title", content: str = "content", kind: str = "array<float>") -> DataFrame:
+    """(key, embedding): title and first 500 characters of the content, encoded and cast to ``kind``.
+
+    ``max_docs`` above 0 takes only so many documents, the first by key (a top-k, not a full sort). The encoder
+    works on Arrow batches (spark.sql.execution.arrow.maxRecordsPerBatch).
+    """
+    text = docs.select(key, X.embedding_text(F.col(title), F.col(content)).alias("t"))
+    if max_docs > 0:
+        text = text.orderBy(key).limit(max_docs)
+    return text.select(key, encoder(F.col("t")).cast(kind).alias("embedding"))
+
+
+def classify_pages(pages: DataFrame, prototypes: DataFrame, encoder: Callable[[Column], Column], key: str, threshold: float = 0.7) -> DataFrame:
+    """(key, domain, is_personal, confidence): text representation, encoder, nearest prototypes.
+
+    ``pages`` has key, url, title, description and content; ``prototypes`` (proto_id, title, domain, meta_description, content, is_personal). Null fields are left out of
+    the representation; a page none of whose prototypes reaches ``threshold`` has a null class.
+    """
+
+    def vectors(df: DataFrame, name: str, domain: Column, description: str) -> DataFrame:
+        return df.select(F.col(name).cast("long").alias("vec_id"), encoder(X.representation(F.col("title"), domain, F.col(description), F.col("content"))).alias("embedding"), *(["is_personal"] if name == "proto_id" else []))
+
+    protos = vectors(prototypes.filter("is_personal is not null"), "proto_id", F.col("domain"), "meta_description").withColumnRenamed("is_personal", "label")
+    near = class_maxima(vectors(pages, key, U.extracted_domain(F.col("url")), "description"), protos)
+    r = near.select(F.col("vec_id").alias(key), prototype_decision(F.col("personal"), F.col("corporate"), threshold).alias("r"))
+    return pages.select(key, U.extracted_domain(F.col("url")).alias("domain")).join(r, key).select(key, "domain", F.col("r.prediction").alias("is_personal"), F.col("r.confidence").alias("confidence"))
+
+
 def hybrid(keyword: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
     """(url, hybrid_score, origin): keyword rows score 0.3 of their semantic score (0 without one), other semantic rows 0.7 of theirs.
 

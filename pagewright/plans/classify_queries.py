@@ -68,7 +68,7 @@ def content_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: A lexicon whose patterns do occur in the test texts.
-FIXTURE = (L.Group("articles", 1, (r"BtheB", r"Bthe\s+(inbox|drum)B")), L.Group("notes", 2, (r"BnotesB", r"Bmy\s+(plan|rule)B")))
+FIXTURE = (L.Group("articles", 1, (r"\bthe\b", r"\bthe\s+(inbox|drum)\b")), L.Group("notes", 2, (r"\bnotes\b", r"\bmy\s+(plan|rule)\b")))
 
 
 @query(f"""SELECT doc_id, {', '.join(f"CAST({_count_sql('t', g)} AS INT) AS {g.name}" for g in FIXTURE)}, CAST({' + '.join(f"{_count_sql('t', g)} * {g.weight}" for g in FIXTURE)} AS INT) AS content_score
@@ -147,13 +147,13 @@ def structural_sections_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 _IND = " UNION ALL ".join(
-    f"SELECT page_id, '{kind}' AS type, '{p.replace(chr(39), chr(39) * 2)}' AS pattern, {w / 10} AS score FROM t WHERE regexp_matches(x, {_re(p)})"
+    f"SELECT page_id, '{kind}' AS type, '{p.replace(chr(39), chr(39) * 2)}' AS pattern, {w / 10} AS score, 'Found {kind} indicator: {p.replace(chr(39), chr(39) * 2)}' AS description FROM t WHERE regexp_matches(x, {_re(p)})"
     for kind, lex in (("personal", L.STRUCTURE_PERSONAL), ("corporate", L.STRUCTURE_CORPORATE))
     for p, w in lex.items()
 )
 
 
-@query(f"WITH t AS (SELECT page_id, {_strip_sql('html_content')} AS x FROM crawled_pages WHERE html_content IS NOT NULL) SELECT page_id, type, pattern, CAST(score AS DOUBLE) AS score FROM ({_IND})")
+@query(f"WITH t AS (SELECT page_id, {_strip_sql('html_content')} AS x FROM crawled_pages WHERE html_content IS NOT NULL) SELECT page_id, type, pattern, CAST(score AS DOUBLE) AS score, description FROM ({_IND})")
 def structural_indicators(spark: SparkSession, d: str) -> DataFrame:
     t = spread(table(spark, d, "crawled_pages").select("page_id", "url", "html_content")).filter("html_content is not null").select("page_id", H.strip_tags(F.col("html_content")).alias("x")).withColumn("low", F.lower("x"))
     return t.select("page_id", F.explode(S.indicators(F.col("x"), F.col("low"))).alias("i")).select("page_id", "i.*")
@@ -233,18 +233,6 @@ def same_site_links(spark: SparkSession, d: str) -> DataFrame:
     return crawl.same_site_links(table(spark, d, "crawled_pages"))
 
 
-@query()
-def blogroll_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of anchors that name a blogroll."""
-    return crawl.blogroll_links(table(spark, d, "crawled_pages"))
-
-
-@query()
-def about_page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links on the about pages that pages lead to."""
-    return crawl.links_of_subpages(table(spark, d, "crawled_pages"), "about", crawl.ABOUT_TEXTS)
-
-
 @query(f"""SELECT host, 'https://' || host || f AS feed FROM (SELECT DISTINCT {_NET.format(x='url')} AS host FROM crawled_pages), (SELECT unnest({quoted(L.FEED_PATHS)}) AS f) WHERE host <> ''
     UNION SELECT host, CASE WHEN starts_with(h, '/') THEN 'https://' || host || h ELSE h END FROM (SELECT host, regexp_extract(tag, '(?is)href\\s*=\\s*["'']([^"'']+)["'']', 1) AS h FROM (
       SELECT {_NET.format(x='url')} AS host, unnest(regexp_extract_all(html_content, '(?is)(<link\\b[^>]*type\\s*=\\s*["'']application/(?:rss|atom)\\+xml["''][^>]*>)', 1)) AS tag FROM crawled_pages)) WHERE h <> '' AND host <> ''""")

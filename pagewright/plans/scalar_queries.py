@@ -80,7 +80,17 @@ def url_prefilter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_index").select("doc_idx", U.prefilter(F.col("url")).alias("r")).select("doc_idx", "r.*")
 
 
-@query(rf"SELECT page_id, trim(regexp_replace(regexp_extract(html_content, '(?is)<title[^>]*>(.*?)</title>', 1), '{WS}+', ' ', 'g')) AS title FROM crawled_pages")
+def _unescape_sql(expr: str) -> str:
+    for name, char in H.ENTITIES.items():
+        expr = f"replace({expr}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    codes = f"list_distinct(regexp_extract_all({expr}, '&#([0-9]{{1,6}}|[xX][0-9a-fA-F]{{1,5}});', 1))"
+    return f"replace(list_reduce(list_prepend({expr}, {codes}), lambda t, c: replace(t, '&#' || c || ';', chr(CAST(CASE WHEN lower(c[1]) = 'x' THEN '0x' || c[2:] ELSE c END AS INT)))), '&amp;', '&')"
+
+
+_TITLE = "regexp_extract(html_content, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(rf"SELECT page_id, CASE WHEN t IS NOT NULL THEN trim(regexp_replace({_unescape_sql('t')}, '{WS}+', ' ', 'g')) END AS title FROM (SELECT page_id, {_TITLE} AS t FROM crawled_pages)")
 def page_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawled_pages").select("page_id", H.title(F.col("html_content")).alias("title"))
 

@@ -9,9 +9,11 @@ from pagewright.functions import urls as U
 from pagewright.operators import index as I
 from pagewright.operators import ingest, reports
 from pagewright.operators import vectors as V
-from pagewright.operators.rows import keep_first
-from pagewright.plans.runtime import spread, table
+from pagewright.operators.rows import page_of
+from pagewright.plans.joins import checked_join
+from pagewright.plans.runtime import materialize, scratch_path, spread, table
 from pagewright.plans.scalar_queries import WS, with_normal_url
+from pagewright.sources.files import write_postings
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -95,8 +97,8 @@ def search_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT key, first(url ORDER BY doc_idx) AS url, min(doc_idx) AS doc_idx, count(*) AS n FROM ({with_normal_url('search_index', 'doc_idx, url')}) WHERE key <> '' GROUP BY key")
 def dedup_url_api(spark: SparkSession, d: str) -> DataFrame:
     keyed = spread(table(spark, d, "search_index").select("doc_idx", "url")).select("doc_idx", "url", U.normalize(F.col("url")).alias("key")).filter("key <> ''")
-    n = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    return keep_first(keyed, ["key"], [F.col("doc_idx")]).join(n, "key").select("key", "url", "doc_idx", "n")
+    first = keyed.groupBy("key").agg(F.min_by("url", "doc_idx").alias("url"), F.min("doc_idx").alias("doc_idx"), F.count("*").alias("n"))
+    return first.select("key", "url", "doc_idx", "n")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT coalesce(url, chr(0))) AS kept, count(*) - count(DISTINCT coalesce(url, chr(0))) AS removed FROM search_index")
@@ -106,7 +108,40 @@ def dedup_index_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text")
 def dedup_text_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return keep_first(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), ["text"], [F.col("doc_id")])
+    """Texts are grouped by hash, and only the few rows that go are joined back: no text is shuffled while these fit a checked broadcast."""
+    texts = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    hashed = texts.select("doc_id", F.sha2("text", 256).alias("h"))
+    first = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    copies = checked_join(hashed, materialize(first, "dedup-first"), ["h"], "inner", "doc_id").filter("doc_id <> first").select("doc_id")
+    return checked_join(texts, materialize(copies, "dedup-copies"), ["doc_id"], "left_anti", "doc_id")
+
+
+def _index_on(spark: SparkSession, d: str) -> DataFrame:
+    """The written index of titles: clustered and sorted by term."""
+    path = scratch_path(spark, "postings")
+    write_postings(I.postings(table(spark, d, "search_index"), "doc_idx", "title"), path)
+    return spark.read.parquet(path)
+
+
+@query(_hits(["and", "the"]) + " LIMIT 10")
+def search_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Conjunctive search by intersecting the postings of a written index, then looking up the documents."""
+    docs = table(spark, d, "search_index")
+    hits = I.score(I.matching_by_index(_index_on(spark, d), docs, "the and", "doc_idx"), "the and")
+    return page_of(hits, [F.desc("score"), F.asc("doc_idx")], 1, 10).select("doc_idx", "url", "title", "score")
+
+
+@query(f"SELECT doc_idx FROM ({_postings('substring(content, 1, 500)')}) WHERE term IN ('the', 'and') GROUP BY doc_idx HAVING count(*) = 2")
+def search_content_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose indexed content holds all terms, from the content postings."""
+    docs = table(spark, d, "search_index")
+    return I.matching_by_index(I.postings(docs, "doc_idx", "content", 500), docs.select("doc_idx"), "the and", "doc_idx")
+
+
+@query(_postings("substring(content, 1, 500)"))
+def postings_content500(spark: SparkSession, d: str) -> DataFrame:
+    """The content postings themselves."""
+    return I.postings(table(spark, d, "search_index"), "doc_idx", "content", 500)
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.functions import html as H
+
 #: Search document as the index builder writes it; rows of the ingest form lack most fields.
 DOCUMENT = (
     "url string, title string, description string, content string, author string, domain string, is_personal int, confidence double, stage_used string, extracted_at string, "
@@ -81,14 +84,7 @@ def read_any_encoding(spark: SparkSession, path: str, schema: str = DOCUMENT) ->
 def feed_items(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
     """(feed, pos, link) of RSS items and Atom entries in XML files, the first ``limit`` per file in document order."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("feed"), "value")
-    items = F.regexp_extract_all("value", F.lit(r"(?is)(<(?:item|entry)\b.*?</(?:item|entry)>)"), F.lit(1))
-    e = raw.select("feed", F.posexplode(F.slice(items, 1, limit)).alias("pos", "item"))
-
-    def grab(pattern: str) -> Column:
-        return F.trim(F.regexp_extract("item", pattern, 1))
-
-    rss, atom = grab(r"(?is)<link>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</link>"), grab(r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']+)[\"']")
-    return e.select("feed", "pos", F.coalesce(F.nullif(rss, F.lit("")), F.nullif(atom, F.lit(""))).alias("link")).filter("link is not null")
+    return raw.select("feed", F.posexplode(F.slice(H.feed_links(F.col("value")), 1, limit)).alias("pos", "link"))
 
 
 def write_index(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
@@ -108,12 +104,14 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def load_or_create(spark: SparkSession, path: str, create) -> DataFrame:  # noqa: ANN001
-    """The parquet table at ``path``; if it cannot be read, ``create()`` is written there first."""
+    """The parquet table at ``path``; if there is none, ``create()`` is written there first. A table that cannot be read is an error, and stays as it is."""
     try:
         return spark.read.parquet(path)
-    except Exception:
-        create().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    create().write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_prototype_store(protos: DataFrame, params: dict, path: str) -> None:
