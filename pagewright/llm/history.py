@@ -1,27 +1,46 @@
-"""Problem 5: new batches against everything accepted before, by a segment index.
-
-A text's word n-grams are drawn into a string of ``BANDS`` symbols (see sigtree): minwise
-bucketing. The index cuts the string into segments of one symbol each and stores them with
-the batch. A batch probes the index with its own segments, keeps the pairs whose sizes and
-bitmaps allow the similarity, and verifies these on whole n-gram sets. Strings that differ in
-every symbol share no segment: at a similarity of 0.6 that is one pair in 5 million, however
-many edited copies a text has, as each n-gram is as likely to be drawn as any other.
-Accepting a batch appends its segments; no text is read again.
-
-Edit distance over raw characters cannot bound the similarity of sets of word n-grams (one
-moved paragraph is a long edit), so the strings compared are those of the draws.
-Addresses are compared by their normal form; rows with equal n-gram sets by the set's hash.
+"""Problem 5: new batches against everything accepted before, by a persisted segment index.
+
+The index holds, in a folder that outlives the session: the segments of every accepted text by position and value (a
+sketch string of fixed length is cut into segments of fixed number and length, see segments), its size and whole sketch
+string, the hash of its n-gram set, and the normal form of its address, each with the batch that brought it. ``SegmentIndex.open``
+takes up a folder again.
+
+``accept`` takes one batch, with ascending numbers:
+
+1. Rows whose address or whole n-gram set the index has are known.
+2. The other rows' segments are the probe: a filter of their values, sized to the batch, is held against the stored segments where these lie, so only
+   the batch's own segments leave the scan. First every row meets one text per segment; rows that this does not settle meet all of them.
+3. Pairs must have sizes that allow the similarity and sketch strings within ``most_edits`` substitutions (the strings have one length, so this bounds their edit distance);
+   what is left is verified on whole n-gram sets, read from the collection for these texts only.
+4. The batch's own segments, sketches, sets and addresses are appended. Nothing stored is rewritten, and no old text is drawn again.
+
+Raw edit distance over characters cannot bound the similarity of sets of word n-grams (one moved paragraph is a long
+edit), so the strings compared are the sketch strings: at similarity 0.6 a row misses every segment of its partner with a probability of 1.7e-7, and
+exceeds ``most_edits`` with one of 1e-9, however large its family.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, sqrt
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import sigtree as S
+from pagewright.llm import grams as G
+from pagewright.llm import segments as S
+from pagewright.llm import sigtree as T
 from pagewright.plans.joins import checked_join
 from pagewright.plans.runtime import materialize, scratch_path, table
 
+#: Bits of the filter per segment of the batch (at least 2^FILTER_LEAST, at most 2^FILTER_MOST in all: 64 MB; a larger batch lets more segments through).
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 29
+U = np.uint64
+
+
 #: Parameters that only track where a visitor came from (fixed values).
 TRACKING = r"(?i)^(utm.*|fbclid|gclid|ref|share)$"
 
@@ -41,99 +60,196 @@ def address_key(url: Column) -> Column:
     return F.when(u != "", F.concat(scheme, F.lit("://"), port, path, F.lit("?"), F.array_join(kept, "&")))
 
 
-def probe(sigs: DataFrame, since: int, threshold: float) -> DataFrame:
-    """(cid_a, cid_b): pairs of a class of batch ``since`` or later and one of an earlier batch that share a segment and can reach the threshold.
+def most_edits(threshold: float) -> int:
+    """Substitutions between the sketch strings of two texts at ``threshold`` that six standard deviations allow."""
+    n = S.SEGMENTS * S.LENGTH
+    return min(n, ceil(n * (1 - threshold) + 6 * sqrt(n * threshold * (1 - threshold))))
 
-    ``sigs`` has (cid, first, n, draws, bits) of all classes; first is the earliest batch, n the size. Segments that one batch only holds end before the join.
-    """
-    live = S.postings(sigs, ["first"]).groupBy("root").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo < hi").select("root")
-    live = materialize(live, "p5-live")
-    met = materialize(S.meeting(sigs, live, ["first", "n"]).withColumnRenamed("root", "seg"), "p5-met")
-    old = met.select("seg", F.col("cid").alias("cid_b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"))
-    fresh = met.filter(F.col("first") >= since).select("seg", F.col("cid").alias("cid_a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"))
-    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6
-    pairs = fresh.join(old, "seg").filter((F.col("first_b") < F.col("first_a")) & fits).select("cid_a", "cid_b").distinct()
-    one = sigs.select("cid", "n", "bits")
-    both = pairs.join(one.select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "cid_a").join(
-        one.select(F.col("cid").alias("cid_b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "cid_b"
-    )
-    return both.filter(S.possible(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"), threshold)).select("cid_a", "cid_b")
-
-
-def known_by_address(rows: DataFrame) -> DataFrame:
-    """doc_idx of rows whose address an earlier batch has; rows without an address match none."""
-    keyed = rows.select("doc_idx", "batch_no", F.xxhash64(address_key(F.col("url"))).alias("address"), address_key(F.col("url")).isNotNull().alias("has")).filter("has").drop("has")
-    keyed = materialize(keyed, "p5-addresses")
-    early = materialize(keyed.groupBy("address").agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).filter("lo < hi").select("address", "lo"), "p5-early")
-    return checked_join(keyed, early, ["address"], "inner", "doc_idx").filter("batch_no > lo").select("doc_idx")
-
-
-def known_by_content(rows: DataFrame, n: int = 3, threshold: float = 0.6, min_words: int = 20) -> DataFrame:
-    """doc_idx of rows whose content is similar to that of a row of an earlier batch."""
-    sigs = materialize(S.signatures(rows, "doc_idx", "content", ["batch_no"], n, min_words), "p5-sigs")
-    # a class of equal sets: its smallest row stands for it, its earliest batch decides
-    multi = materialize(
-        sigs.groupBy("sum", "n").agg(F.min("doc_idx").alias("cid"), F.min("batch_no").alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m"), "p5-classes"
-    )
-    members = materialize(checked_join(sigs.select("doc_idx", "batch_no", "sum", "n"), multi, ["sum", "n"], "inner", "doc_idx").select("doc_idx", "batch_no", "cid", "first"), "p5-members")
-    reps = (
-        checked_join(sigs, members.select("doc_idx", "cid", "first"), ["doc_idx"], "left", "doc_idx", S.BROADCAST_IDS)
-        .filter("cid is null or cid = doc_idx")
-        .select(F.col("doc_idx").alias("cid"), F.coalesce("first", "batch_no").alias("first"), "n", "draws", "bits")
-    )
-    reps = materialize(reps, "p5-reps")
-    first = reps.select("cid", "first")
-    candidates = probe(reps, 1, threshold)
-    pairs = S.verified(candidates, rows, "doc_idx", "content", n, threshold)
-    # the earliest batch that a class or one of its similar classes has
-    earlier = pairs.join(first.select(F.col("cid").alias("cid_b"), F.col("first").alias("first_b")), "cid_b").groupBy("cid_a").agg(F.min("first_b").alias("seen"))
-    earlier = materialize(earlier.withColumnRenamed("cid_a", "cid"), "p5-seen")
-    single = rows.select("doc_idx", "batch_no").join(members.select("doc_idx"), "doc_idx", "left_anti").withColumn("cid", F.col("doc_idx")).withColumn("first", F.col("batch_no"))
-    every = members.select("doc_idx", "batch_no", "cid", "first").unionByName(single)
-    return checked_join(every, earlier, ["cid"], "left", "doc_idx").filter("batch_no > least(first, coalesce(seen, first))").select("doc_idx")
-
-
-def known_rows(rows: DataFrame) -> DataFrame:
-    """doc_idx of the rows of batch 1 and later that some row of a smaller batch_no has by address or by content.
 
-    A null batch_no counts as 0. doc_idx must be unique.
-    """
-    rows = rows.select("doc_idx", "url", "content", F.coalesce("batch_no", F.lit(0)).alias("batch_no"))
-    return known_by_address(rows).unionByName(known_by_content(rows)).distinct()
+def _slots(roots: np.ndarray, bits: int) -> np.ndarray:
+    return (G.mix(roots.view(U) if roots.dtype == np.int64 else roots.astype(U)) & U((1 << bits) - 1)).astype(np.int64)
+
+
+def _filter_of(parts: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits bits that holds every segment of packed rows; merged block by block in tasks."""
+    block = min(bits, 22)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [np.zeros(0, np.int64)]
+        for batch in batches:
+            at += [np.unique(_slots(S.root_ids(b, r), bits)) for b, _, r, _ in S.unpack(batch)]
+        at = np.unique(np.concatenate(at))
+        cut = np.searchsorted(at >> block, np.arange((1 << (bits - block)) + 1))
+        rows = [(i, at[a:z] - (i << block)) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x.astype(np.int32).tobytes() for _, x in rows], pa.binary())], names=["block", "at"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total.setdefault(i, np.zeros(1 << block, bool))[np.frombuffer(x.as_buffer(), np.int32)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in total.values()], pa.binary())], names=["block", "at"])
+
+    schema = "block int, at binary"
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (block - 3)
+    for r in parts.mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).toLocalIterator():
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.at, np.uint8)
+    return out
+
+
+def _places(parts: DataFrame, held: object = None, bits: int = 0) -> DataFrame:
+    """(root, cid) of packed rows; with a broadcast filter only those it may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, cids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b, kind, r, c in S.unpack(batch):
+                if kind == S.NAMES:
+                    continue
+                root = S.root_ids(b, r)
+                if held is not None:
+                    at = _slots(root, bits)
+                    ok = (held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                    root, c = root[ok], c[ok]
+                roots.append(root)
+                cids.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(roots)), pa.array(np.concatenate(cids))], names=["root", "cid"])
+
+    return parts.mapInArrow(run, "root long, cid long")
+
+
+def _edits_fit(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(cid_a, cid_b) of (cid_a, cid_b, na, nb, sa, sb) whose sizes and sketch strings allow the similarity."""
+    most = most_edits(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(0, np.int64)
+            if batch.num_rows:
+                ok = np.flatnonzero((S.matrix(batch.column(2), np.uint8) != S.matrix(batch.column(3), np.uint8)).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(2)], names=["cid_a", "cid_b"])
+
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
+    return pairs.filter(sizes).select("cid_a", "cid_b", "sa", "sb").mapInArrow(run, "cid_a long, cid_b long")
 
 
 class SegmentIndex:
-    """The persisted index: the segments (in the signatures), sets and addresses of the accepted batches.
+    """The persisted index at ``path``: what is known of every accepted row, by batch.
 
-    ``accept`` checks a batch against all accepted before and then appends it.
+    ``collection`` (key, url, content, ...) holds the texts themselves, old and new: the index keeps none, and looks up those of candidate pairs there.
+    Keys must be unique over all batches. Similarity is the Jaccard coefficient of word ``n``-grams of rows with at least ``min_words`` words.
     """
 
-    def __init__(self, spark: SparkSession, history: DataFrame, n: int = 3, threshold: float = 0.6, min_words: int = 20):
-        self.spark, self.n, self.threshold, self.min_words = spark, n, threshold, min_words
-        self.path = scratch_path(spark, "segment-index")
-        self.batches = 0
-
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """doc_idx of the rows of ``batch`` (doc_idx, url, content) whose address or similar content is accepted already."""
-        no = self.batches
-        sigs = S.signatures(batch, "doc_idx", "content", [], self.n, self.min_words)
-        sigs = materialize(sigs.select(F.col("doc_idx").alias("cid"), F.lit(no).alias("first"), "n", "draws", "bits"), "p5-new")
-        sets = materialize(S.gram_sets(batch.join(sigs.select(F.col("cid").alias("doc_idx")), "doc_idx", "left_semi"), "doc_idx", "content", self.n), "p5-new-sets")
-        addresses = batch.select("doc_idx", address_key(F.col("url")).alias("address")).filter("address is not null")
-        known = self.spark.createDataFrame([], "doc_idx long")
-        if no:
-            old = {k: self.spark.read.parquet(f"{self.path}/{k}") for k in ("sigs", "sets", "addresses")}
-            pairs = probe(sigs.unionByName(old["sigs"]), no, self.threshold)
-            both = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga")), "cid_a").join(old["sets"].select(F.col("key").alias("cid_b"), F.col("grams").alias("gb")), "cid_b")
-            common = F.size(F.array_intersect("ga", "gb"))
-            near = both.filter(common >= self.threshold * (F.size("ga") + F.size("gb") - common)).select(F.col("cid_a").alias("doc_idx"))
-            same = addresses.join(old["addresses"], "address", "left_semi").select("doc_idx")
-            known = materialize(near.unionByName(same).distinct(), "p5-known")
-        for name, df in (("sigs", sigs), ("sets", sets), ("addresses", addresses.select("address"))):
+    #: Buckets of segment values; fixed for an index, so that segments of all batches fall into the same ones.
+    BUCKETS = 64
+    TABLES = {
+        "segments": S.PACKED + ", batch int", "texts": "cid long, n int, sum long, symbols binary, batch int", "addresses": "address long, batch int", "batches": "batch int, rows long",
+    }
+
+    def __init__(self, spark: SparkSession, path: str, n: int = 3, threshold: float = 0.6, min_words: int = 20, key: str = "doc_idx"):
+        self.spark, self.path, self.n, self.threshold, self.min_words, self.key = spark, path.rstrip("/"), n, threshold, min_words, key
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options) -> SegmentIndex:  # noqa: ANN003
+        """The index at ``path``; a missing one is empty. The options must be those it was made with."""
+        return cls(spark, path, **options)
+
+    def _read(self, name: str) -> DataFrame:
+        """A table of the index. Batches that were not finished (no row in ``batches``) don't count."""
+        schema = self.TABLES[name]
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def batches(self) -> dict[int, int]:
+        """Rows of each accepted batch; one short row per batch."""
+        return {r.batch: r.rows for r in self._read("batches").collect()}
+
+    def accept(self, batch: DataFrame, batch_no: int, collection: DataFrame) -> DataFrame:
+        """(key) of the rows of ``batch`` that an accepted batch has by address or content; then the batch is accepted.
+
+        A batch number must be above those accepted; a batch that stopped half-way can be given again under its number. An empty batch changes nothing.
+        """
+        done = self.batches()
+        if done and batch_no <= max(done):
+            raise ValueError(f"batch {batch_no} is not above {max(done)}")
+        finished = F.col("batch").isin(list(done)) if done else F.lit(False)
+        old = {k: self._read(k).filter(finished) for k in ("segments", "texts", "addresses")}
+        key = self.key
+        rows = batch.select(F.col(key).cast("long").alias(key), "url", "content")
+        sigs = materialize(S.sketches(rows, key, "content", [], self.n, self.min_words).drop("rec").withColumnRenamed(key, "cid"), "p5-new")
+        addresses = rows.select(key, address_key(F.col("url")).alias("a")).filter("a is not null").select(key, F.xxhash64("a").alias("address"))
+        # rows with one set are one text of the index: its smallest key, and only if no earlier batch has the set
+        sets = materialize(sigs.groupBy("sum", "n").agg(F.min("cid").alias("cid")), "p5-sets")
+        known_sets = materialize(old["texts"].select("sum", "n").join(sets.select("sum", "n"), ["sum", "n"], "left_semi").distinct(), "p5-known-sets") if done else None
+        fresh = sigs.join(sets.select("cid"), "cid", "left_semi")
+        if done:
+            fresh = checked_join(fresh, known_sets, ["sum", "n"], "left_anti", "cid")
+        fresh = materialize(fresh, "p5-fresh")
+        parts = S.packed(fresh.select("cid", "segs"), self.BUCKETS).withColumn("batch", F.lit(batch_no))
+        where = {"segments": parts, "texts": fresh.select("cid", "n", "sum", "symbols", F.lit(batch_no).alias("batch")), "addresses": addresses.select("address", F.lit(batch_no).alias("batch")).distinct()}
+        known = self.spark.createDataFrame([], f"{key} long")
+        if done:
+            parts = materialize(parts, "p5-parts")
+            same = addresses.join(checked_first(old["addresses"].select("address"), addresses.select("address")), "address", "left_semi").select(key)
+            twins = checked_join(sigs.select("cid", "sum", "n"), known_sets, ["sum", "n"], "left_semi", "cid").select(F.col("cid").alias(key))
+            near = materialize(self._near(fresh, parts, old, collection), "p5-near")
+            # a text that is near tells of all rows of its set
+            whole = checked_join(sigs.select("cid", "sum", "n"), materialize(fresh.join(near, "cid", "left_semi").select("sum", "n"), "p5-near-sets"), ["sum", "n"], "left_semi", "cid").select(F.col("cid").alias(key))
+            known = materialize(same.unionByName(twins).unionByName(whole).distinct(), "p5-known")
+            where["segments"] = parts
+        for name, df in where.items():
             df.write.mode("append").parquet(f"{self.path}/{name}")
-        self.batches += 1
+        rows.agg(F.lit(batch_no).alias("batch"), F.count("*").alias("rows")).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         return known
 
+    def _near(self, fresh: DataFrame, parts: DataFrame, old: dict[str, DataFrame], collection: DataFrame) -> DataFrame:
+        """(cid) of the fresh texts that are similar to a stored one."""
+        n = fresh.count()
+        bits = min(max(int(n * S.SEGMENTS * FILTER_BITS).bit_length(), FILTER_LEAST), FILTER_MOST)
+        held = self.spark.sparkContext.broadcast(_filter_of(parts, bits))  # at most 2^FILTER_MOST bits
+        stored = materialize(_places(old["segments"], held, bits), "p5-stored")
+        mine = materialize(_places(parts), "p5-mine")
+        # one stored text per segment settles most rows, also those of large families, with at most SEGMENTS pairs a row
+        first = stored.groupBy("root").agg(F.min("cid").alias("cid_b"))
+        near = materialize(self._similar(mine.withColumnRenamed("cid", "cid_a").join(first, "root"), fresh, old, collection), "p5-first")
+        open_ = mine.withColumnRenamed("cid", "cid_a").join(near.withColumnRenamed("cid", "cid_a"), "cid_a", "left_anti")
+        all_pairs = open_.join(stored.withColumnRenamed("cid", "cid_b"), "root").join(first.select("root", F.col("cid_b").alias("tried")), "root").filter("cid_b <> tried")
+        return near.unionByName(self._similar(all_pairs, fresh, old, collection)).distinct()
+
+    def _similar(self, met: DataFrame, fresh: DataFrame, old: dict[str, DataFrame], collection: DataFrame) -> DataFrame:
+        """(cid) of the fresh texts cid_a of ``met`` (cid_a, cid_b) that are similar to a stored text cid_b."""
+        pairs = materialize(met.select("cid_a", "cid_b").distinct(), "p5-pairs")
+        a = checked_first(fresh, pairs.select(F.col("cid_a").alias("cid")), "cid").select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("symbols").alias("sa"))
+        b = checked_first(old["texts"], pairs.select(F.col("cid_b").alias("cid")), "cid").select(F.col("cid").alias("cid_b"), F.col("n").alias("nb"), F.col("symbols").alias("sb"))
+        fit = _edits_fit(pairs.join(a, "cid_a").join(b, "cid_b"), self.threshold)
+        sure = T.verified(fit, collection.select(F.col(self.key).cast("long").alias(self.key), "content"), self.key, "content", self.n, self.threshold)
+        return sure.select(F.col("cid_a").alias("cid")).distinct()
+
+
+def checked_first(big: DataFrame, keys: DataFrame, on: str = "address") -> DataFrame:
+    """The rows of ``big`` whose key is among ``keys``: so little of a stored table leaves its scan that what follows moves only this."""
+    return checked_join(big, materialize(keys.distinct(), "p5-keys"), [on], "left_semi", on)
+
+
+def known_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_idx of the rows of batch 1 and later that some row of a smaller batch_no has by address or by content.
+
+    The batches go through a :class:`SegmentIndex` at ``path`` (by default a scratch folder) one after the other, in the order of their numbers, which may be any. A null batch_no
+    counts as 0. doc_idx must be unique; extra columns are ignored.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("doc_idx", "url", "content", F.coalesce("batch_no", F.lit(0)).alias("batch_no"))
+    index = SegmentIndex.open(spark, path or scratch_path(spark, "segment-index"))
+    known = spark.createDataFrame([], "doc_idx long")
+    for r in rows.select("batch_no").distinct().orderBy("batch_no").toLocalIterator():  # one number per batch
+        known = known.unionByName(index.accept(rows.filter(F.col("batch_no") == r.batch_no), r.batch_no, rows))
+    return known
+
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of later batches that are known already."""
@@ -151,7 +267,7 @@ _KEY = r"""(SELECT doc_idx, batch_no, CASE WHEN trim(url) <> '' THEN s || '://'
     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', '') AS r FROM search_index))"""
 
 ORACLE_SQL = {
-    "p5_found": f"""WITH {S.GRAMS_SQL}, k AS {_KEY}, m AS (SELECT k, min(batch_no) AS lo FROM k WHERE k IS NOT NULL GROUP BY k)
+    "p5_found": f"""WITH {T.GRAMS_SQL}, k AS {_KEY}, m AS (SELECT k, min(batch_no) AS lo FROM k WHERE k IS NOT NULL GROUP BY k)
       SELECT doc_idx FROM k JOIN m USING (k) WHERE batch_no > lo
       UNION SELECT x.doc_idx FROM pairs JOIN search_index x ON x.doc_idx = b JOIN search_index y ON y.doc_idx = a WHERE x.batch_no > y.batch_no
       UNION SELECT x.doc_idx FROM pairs JOIN search_index x ON x.doc_idx = a JOIN search_index y ON y.doc_idx = b WHERE x.batch_no > y.batch_no"""

@@ -1,19 +1,17 @@
 """Problem 2: groups of near-duplicate records, by a forest of signature trees.
 
 1. Rows with the same set of word n-grams collapse into a class; only its smallest row goes on.
-2. Every class draws ``BANDS`` times ``DEPTH`` of its n-grams, each of them as likely as any
-   other: minwise sampling. Two classes that agree in the ``DEPTH`` draws of a band meet in one
-   tree; the bands' values are the roots of the forest.
-3. A record carries a bitmap of its hashed n-grams and its size. A tree's inner nodes hold
-   the OR of their records' bitmaps and their range of sizes; the dual traversal drops pairs
-   of nodes, then pairs of records, whose largest possible overlap is too small.
+2. Every class has a sketch string whose segments (see segments) are the roots of the forest: classes that have a segment in common
+   meet in one tree. One tree over all records could not be split over executors; a pair at similarity 0.6 is in no common
+   tree with a probability of 1.7e-7, however many copies its family has.
+3. A tree's records carry a bitmap of their hashed n-grams and their size. They are ordered by size band and by a symbol that
+   similar records share, and every ``FAN`` neighbours make a node, which holds the OR of the bitmaps and the range of sizes, level by level up to one node. The
+   dual traversal goes down from pairs of nodes to pairs of records, dropping those whose sizes or largest possible overlap
+   rule out the threshold.
 4. What is left is verified on the whole n-gram sets.
 
-A pair of similarity J agrees in a draw with probability J, whatever other records there are,
-and misses every tree with probability (1 - J^DEPTH)^BANDS: 1.8e-7 at 0.6, 2e-14 at 0.7; everything
-found is exact. Trees of up to ``LEAF`` records are one leaf. Larger
-ones are split by size and by share, so a root that a third of all rows share is spread
-over tasks, and its node pairs are joined only where the bound holds.
+A root of more than ``NODE`` records is cut into nodes of about ``NODE / 2`` by size band and by share; pairs of these nodes are joined where
+the bound holds, and each pair is one traversal, so a root that a third of all rows have is spread over tasks.
 """
 
 from __future__ import annotations
@@ -26,69 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import grams as G
-from pagewright.llm.sketch import SCHEMA, blocks_of, log_sketch
+from pagewright.llm import segments as S
 from pagewright.plans.joins import checked_join, salted_join
 from pagewright.plans.runtime import materialize, table
 
-#: Bands, and draws in each: more draws keep unrelated records with common phrases apart, more bands let no pair at the threshold slip.
-BANDS, DEPTH = 112, 4
-#: 64-bit words of a record's bitmap.
-WORDS = 8
-LEAF = 64
-#: Ids of candidates that are broadcast (8 bytes each); more of them are joined by shuffling the texts.
-BROADCAST_IDS = 250_000
-#: Roots shared by several records that are broadcast (16 bytes each).
-BROADCAST_ROOTS = 600_000
-#: Size of the bitmap that sifts the postings before they are shuffled, beyond that.
-FILTER_BITS = 24
-_SEEDS = G.mix(np.arange(1, BANDS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def draw(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The bands of each text (texts in order of appearance): 32 bits of a hash of the least values that its n-grams take under DEPTH hash functions."""
-    start, _ = G.spans(doc)
-    out = np.zeros((BANDS, len(start)), np.uint64)
-    for j, seed in enumerate(_SEEDS):
-        h = g * seed
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-        out[j // DEPTH] = G.mix(out[j // DEPTH] + np.minimum.reduceat(h, start))
-    return np.ascontiguousarray((out.T >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-
-
-def bitmaps(g: np.ndarray, doc: np.ndarray, rank: np.ndarray, n_docs: int) -> np.ndarray:
-    """A bitmap of WORDS 64-bit words per text."""
-    m = np.zeros((n_docs, 64 * WORDS), bool)
-    m[rank, (g % np.uint64(64 * WORDS)).astype(np.int64)] = True
-    return np.packbits(m, axis=1).view(np.int64)
-
-
-def signatures(rows: DataFrame, key: str, text: str, carry: list[str], n: int, min_words: int) -> DataFrame:
-    """(key, carry..., n, sum, draws, bits) of each row with at least ``min_words`` words: size, sum, bands of draws and bitmap of its word ``n``-grams."""
-    kept = rows.select(key, *carry, F.col(text).alias("t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in G.slices(batch, "t"):
-                g, doc, words = G.word_grams(s.column(s.num_columns - 1), n)
-                ok = words[doc] >= max(min_words, n)
-                g, doc = g[ok], doc[ok]
-                start, ids = G.spans(doc)
-                if not len(ids):
-                    continue
-                counts = np.diff(np.append(start, len(doc)))
-                bits = bitmaps(g, doc, np.repeat(np.arange(len(ids)), counts), len(ids))
-                sums = np.add.reduceat(G.mix(g), start).view(np.int64)
-                cols = [c.take(pa.array(ids)) for c in s.columns[:-1]]
-                cols += [pa.array(counts, pa.int32()), pa.array(sums), _lists(draw(g, doc)), _lists(bits)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*s.schema.names[:-1], "n", "sum", "draws", "bits"])
-
-    return kept.mapInArrow(make, f"{schema}, n int, sum long, draws array<int>, bits array<long>")
-
-
-def _lists(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1)))
+#: Records of a root up to which it is one tree, and children of a node.
+NODE, FAN = 1024, 4
+#: Trees of up to so many records are a single node: all their pairs are looked at together.
+FLAT = 16
+U = np.uint64
 
 
 def gram_sets(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -109,130 +53,191 @@ def gram_sets(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return kept.mapInArrow(make, "key long, grams array<int>")
 
 
-def possible(n1: Column, b1: Column, n2: Column, b2: Column, threshold: float) -> Column:
-    """Whether two records can reach the threshold: each bit only one bitmap has is an n-gram the other lacks."""
-    only1 = sum((F.bit_count(b1[i].bitwiseAND(F.bitwise_not(b2[i]))) for i in range(WORDS)), F.lit(0))
-    only2 = sum((F.bit_count(b2[i].bitwiseAND(F.bitwise_not(b1[i]))) for i in range(WORDS)), F.lit(0))
-    return F.least(n1 - only1, n2 - only2) >= (n1 + n2) * (threshold / (1 + threshold)) - 1e-6
-
-
-def _nodes_possible(a: str, b: str, threshold: float) -> Column:
-    """The same for two nodes: a record of one has at least as many missing bits as its bitmap has outside the other's OR.
+def _ones(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=-1).astype(np.int64)
 
-    ``slack`` is the largest number of n-grams by which a record of the node exceeds the bits of its bitmap.
-    """
-    shared = sum((F.bit_count(F.col(f"{a}.any")[i].bitwiseAND(F.col(f"{b}.any")[i])) for i in range(WORDS)), F.lit(0))
-    most = F.least(shared + F.least(f"{a}.slack", f"{b}.slack"), F.col(f"{a}.hi"), F.col(f"{b}.hi"))
-    sizes = (F.col(f"{a}.hi") >= F.col(f"{b}.lo") * threshold - 1e-6) & (F.col(f"{b}.hi") >= F.col(f"{a}.lo") * threshold - 1e-6)
-    return sizes & (most >= (F.col(f"{a}.lo") + F.col(f"{b}.lo")) * (threshold / (1 + threshold)) - 1e-6)
-
-
-def root_of(position: str, symbol: str) -> Column:
-    """Name of a root: the band and its 32 bits. A clash of two roots only adds candidates."""
-    return F.shiftleft(F.col(position).cast("long"), 32).bitwiseOR(F.col(symbol).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
+def _records_fit(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two records can reach the threshold: each bit only one bitmap has is an n-gram the other lacks."""
+    n1, n2 = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    both = x["bits"] & y["bits"]
+    most = np.minimum(n1 - _ones(x["bits"] ^ both), n2 - _ones(y["bits"] ^ both))
+    return most >= (n1 + n2) * (threshold / (1 + threshold)) - 1e-6
+
+
+class Level:
+    """The nodes of one level of a tree: range of sizes, OR of bitmaps, largest excess of a size over its bits, and first child of each."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, slack: np.ndarray, bits: np.ndarray):
+        self.lo, self.hi, self.slack, self.bits = lo, hi, slack, bits
+
+    def up(self) -> Level:
+        start = np.arange(0, len(self.lo), FAN)
+        return Level(np.minimum.reduceat(self.lo, start), np.maximum.reduceat(self.hi, start), np.maximum.reduceat(self.slack, start), np.bitwise_or.reduceat(self.bits, start, axis=0))
+
+    def pairs_fit(self, other: Level, i: np.ndarray, j: np.ndarray, threshold: float, seen: np.ndarray) -> np.ndarray:
+        """Whether nodes i of this and j of the other level may hold a similar pair. ``seen`` counts the pairs looked at, and those dropped by size and by overlap.
+
+        A record's overlap with a record of the other node is at most its size less the bits it has outside the other's OR; so for the node
+        the shared bits, plus the most n-grams that a record has beyond its bits, bound it.
+        """
+        small = (self.hi[i] >= other.lo[j] * threshold - 1e-6) & (other.hi[j] >= self.lo[i] * threshold - 1e-6)
+        most = _ones(self.bits[i] & other.bits[j]) + np.minimum(self.slack[i], other.slack[j])
+        most = np.minimum(most, np.minimum(self.hi[i], other.hi[j]))
+        fit = most >= (self.lo[i] + other.lo[j]) * (threshold / (1 + threshold)) - 1e-6
+        seen += (len(i), (~small).sum(), (small & ~fit).sum())
+        return small & fit
+
+
+def _tree(recs: np.ndarray) -> tuple[np.ndarray, list[Level]]:
+    """The records in tree order, and the levels from single records to the root."""
+    band = np.floor(np.log(np.maximum(recs["n"], 1)) / np.log(1.15)).astype(np.int64)
+    recs = recs[np.lexsort((recs["cid"], recs["near"], band))]
+    n = recs["n"].astype(np.int64)
+    levels = [Level(n, n, n - _ones(recs["bits"]), recs["bits"])]
+    while len(levels[-1].lo) > 1:
+        levels.append(levels[-1].up())
+    return recs, levels
+
+
+def traverse(a: np.ndarray, b: np.ndarray | None, threshold: float, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cid, cid) of the pairs of records of two trees, or of one with itself, that the bounds cannot rule out."""
+    a, up = _tree(a)
+    other, vp = (a, up) if b is None else _tree(b)
+    high, low = len(up) - 1, len(vp) - 1
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(i) and (high or low):
+        # down on the taller side, or on both
+        di, dj = high >= low, low >= high
+        ci = (i[:, None] * FAN + np.arange(FAN)) if di else i[:, None]
+        cj = (j[:, None] * FAN + np.arange(FAN)) if dj else j[:, None]
+        i, j = np.repeat(ci, cj.shape[1], axis=1).reshape(-1), np.tile(cj, (1, ci.shape[1])).reshape(-1)
+        high, low = high - di, low - dj
+        ok = (i < len(up[high].lo)) & (j < len(vp[low].lo))
+        if b is None:
+            ok &= i <= j
+        i, j = i[ok], j[ok]
+        if high or low:
+            fit = up[high].pairs_fit(vp[low], i, j, threshold, seen[:3])
+            i, j = i[fit], j[fit]
+    if b is None:
+        i, j = i[i < j], j[i < j]
+    fit = _records_fit(a[i], other[j], threshold)
+    seen[3:] += (len(i), int(fit.sum()))
+    return a["cid"][i[fit]], other["cid"][j[fit]]
+
+
+def _flat_pairs(recs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within groups of ``count`` records in a row."""
+    start = np.cumsum(count) - count
+    after = np.repeat(count, count) - 1 - (np.arange(len(recs)) - np.repeat(start, count))  # records behind each in its group
+    i = np.repeat(np.arange(len(recs)), after)
+    j = i + 1 + (np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after))
+    return i, j
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All records of a column of lists of packed texts, and the number of each list."""
+    flat = S.matrix(column.flatten(), S.RECORD)
+    return flat.reshape(-1), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+COUNTS = ("node_pairs", "by_size", "by_overlap", "record_pairs", "left")
+
+
+def traversed(nodes: DataFrame, threshold: float, counts: bool = False) -> DataFrame:
+    """(cid_a, cid_b) of the pairs left by the trees of ``nodes`` (a, b): lists of packed texts, b null for one tree with itself; or the traversals' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros(5, np.int64)
+            a, na = _lists(batch.column(0))
+            single = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            b, nb = _lists(batch.column(1))
+            sa, sb = np.cumsum(na) - na, np.cumsum(np.where(single, 0, nb)) - np.where(single, 0, nb)
+            flat = single & (na <= FLAT)
+            some = a[np.repeat(flat, na)]
+            i, j = _flat_pairs(some, na[flat])
+            fit = _records_fit(some[i], some[j], threshold)
+            seen[3:] += (len(i), int(fit.sum()))
+            left, right = [some["cid"][i[fit]]], [some["cid"][j[fit]]]
+            for k in np.flatnonzero(~flat):
+                x, y = traverse(a[sa[k] : sa[k] + na[k]], None if single[k] else b[sb[k] : sb[k] + nb[k]], threshold, seen)
+                left.append(x)
+                right.append(y)
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + 1]) for k in range(5)], names=list(COUNTS))
+                continue
+            x, y = np.concatenate(left), np.concatenate(right)
+            if len(x):
+                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["cid_a", "cid_b"])
+
+    return nodes.select("a", "b").mapInArrow(run, ", ".join(f"{c} long" for c in COUNTS) if counts else "cid_a long, cid_b long")
+
+
+def _opened(big: DataFrame) -> DataFrame:
+    """(root, rec, n, bits): packed texts with their size and bitmap beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            recs = S.matrix(batch.column(1), S.RECORD).reshape(-1)
+            off = pa.array(np.arange(len(recs) + 1, dtype=np.int32) * S.WORDS)
+            bits = pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(recs["bits"]).view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(recs["n"])), bits], names=["root", "rec", "n", "bits"])
 
-def postings(sigs: DataFrame, carry: list[str]) -> DataFrame:
-    """(carry..., root) of each band of each row."""
-    return sigs.select(*carry, F.posexplode("draws").alias("j", "g")).select(*carry, root_of("j", "g").alias("root"))
+    return big.select("root", "rec").mapInArrow(run, "root long, rec binary, n int, bits array<long>")
 
 
-def _likely(sigs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(cid, root) of the postings whose root may be in ``shared``: only a few of the others pass a bitmap of fixed size."""
-    size, spark = 1 << FILTER_BITS, sigs.sparkSession
+def _node_stats() -> list[Column]:
+    ones = sum((F.bit_count(F.col("bits")[i]) for i in range(S.WORDS)), F.lit(0))
+    return [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - ones).alias("slack"), F.array(*[F.bit_or(F.col("bits")[i]) for i in range(S.WORDS)]).alias("any")]
 
-    def slot(root: np.ndarray) -> np.ndarray:
-        return (G.mix(root.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            total[slot(batch.column(0).to_numpy())] = 1
-        yield blocks_of(total)
+def _nodes_possible(a: str, b: str, threshold: float) -> Column:
+    """The bound of :meth:`Level.pairs_fit` for nodes in a join."""
+    both = sum((F.bit_count(F.col(f"{a}.any")[i].bitwiseAND(F.col(f"{b}.any")[i])) for i in range(S.WORDS)), F.lit(0))
+    most = F.least(both + F.least(f"{a}.slack", f"{b}.slack"), F.col(f"{a}.hi"), F.col(f"{b}.hi"))
+    sizes = (F.col(f"{a}.hi") >= F.col(f"{b}.lo") * threshold - 1e-6) & (F.col(f"{b}.hi") >= F.col(f"{a}.lo") * threshold - 1e-6)
+    return sizes & (most >= (F.col(f"{a}.lo") + F.col(f"{b}.lo")) * (threshold / (1 + threshold)) - 1e-6)
 
-    held = spark.sparkContext.broadcast(np.packbits(log_sketch(shared.select("root").mapInArrow(mark, SCHEMA), size) > 0, bitorder="little"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(BANDS, dtype=np.int64) << 32
-        for batch in batches:
-            root = (band + batch.column(1).flatten().to_numpy().view(np.uint32).reshape(-1, BANDS)).reshape(-1)
-            at = slot(root)
-            ok = np.flatnonzero(held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok // BANDS)), pa.array(root[ok])], names=["cid", "root"])
-
-    return sigs.select(F.col("cid").cast("long").alias("cid"), "draws").mapInArrow(keep, "cid long, root long")
-
-
-def meeting(sigs: DataFrame, shared: DataFrame, carry: list[str]) -> DataFrame:
-    """(cid, carry..., and the columns of ``shared``) of the postings whose root is in ``shared``, a materialised table."""
-    if shared.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS:
-        # nothing is shuffled: the rows that carry the bitmaps are exploded and filtered where they are
-        return postings(sigs, ["cid", *carry]).join(F.broadcast(shared), "root")
-    return salted_join(_likely(sigs, shared), shared, ["root"], "inner", "cid").join(sigs.select("cid", *carry), "cid")
-
-
-def _node(with_records: bool) -> list[Column]:
-    ones = sum((F.bit_count(F.col("bits")[i]) for i in range(WORDS)), F.lit(0))
-    out = [
-        F.min("n").alias("lo"),
-        F.max("n").alias("hi"),
-        F.max(F.col("n") - ones).alias("slack"),
-        F.array(*[F.bit_or(F.col("bits")[i]) for i in range(WORDS)]).alias("any"),
-    ]
-    return out + [F.collect_list(F.struct("cid", "n", "bits")).alias("recs")] * with_records
-
-
-def _record_pairs(a: Column, b: Column, threshold: float, same: Column) -> Column:
-    """All (cid_a < cid_b) of two record lists that pass the bound; within one list if ``same``."""
-
-    def of(x: Column) -> Column:
-        def fits(y: Column) -> Column:
-            return (~same | (x["cid"] < y["cid"])) & possible(x["n"], x["bits"], y["n"], y["bits"], threshold)
-
-        return F.transform(F.filter(b, fits), lambda y: F.struct(F.least(x["cid"], y["cid"]).alias("cid_a"), F.greatest(x["cid"], y["cid"]).alias("cid_b")))
-
-    return F.flatten(F.transform(a, of))
-
-
-def tree_candidates(sigs: DataFrame, threshold: float) -> DataFrame:
-    """(cid_a, cid_b): the record pairs that the trees cannot rule out. ``sigs``: (cid, n, draws, bits)."""
-    shared = materialize(postings(sigs, []).groupBy("root").agg(F.count("*").alias("m")).filter("m > 1"), "p2-shared")
-    met = materialize(meeting(sigs, shared, ["n", "bits"]), "p2-met")
-    small = met.filter(F.col("m") <= LEAF).groupBy("root").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("recs"))
-    pairs = small.select(F.explode(_record_pairs(F.col("recs"), F.col("recs"), threshold, F.lit(True))).alias("p")).select("p.*")
-    big = met.filter(F.col("m") > LEAF)
-    if not big.isEmpty():
-        # inner nodes by size band, leaves by share of about LEAF / 2 records
-        big = big.withColumn("band", F.floor(F.log("n") / float(np.log(1.15))).cast("int"))
-        per_band = big.groupBy("root", "band").agg(F.count("*").alias("mb"), *_node(False))
-        inner = materialize(per_band, "p2-inner")
-        a, b = inner.alias("a"), inner.alias("b")
-        bands = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.band") <= F.col("b.band")) & _nodes_possible("a", "b", threshold)).select(
-            F.col("a.root").alias("root"), F.col("a.band").alias("band_a"), F.col("b.band").alias("band_b")
-        )
-        share = F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("mb") / (LEAF // 2)), F.lit(1)))
-        leaves = materialize(
-            big.join(inner.select("root", "band", "mb"), ["root", "band"]).withColumn("share", share).groupBy("root", "band", "share").agg(*_node(True)), "p2-leaves"
-        )
-        left = leaves.select(F.col("root"), F.col("band").alias("band_a"), F.struct("share", "lo", "hi", "slack", "any", "recs").alias("a"))
-        right = leaves.select(F.col("root"), F.col("band").alias("band_b"), F.struct("share", "lo", "hi", "slack", "any", "recs").alias("b"))
-        ordered = (F.col("band_a") < F.col("band_b")) | (F.col("a.share") <= F.col("b.share"))
-        met_leaves = bands.join(left, ["root", "band_a"]).join(right, ["root", "band_b"]).filter(ordered & _nodes_possible("a", "b", threshold))
-        same = (F.col("band_a") == F.col("band_b")) & (F.col("a.share") == F.col("b.share"))
-        pairs = pairs.unionByName(
-            met_leaves.select(F.explode(_record_pairs(F.col("a.recs"), F.col("b.recs"), threshold, same)).alias("p")).select("p.*")
-        )
-    return pairs.distinct()
+def forest(sigs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the trees to traverse, as lists of packed texts; b null for a tree with itself. ``sigs``: (cid, segs, rec), written and of unique cid."""
+    buckets = S.buckets_for(sigs.count())
+    met = S.shared(S.packed(sigs, buckets), buckets, NODE).join(sigs.select("cid", "rec"), "cid")
+    met = materialize(met.select("root", "rec", "big"), "p2-met")
+    small = met.filter("not big").groupBy("root").agg(F.collect_list("rec").alias("a")).select("a", F.lit(None).cast("array<binary>").alias("b"))
+    big = met.filter("big").select("root", "rec")
+    if big.isEmpty():
+        return small
+    # the top of a large tree: nodes by size band, then by share
+    parts = _opened(big).withColumn("h", F.xxhash64("rec"))
+    parts = parts.withColumn("band", F.floor(F.log("n") / float(np.log(1.15))).cast("int"))
+    inner = materialize(parts.groupBy("root", "band").agg(F.count("*").alias("mb"), *_node_stats()), "p2-inner")
+    x, y = inner.alias("x"), inner.alias("y")
+    bands = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.band") <= F.col("y.band")) & _nodes_possible("x", "y", threshold))
+    bands = bands.select(F.col("x.root").alias("root"), F.col("x.band").alias("band_x"), F.col("y.band").alias("band_y"))
+    share = F.pmod(F.col("h"), F.greatest(F.ceil(F.col("mb") / (NODE // 2)), F.lit(1)))
+    leaves = salted_join(parts, inner.select("root", "band", "mb"), ["root", "band"], "inner", "h").withColumn("share", share)
+    leaves = materialize(leaves.groupBy("root", "band", "share").agg(F.collect_list("rec").alias("recs"), *_node_stats()), "p2-leaves")
+    left, right = (leaves.select("root", F.col("band").alias(f"band_{n}"), F.struct("share", "lo", "hi", "slack", "any", "recs").alias(n)) for n in "xy")
+    ordered = (F.col("band_x") < F.col("band_y")) | (F.col("x.share") <= F.col("y.share"))
+    pairs = bands.join(left, ["root", "band_x"]).join(right, ["root", "band_y"]).filter(ordered & _nodes_possible("x", "y", threshold))
+    same = (F.col("band_x") == F.col("band_y")) & (F.col("x.share") == F.col("y.share"))
+    return small.unionByName(pairs.select(F.col("x.recs").alias("a"), F.when(~same, F.col("y.recs")).alias("b")))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
-    """(cid_a, cid_b, similarity) of the candidate pairs that reach the threshold on whole n-gram sets."""
+    """(cid_a, cid_b, similarity) of the candidate pairs that reach the threshold on whole n-gram sets.
+
+    Only the texts of candidates are read into sets. The joins by record are inner ones, so the adaptive skew join splits a record with many partners.
+    """
     pairs = materialize(pairs, "p2-pairs")
     ids = materialize(pairs.select(F.col("cid_a").alias(key)).union(pairs.select("cid_b")).distinct(), "p2-ids")
-    sets = materialize(gram_sets(checked_join(rows, ids, [key], "left_semi", key, BROADCAST_IDS), key, text, n), "p2-sets")
-    both = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga")), "cid_a").join(
-        sets.select(F.col("key").alias("cid_b"), F.col("grams").alias("gb")), "cid_b"
-    )
+    sets = materialize(gram_sets(checked_join(rows, ids, [key], "left_semi", key), key, text, n), "p2-sets")
+    first = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga")), "cid_a")
+    both = first.join(sets.select(F.col("key").alias("cid_b"), F.col("grams").alias("gb")), "cid_b")
     common = F.size(F.array_intersect("ga", "gb"))
     sim = common / (F.size("ga") + F.size("gb") - common)
     return both.select("cid_a", "cid_b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -244,6 +249,14 @@ def classes(sigs: DataFrame, key: str) -> DataFrame:
     return checked_join(sigs.select(key, "sum", "n"), multi, ["sum", "n"], "inner", key).select(key, "cid")
 
 
+def representatives(rows: DataFrame, key: str, text: str, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(cid, segs, rec) of one row of each class, and the members (key, cid) of classes of several rows."""
+    sigs = materialize(S.sketches(rows.select(key, text), key, text, [], n, min_words).drop("symbols"), "p2-sigs")
+    members = materialize(classes(sigs, key), "p2-members")
+    copies = members.filter(F.col(key) != F.col("cid")).select(key)
+    return checked_join(sigs, copies, [key], "left_anti", key).select(F.col(key).alias("cid"), "segs", "rec"), members
+
+
 def similar(
     rows: DataFrame, key: str = "doc_idx", text: str = "content", n: int = 3, threshold: float = 0.6, min_words: int = 20
 ) -> tuple[DataFrame, DataFrame]:
@@ -253,19 +266,17 @@ def similar(
     ``min_words`` words (null and empty texts too) have no partners. Rows with equal sets form
     one class, named by its smallest key; ``key`` must be unique. Extra columns are ignored.
     """
-    rows = rows.select(key, text)
-    sigs = materialize(signatures(rows, key, text, [], n, min_words), "p2-sigs")
-    members = materialize(classes(sigs, key), "p2-members")
-    copies = members.filter(F.col(key) != F.col("cid")).select(key)
-    reps = checked_join(sigs, copies, [key], "left_anti", key, BROADCAST_IDS).select(F.col(key).alias("cid"), "n", "draws", "bits")
-    return verified(tree_candidates(reps, threshold), rows, key, text, n, threshold), members
+    reps, members = representatives(rows, key, text, n, min_words)
+    pairs = traversed(forest(reps, threshold), threshold).distinct()
+    return verified(pairs, rows.select(key, text), key, text, n, threshold), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """All row pairs (a < b): of similar classes, and within classes."""
+    """All row pairs (a < b): of similar classes, and within classes. A class of many rows is split into shares on one side."""
     left, right = members.select(F.col(key).alias("a"), F.col("cid").alias("cid_a")), members.select(F.col(key).alias("b"), F.col("cid").alias("cid_b"))
-    across = pairs.join(left, "cid_a", "left").join(right, "cid_b", "left").select(F.coalesce("a", "cid_a").alias("a"), F.coalesce("b", "cid_b").alias("b"))
-    within = left.join(right, F.col("cid_a") == F.col("cid_b")).filter("a < b").select("a", "b")
+    one = checked_join(pairs.select("cid_a", "cid_b"), left, ["cid_a"], "left", "cid_b").select(F.coalesce("a", "cid_a").alias("a"), "cid_b")
+    across = checked_join(one, right, ["cid_b"], "left", "a").select("a", F.coalesce("b", "cid_b").alias("b"))
+    within = checked_join(left.withColumnRenamed("cid_a", "cid"), right.withColumnRenamed("cid_b", "cid"), ["cid"], "inner", "a").filter("a < b").select("a", "b")
     return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within)
 
 
@@ -278,9 +289,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a center of many edges is split into shares
+        large = checked_join(both.filter("v > u"), materialize(low, "cc-low"), ["u"], "inner", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = checked_join(large, materialize(low, "cc-low"), ["u"], "inner", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = materialize(small.filter("u <> v").distinct(), "cc")
         if new.count() == state.count() and new.join(state, ["u", "v"], "left_anti").isEmpty():
             break
@@ -309,7 +322,14 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p2_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what the dual traversal of all trees looks at and drops: node pairs, those dropped by size and by overlap, record pairs, those left to verify."""
+    reps, _ = representatives(table(spark, sf_dir, "search_index"), "doc_idx", "content", 3, 20)
+    counts = traversed(forest(reps, 0.6), 0.6, counts=True)
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p2_trees": p2_trees}
 
 GRAMS_SQL = r"""w AS (SELECT doc_idx, batch_no, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM search_index),
   g AS (SELECT DISTINCT doc_idx, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),

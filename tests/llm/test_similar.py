@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from pagewright.llm import grams, history, shared, sigtree
+from pagewright.llm import grams, history, segments, shared, sigtree
 
 VOCAB = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 60
 
@@ -46,9 +46,17 @@ def frame(spark, texts):
     return spark.createDataFrame(rows, "doc_idx long, content string, cid string, batch_no int, url string")
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 64), (2, 2)])
-def test_pairs_equal_brute_force(spark, monkeypatch, seed, leaf):
-    monkeypatch.setattr(sigtree, "LEAF", leaf)  # 2: every shared root becomes a tree of several nodes
+def everywhere(monkeypatch, **values):
+    """Set constants of the modules; tasks see them because their functions are pickled with the values read inside the driver."""
+    for name, v in values.items():
+        for m in (sigtree, segments):
+            if hasattr(m, name):
+                monkeypatch.setattr(m, name, v)
+
+
+@pytest.mark.parametrize("seed,node", [(1, 1024), (2, 2)])
+def test_pairs_equal_brute_force(spark, monkeypatch, seed, node):
+    monkeypatch.setattr(sigtree, "NODE", node)  # 2: the top of the trees is cut into nodes that meet by a join
     texts = corpus(seed)
     pairs, members = sigtree.similar(frame(spark, texts))
     got = {(r.a, r.b) for r in sigtree.expanded(pairs, members, "doc_idx").collect()}
@@ -71,14 +79,6 @@ def test_third_of_rows_alike(spark):
     assert got == brute(texts) and len(got) == 30 * 29 // 2
 
 
-def test_pairs_without_broadcasts(spark, monkeypatch):
-    for name in ("BROADCAST_ROOTS", "BROADCAST_IDS"):
-        monkeypatch.setattr(sigtree, name, 0)
-    texts = corpus(3, 30)
-    pairs, members = sigtree.similar(frame(spark, texts))
-    assert {(r.a, r.b) for r in sigtree.expanded(pairs, members, "doc_idx").collect()} == brute(texts)
-
-
 def family(seed, size, edits, length=200):
     """Separately edited copies of one text, and the matrix of their similarities: every edit is a word of its own."""
     rng = np.random.default_rng(seed)
@@ -154,14 +154,54 @@ def test_known_rows(spark, seed):
     assert {r.doc_idx for r in history.known_rows(df).collect()} == brute_known(rows)
 
 
-def test_index_batch_by_batch(spark):
+def test_index_is_reopened_for_every_batch(spark, tmp_path):
     rows = batches(6)
-    df = spark.createDataFrame(rows, "doc_idx long, url string, content string, batch_no int")
-    index = history.SegmentIndex(spark, df.filter("batch_no = 0"))
-    got = set()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_idx long, url string, content string, batch_no int, cid string, n int")
+    path, got = f"file://{tmp_path}/index", set()
     for b in range(4):
-        got |= {r.doc_idx for r in index.accept(df.filter(f"batch_no = {b}").drop("batch_no")).collect()}
+        index = history.SegmentIndex.open(spark, path)  # nothing but the folder is carried on
+        got |= {r.doc_idx for r in index.accept(df.filter(f"batch_no = {b}"), b, df).collect()}
     assert got == brute_known(rows)
+    assert history.SegmentIndex.open(spark, path).batches() == {b: sum(r[3] == b for r in rows) for b in range(4)}
+    with pytest.raises(ValueError):
+        history.SegmentIndex.open(spark, path).accept(df.limit(1), 3, df)
+    # a batch that stopped before it was finished leaves files without a row in `batches`: they don't count
+    segs = spark.read.parquet(f"{path}/segments")
+    segs.withColumn("batch", segs.batch + 10).write.mode("append").parquet(f"{path}/segments")
+    assert history.SegmentIndex.open(spark, path).accept(df.limit(0), 9, df).count() == 0
+
+
+def test_segments_packed_and_unpacked():
+    import pyarrow as pa
+
+    for ids in ([5], [1, 2, 300], [0, 2**40, 2**62], [7, 7, 7], list(range(0, 70000, 3))):
+        assert segments.decode_ids(segments.encode_ids(np.array(ids, np.int64))).tolist() == ids
+    m = np.arange(12, dtype=np.uint32).reshape(3, 4)
+    assert (segments.matrix(segments._binaries(m), np.uint32) == m).all()
+    assert segments.matrix(pa.array([], pa.binary()), np.uint8).shape[0] == 0
+
+
+def test_edits_between_sketches():
+    assert history.most_edits(0.6) == 118 and history.most_edits(0.0) == 192
+
+
+def test_traversal_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    recs = np.zeros(300, segments.RECORD)
+    base = rng.integers(0, 2**63, (20, segments.WORDS), dtype=np.uint64) & rng.integers(0, 2**63, (20, segments.WORDS), dtype=np.uint64)
+    recs["cid"] = rng.permutation(300)
+    recs["bits"] = base[rng.integers(0, 20, 300)] ^ (np.uint64(1) << rng.integers(0, 63, (300, segments.WORDS)).astype(np.uint64))
+    recs["n"] = np.bitwise_count(recs["bits"]).sum(axis=1) + rng.integers(0, 9, 300)
+    recs["near"] = rng.integers(0, 20, 300)
+    i, j = np.triu_indices(300, 1)
+    fit = sigtree._records_fit(recs[i], recs[j], 0.6)
+    want = {frozenset(p) for p in zip(recs["cid"][i[fit]].tolist(), recs["cid"][j[fit]].tolist())}
+    seen = np.zeros(5, np.int64)
+    x, y = sigtree.traverse(recs, None, 0.6, seen)
+    assert {frozenset(p) for p in zip(x.tolist(), y.tolist())} == want
+    assert seen[1] + seen[2] > 0 and seen[3] < len(i)
+    x, y = sigtree.traverse(recs[:130], recs[130:], 0.6, seen)
+    assert {frozenset(p) for p in zip(x.tolist(), y.tolist())} == {p for p in want if len(p & set(recs["cid"][:130].tolist())) == 1}
 
 
 def test_later_rows_of_a_large_family(spark):
