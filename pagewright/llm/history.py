@@ -9,7 +9,8 @@ takes up a folder again.
 
 1. Rows whose address or whole n-gram set the index has are known.
 2. The other rows' segments are the probe: a filter of their values, sized to the batch, is held against the stored segments where these lie, so only
-   the batch's own segments leave the scan. First every row meets one text per segment; rows that this does not settle meet all of them.
+   the batch's own segments leave the scan. Where more than ``FEW`` stored texts have a segment, a row meets one of them first; rows
+   that this does not settle meet all the others.
 3. Pairs must have sizes that allow the similarity and sketch strings within ``most_edits`` substitutions (the strings have one length, so this bounds their edit distance);
    what is left is verified on whole n-gram sets, read from the collection for these texts only.
 4. The batch's own segments, sketches, sets and addresses are appended. Nothing stored is rewritten, and no old text is drawn again.
@@ -38,6 +39,8 @@ from pagewright.plans.runtime import materialize, scratch_path, table
 
 #: Bits of the filter per segment of the batch (at least 2^FILTER_LEAST, at most 2^FILTER_MOST in all: 64 MB; a larger batch lets more segments through).
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 29
+#: Stored texts of a segment up to which a row meets them all at once.
+FEW = 32
 U = np.uint64
 
 
@@ -184,24 +187,19 @@ class SegmentIndex:
         sigs = materialize(S.sketches(rows, key, "content", [], self.n, self.min_words).drop("rec").withColumnRenamed(key, "cid"), "p5-new")
         addresses = rows.select(key, address_key(F.col("url")).alias("a")).filter("a is not null").select(key, F.xxhash64("a").alias("address"))
         # rows with one set are one text of the index: its smallest key, and only if no earlier batch has the set
-        sets = materialize(sigs.groupBy("sum", "n").agg(F.min("cid").alias("cid")), "p5-sets")
-        known_sets = materialize(old["texts"].select("sum", "n").join(sets.select("sum", "n"), ["sum", "n"], "left_semi").distinct(), "p5-known-sets") if done else None
-        fresh = sigs.join(sets.select("cid"), "cid", "left_semi")
-        if done:
-            fresh = checked_join(fresh, known_sets, ["sum", "n"], "left_anti", "cid")
-        fresh = materialize(fresh, "p5-fresh")
-        parts = S.packed(fresh.select("cid", "segs"), self.BUCKETS).withColumn("batch", F.lit(batch_no))
-        where = {"segments": parts, "texts": fresh.select("cid", "n", "sum", "symbols", F.lit(batch_no).alias("batch")), "addresses": addresses.select("address", F.lit(batch_no).alias("batch")).distinct()}
+        sets = sigs.groupBy("sum", "n").agg(F.min("cid").alias("text"))
+        sets = materialize(sets.join(old["texts"].select("sum", "n", F.lit(True).alias("stored")), ["sum", "n"], "left").withColumn("stored", F.coalesce("stored", F.lit(False))), "p5-sets")
+        fresh = materialize(sigs.join(sets.filter("not stored").select(F.col("text").alias("cid")), "cid", "left_semi"), "p5-fresh")
+        parts = materialize(S.packed(fresh.select("cid", "segs"), self.BUCKETS).withColumn("batch", F.lit(batch_no)), "p5-parts")
         known = self.spark.createDataFrame([], f"{key} long")
         if done:
-            parts = materialize(parts, "p5-parts")
-            same = addresses.join(checked_first(old["addresses"].select("address"), addresses.select("address")), "address", "left_semi").select(key)
-            twins = checked_join(sigs.select("cid", "sum", "n"), known_sets, ["sum", "n"], "left_semi", "cid").select(F.col("cid").alias(key))
-            near = materialize(self._near(fresh, parts, old, collection), "p5-near")
+            same = addresses.join(old["addresses"], "address", "left_semi").select(key)
             # a text that is near tells of all rows of its set
-            whole = checked_join(sigs.select("cid", "sum", "n"), materialize(fresh.join(near, "cid", "left_semi").select("sum", "n"), "p5-near-sets"), ["sum", "n"], "left_semi", "cid").select(F.col("cid").alias(key))
-            known = materialize(same.unionByName(twins).unionByName(whole).distinct(), "p5-known")
-            where["segments"] = parts
+            near = self._near(fresh, parts, old, collection).withColumnRenamed("cid", "text")
+            settled = sets.join(near.withColumn("near", F.lit(True)), "text", "left").filter("stored or near").select("sum", "n")
+            whole = sigs.join(settled, ["sum", "n"], "left_semi").select(F.col("cid").alias(key))
+            known = materialize(same.unionByName(whole).distinct(), "p5-known")
+        where = {"segments": parts, "texts": fresh.select("cid", "n", "sum", "symbols", F.lit(batch_no).alias("batch")), "addresses": addresses.select("address", F.lit(batch_no).alias("batch")).distinct()}
         for name, df in where.items():
             df.write.mode("append").parquet(f"{self.path}/{name}")
         rows.agg(F.lit(batch_no).alias("batch"), F.count("*").alias("rows")).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
@@ -213,29 +211,30 @@ class SegmentIndex:
         bits = min(max(int(n * S.SEGMENTS * FILTER_BITS).bit_length(), FILTER_LEAST), FILTER_MOST)
         held = self.spark.sparkContext.broadcast(_filter_of(parts, bits))  # at most 2^FILTER_MOST bits
         stored = materialize(_places(old["segments"], held, bits), "p5-stored")
-        mine = materialize(_places(parts), "p5-mine")
-        # one stored text per segment settles most rows, also those of large families, with at most SEGMENTS pairs a row
-        first = stored.groupBy("root").agg(F.min("cid").alias("cid_b"))
-        near = materialize(self._similar(mine.withColumnRenamed("cid", "cid_a").join(first, "root"), fresh, old, collection), "p5-first")
-        open_ = mine.withColumnRenamed("cid", "cid_a").join(near.withColumnRenamed("cid", "cid_a"), "cid_a", "left_anti")
-        all_pairs = open_.join(stored.withColumnRenamed("cid", "cid_b"), "root").join(first.select("root", F.col("cid_b").alias("tried")), "root").filter("cid_b <> tried")
-        return near.unionByName(self._similar(all_pairs, fresh, old, collection)).distinct()
+        counted = materialize(stored.groupBy("root").agg(F.count("*").alias("m"), F.min("cid").alias("first")), "p5-counted")
+        mine = _places(parts).withColumnRenamed("cid", "cid_a").join(counted, "root")
+        few = mine.filter(F.col("m") <= FEW).select("root", "cid_a").join(stored.withColumnRenamed("cid", "cid_b"), "root").select("cid_a", "cid_b")
+        one = mine.filter(F.col("m") > FEW).select("cid_a", F.col("first").alias("cid_b"))
+        near = self._similar(few.unionByName(one), fresh, old, collection)
+        many = counted.filter(F.col("m") > FEW)
+        if many.isEmpty():
+            return near
+        near = materialize(near, "p5-near")
+        left = mine.filter(F.col("m") > FEW).join(near.withColumnRenamed("cid", "cid_a"), "cid_a", "left_anti")
+        rest = left.select("root", "cid_a", "first").join(stored.withColumnRenamed("cid", "cid_b"), "root").filter("cid_b <> first")
+        return near.unionByName(self._similar(rest, fresh, old, collection)).distinct()
 
     def _similar(self, met: DataFrame, fresh: DataFrame, old: dict[str, DataFrame], collection: DataFrame) -> DataFrame:
         """(cid) of the fresh texts cid_a of ``met`` (cid_a, cid_b) that are similar to a stored text cid_b."""
         pairs = materialize(met.select("cid_a", "cid_b").distinct(), "p5-pairs")
-        a = checked_first(fresh, pairs.select(F.col("cid_a").alias("cid")), "cid").select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("symbols").alias("sa"))
-        b = checked_first(old["texts"], pairs.select(F.col("cid_b").alias("cid")), "cid").select(F.col("cid").alias("cid_b"), F.col("n").alias("nb"), F.col("symbols").alias("sb"))
-        fit = _edits_fit(pairs.join(a, "cid_a").join(b, "cid_b"), self.threshold)
+        ids = materialize(pairs.select(F.col("cid_b").alias("cid")).distinct(), "p5-ids")
+        b = checked_join(old["texts"], ids, ["cid"], "left_semi", "cid").select(F.col("cid").alias("cid_b"), F.col("n").alias("nb"), F.col("symbols").alias("sb"))
+        a = fresh.select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("symbols").alias("sa"))
+        fit = _edits_fit(pairs.join(b, "cid_b").join(a, "cid_a"), self.threshold)
         sure = T.verified(fit, collection.select(F.col(self.key).cast("long").alias(self.key), "content"), self.key, "content", self.n, self.threshold)
         return sure.select(F.col("cid_a").alias("cid")).distinct()
 
 
-def checked_first(big: DataFrame, keys: DataFrame, on: str = "address") -> DataFrame:
-    """The rows of ``big`` whose key is among ``keys``: so little of a stored table leaves its scan that what follows moves only this."""
-    return checked_join(big, materialize(keys.distinct(), "p5-keys"), [on], "left_semi", on)
-
-
 def known_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
     """doc_idx of the rows of batch 1 and later that some row of a smaller batch_no has by address or by content.
 
