@@ -1,22 +1,22 @@
 """Problem 5: new batches against everything accepted before, by a persisted segment index.
 
 The index holds, in a folder that outlives the session: the segments of every accepted text by position and value (a
-sketch string of fixed length is cut into segments of fixed number and length, see segments), its size and whole sketch
-string, the hash of its n-gram set, and the normal form of its address, each with the batch that brought it. ``SegmentIndex.open``
+sketch string of fixed length is cut into segments of fixed number and length, see segments), its size and bitmap,
+the hash of its n-gram set, and the normal form of its address, each with the batch that brought it. ``SegmentIndex.open``
 takes up a folder again.
 
 ``accept`` takes one batch, with ascending numbers:
 
 1. Rows whose address or whole n-gram set the index has are known.
 2. The other rows' segments are the probe: a filter of their values, sized to the batch, is held against the stored segments where these lie, so only
-   the batch's own segments leave the scan. Where more than ``FEW`` stored texts have a segment, a row meets one of them first; rows
-   that this does not settle meet all the others.
-3. Pairs must have sizes that allow the similarity and sketch strings within ``most_edits`` substitutions (the strings have one length, so this bounds their edit distance);
-   what is left is verified on whole n-gram sets, read from the collection for these texts only.
-4. The batch's own segments, sketches, sets and addresses are appended. Nothing stored is rewritten, and no old text is drawn again.
+   the batch's own segments leave the scan. Texts of a common segment meet; where more than ``MANY`` have it, each row of the batch meets one stored text first, and rows
+   that this does not settle meet all the others, share by share.
+3. Pairs must have sizes and bitmaps that allow the similarity, and sketch strings within ``most_edits`` substitutions (the strings have one length, so this bounds their edit distance);
+   what is left is verified on whole n-gram sets. Both are read from the collection, for these texts only.
+4. The batch's own segments, packed texts, sets and addresses are appended in a folder of its number. Nothing stored is rewritten, and no old text is drawn again for the index.
 
 Raw edit distance over characters cannot bound the similarity of sets of word n-grams (one moved paragraph is a long
-edit), so the strings compared are the sketch strings: at similarity 0.6 a row misses every segment of its partner with a probability of 1.7e-7, and
+edit), so the strings compared are the sketch strings: at similarity 0.6 a row misses every segment of its partner with a probability of 1.8e-7, and
 exceeds ``most_edits`` with one of 1e-9, however large its family.
 """
 
@@ -39,8 +39,8 @@ from pagewright.plans.runtime import materialize, scratch_path, table
 
 #: Bits of the filter per segment of the batch (at least 2^FILTER_LEAST, at most 2^FILTER_MOST in all: 64 MB; a larger batch lets more segments through).
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 29
-#: Stored texts of a segment up to which a row meets them all at once.
-FEW = 32
+#: Texts of the batch, or stored ones, of a segment up to which they meet all at once.
+MANY = 512
 U = np.uint64
 
 
@@ -63,9 +63,9 @@ def address_key(url: Column) -> Column:
     return F.when(u != "", F.concat(scheme, F.lit("://"), port, path, F.lit("?"), F.array_join(kept, "&")))
 
 
-def most_edits(threshold: float) -> int:
+def most_edits(threshold: float, shape: S.Shape = S.LONG) -> int:
     """Substitutions between the sketch strings of two texts at ``threshold`` that six standard deviations allow."""
-    n = S.SEGMENTS * S.LENGTH
+    n = shape.symbols
     return min(n, ceil(n * (1 - threshold) + 6 * sqrt(n * threshold * (1 - threshold))))
 
 
@@ -73,15 +73,12 @@ def _slots(roots: np.ndarray, bits: int) -> np.ndarray:
     return (G.mix(roots.view(U) if roots.dtype == np.int64 else roots.astype(U)) & U((1 << bits) - 1)).astype(np.int64)
 
 
-def _filter_of(parts: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2^bits bits that holds every segment of packed rows; merged block by block in tasks."""
+def _filter_of(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits bits that holds the roots of ``places`` (root, ...); merged block by block in tasks."""
     block = min(bits, 22)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [np.zeros(0, np.int64)]
-        for batch in batches:
-            at += [np.unique(_slots(S.root_ids(b, r), bits)) for b, _, r, _ in S.unpack(batch)]
-        at = np.unique(np.concatenate(at))
+        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(_slots(batch.column(0).to_numpy(), bits)) for batch in batches)]))
         cut = np.searchsorted(at >> block, np.arange((1 << (bits - block)) + 1))
         rows = [(i, at[a:z] - (i << block)) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x.astype(np.int32).tobytes() for _, x in rows], pa.binary())], names=["block", "at"])
@@ -96,7 +93,7 @@ def _filter_of(parts: DataFrame, bits: int) -> np.ndarray:
     schema = "block int, at binary"
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (block - 3)
-    for r in parts.mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).toLocalIterator():
+    for r in places.select("root").mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).toLocalIterator():
         out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.at, np.uint8)
     return out
 
@@ -122,21 +119,6 @@ def _places(parts: DataFrame, held: object = None, bits: int = 0) -> DataFrame:
     return parts.mapInArrow(run, "root long, cid long")
 
 
-def _edits_fit(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(cid_a, cid_b) of (cid_a, cid_b, na, nb, sa, sb) whose sizes and sketch strings allow the similarity."""
-    most = most_edits(threshold)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(0, np.int64)
-            if batch.num_rows:
-                ok = np.flatnonzero((S.matrix(batch.column(2), np.uint8) != S.matrix(batch.column(3), np.uint8)).sum(axis=1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(2)], names=["cid_a", "cid_b"])
-
-    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
-    return pairs.filter(sizes).select("cid_a", "cid_b", "sa", "sb").mapInArrow(run, "cid_a long, cid_b long")
-
-
 class SegmentIndex:
     """The persisted index at ``path``: what is known of every accepted row, by batch.
 
@@ -146,8 +128,9 @@ class SegmentIndex:
 
     #: Buckets of segment values; fixed for an index, so that segments of all batches fall into the same ones.
     BUCKETS = 64
+    SHAPE = S.LONG
     TABLES = {
-        "segments": S.PACKED + ", batch int", "texts": "cid long, n int, sum long, symbols binary, batch int", "addresses": "address long, batch int", "batches": "batch int, rows long",
+        "segments": S.PACKED + ", batch int", "texts": "cid long, n int, sum long, rec binary, batch int", "addresses": "address long, batch int", "batches": "batch int, rows long",
     }
 
     def __init__(self, spark: SparkSession, path: str, n: int = 3, threshold: float = 0.6, min_words: int = 20, key: str = "doc_idx"):
@@ -184,55 +167,75 @@ class SegmentIndex:
         old = {k: self._read(k).filter(finished) for k in ("segments", "texts", "addresses")}
         key = self.key
         rows = batch.select(F.col(key).cast("long").alias(key), "url", "content")
-        sigs = materialize(S.sketches(rows, key, "content", [], self.n, self.min_words).drop("rec").withColumnRenamed(key, "cid"), "p5-new")
+        sigs = S.sketches(rows, key, "content", [], self.n, self.min_words, self.SHAPE).withColumnRenamed(key, "cid")
+        sigs = materialize(sigs, "p5-new")
         addresses = rows.select(key, address_key(F.col("url")).alias("a")).filter("a is not null").select(key, F.xxhash64("a").alias("address"))
         # rows with one set are one text of the index: its smallest key, and only if no earlier batch has the set
         sets = sigs.groupBy("sum", "n").agg(F.min("cid").alias("text"))
         sets = materialize(sets.join(old["texts"].select("sum", "n", F.lit(True).alias("stored")), ["sum", "n"], "left").withColumn("stored", F.coalesce("stored", F.lit(False))), "p5-sets")
-        fresh = materialize(sigs.join(sets.filter("not stored").select(F.col("text").alias("cid")), "cid", "left_semi"), "p5-fresh")
-        parts = materialize(S.packed(fresh.select("cid", "segs"), self.BUCKETS).withColumn("batch", F.lit(batch_no)), "p5-parts")
+        fresh = sigs.join(sets.filter("not stored").select(F.col("text").alias("cid")), "cid", "left_semi")
+        # what is written before the batch is finished doesn't count as accepted
+        where = {"segments": S.packed(fresh, self.BUCKETS, self.SHAPE), "texts": fresh.select("cid", "n", "sum", "rec"), "addresses": addresses.select("address").distinct()}
+        for name, df in where.items():
+            df.withColumn("batch", F.lit(batch_no)).write.mode("append").partitionBy("batch").parquet(f"{self.path}/{name}")
         known = self.spark.createDataFrame([], f"{key} long")
         if done:
             same = addresses.join(old["addresses"], "address", "left_semi").select(key)
             # a text that is near tells of all rows of its set
-            near = self._near(fresh, parts, old, collection).withColumnRenamed("cid", "text")
+            near = self._near(batch_no, old, collection).withColumnRenamed("cid", "text")
             settled = sets.join(near.withColumn("near", F.lit(True)), "text", "left").filter("stored or near").select("sum", "n")
             whole = sigs.join(settled, ["sum", "n"], "left_semi").select(F.col("cid").alias(key))
             known = materialize(same.unionByName(whole).distinct(), "p5-known")
-        where = {"segments": parts, "texts": fresh.select("cid", "n", "sum", "symbols", F.lit(batch_no).alias("batch")), "addresses": addresses.select("address", F.lit(batch_no).alias("batch")).distinct()}
-        for name, df in where.items():
-            df.write.mode("append").parquet(f"{self.path}/{name}")
         rows.agg(F.lit(batch_no).alias("batch"), F.count("*").alias("rows")).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         return known
 
-    def _near(self, fresh: DataFrame, parts: DataFrame, old: dict[str, DataFrame], collection: DataFrame) -> DataFrame:
-        """(cid) of the fresh texts that are similar to a stored one."""
-        n = fresh.count()
-        bits = min(max(int(n * S.SEGMENTS * FILTER_BITS).bit_length(), FILTER_LEAST), FILTER_MOST)
-        held = self.spark.sparkContext.broadcast(_filter_of(parts, bits))  # at most 2^FILTER_MOST bits
-        stored = materialize(_places(old["segments"], held, bits), "p5-stored")
-        counted = materialize(stored.groupBy("root").agg(F.count("*").alias("m"), F.min("cid").alias("first")), "p5-counted")
-        mine = _places(parts).withColumnRenamed("cid", "cid_a").join(counted, "root")
-        few = mine.filter(F.col("m") <= FEW).select("root", "cid_a").join(stored.withColumnRenamed("cid", "cid_b"), "root").select("cid_a", "cid_b")
-        one = mine.filter(F.col("m") > FEW).select("cid_a", F.col("first").alias("cid_b"))
-        near = self._similar(few.unionByName(one), fresh, old, collection)
-        many = counted.filter(F.col("m") > FEW)
-        if many.isEmpty():
-            return near
-        near = materialize(near, "p5-near")
-        left = mine.filter(F.col("m") > FEW).join(near.withColumnRenamed("cid", "cid_a"), "cid_a", "left_anti")
-        rest = left.select("root", "cid_a", "first").join(stored.withColumnRenamed("cid", "cid_b"), "root").filter("cid_b <> first")
-        return near.unionByName(self._similar(rest, fresh, old, collection)).distinct()
-
-    def _similar(self, met: DataFrame, fresh: DataFrame, old: dict[str, DataFrame], collection: DataFrame) -> DataFrame:
-        """(cid) of the fresh texts cid_a of ``met`` (cid_a, cid_b) that are similar to a stored text cid_b."""
-        pairs = materialize(met.select("cid_a", "cid_b").distinct(), "p5-pairs")
-        ids = materialize(pairs.select(F.col("cid_b").alias("cid")).distinct(), "p5-ids")
-        b = checked_join(old["texts"], ids, ["cid"], "left_semi", "cid").select(F.col("cid").alias("cid_b"), F.col("n").alias("nb"), F.col("symbols").alias("sb"))
-        a = fresh.select(F.col("cid").alias("cid_a"), F.col("n").alias("na"), F.col("symbols").alias("sa"))
-        fit = _edits_fit(pairs.join(b, "cid_b").join(a, "cid_a"), self.threshold)
-        sure = T.verified(fit, collection.select(F.col(self.key).cast("long").alias(self.key), "content"), self.key, "content", self.n, self.threshold)
-        return sure.select(F.col("cid_a").alias("cid")).distinct()
+    def _near(self, batch_no: int, old: dict[str, DataFrame], collection: DataFrame) -> DataFrame:
+        """(cid) of the batch's own texts that are similar to a text of an accepted batch."""
+        own = F.col("batch") == batch_no
+        parts, texts = self._read("segments").filter(own), self._read("texts").filter(own)
+        n = texts.count()
+        bits = min(max(int(n * self.SHAPE.segments * FILTER_BITS).bit_length(), FILTER_LEAST), FILTER_MOST)
+        context = self.spark.sparkContext
+        probe = context.broadcast(_filter_of(_places(parts), bits))  # at most 2^FILTER_MOST bits, as the next one
+        stored = materialize(_places(old["segments"], probe, bits), "p5-stored")
+        mine = _places(parts, context.broadcast(_filter_of(stored, bits)), bits)
+        stored = stored.join(old["texts"].select("cid", "rec"), "cid").select("root", "cid", "rec", F.lit(1).alias("side"))
+        mine = mine.join(texts.select("cid", "rec"), "cid").select("root", "cid", "rec", F.lit(0).alias("side"))
+        met = materialize(mine.unionByName(stored), "p5-met")
+        counted = met.groupBy("root").agg(F.count_if(F.col("side") == 0).alias("m0"), F.count_if(F.col("side") == 1).alias("m1"))
+        large = materialize(counted.filter((F.least("m0", "m1") > 0) & (F.greatest("m0", "m1") > MANY)), "p5-large")
+        if large.isEmpty():
+            return self._similar(_meetings(met), collection).distinct()
+        small = _meetings(checked_join(met, large.select("root"), ["root"], "left_anti", "cid"))
+        # one stored text per large segment settles most rows, also those of large families
+        other = checked_join(met.filter("side = 1"), large, ["root"], "inner", "cid").select("root", "cid", "rec", "side", "m0", "m1")
+        first = materialize(other.groupBy("root").agg(F.min_by("rec", "cid").alias("first")), "p5-first")
+        mine = checked_join(checked_join(met.filter("side = 0"), large, ["root"], "inner", "cid"), first, ["root"], "inner", "cid")
+        near = materialize(self._similar(small.unionByName(mine.select(F.array("rec").alias("a"), F.array("first").alias("b"))), collection).distinct(), "p5-near")
+        left = mine.join(near, "cid", "left_anti").select("root", "cid", "rec", F.lit(0).alias("side"), "m0", "m1")
+        return near.unionByName(self._similar(_meetings(_shares(left.unionByName(other)), "share0", "share1"), collection)).distinct()
+
+    def _similar(self, nodes: DataFrame, collection: DataFrame) -> DataFrame:
+        """(cid) of the texts of list a of ``nodes`` (a, b) that are similar to one of list b: by sizes and bitmaps, sketch strings, and whole sets."""
+        pairs = T.traversed(nodes, self.threshold, ordered=False).distinct()
+        texts = collection.select(F.col(self.key).cast("long").alias(self.key), "content")
+        sure = T.verified(pairs, texts, self.key, "content", self.n, self.threshold, self.SHAPE, most_edits(self.threshold, self.SHAPE))
+        return sure.select(F.col("cid_a").alias("cid"))
+
+
+def _meetings(met: DataFrame, *shares: str) -> DataFrame:
+    """(a, b): per root, and share of it, the texts of the batch and the stored ones; at most MANY each."""
+    lists = (F.collect_list(F.when(F.col("side") == k, F.col("rec"))).alias(n) for k, n in enumerate("ab"))
+    return met.groupBy("root", *shares).agg(*lists).filter((F.size("a") > 0) & (F.size("b") > 0)).select("a", "b")
+
+
+def _shares(met: DataFrame) -> DataFrame:
+    """Large roots cut into shares: every text of one side meets every share of the other."""
+    own = F.pmod(F.xxhash64("cid"), F.ceil(F.col(("m0")) / MANY)), F.pmod(F.xxhash64("cid"), F.ceil(F.col("m1") / MANY))
+    all_ = F.sequence(F.lit(0), F.ceil(F.col("m0") / MANY) - 1), F.sequence(F.lit(0), F.ceil(F.col("m1") / MANY) - 1)
+    first = met.filter("side = 0").withColumn("share0", own[0]).withColumn("share1", F.explode(all_[1]))
+    second = met.filter("side = 1").withColumn("share1", own[1]).withColumn("share0", F.explode(all_[0]))
+    return first.select("root", "share0", "share1", "cid", "rec", "side").unionByName(second.select("root", "share0", "share1", "cid", "rec", "side"))
 
 
 def known_rows(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """Sketch strings of texts, their segments, and segments in packed form.
 
-A text's set of word n-grams is drawn into a string of ``SEGMENTS * LENGTH`` symbols: symbol i is the n-gram that takes the least
+A text's set of word n-grams is drawn into a string of symbols: symbol i is the n-gram that takes the least
 value under hash function i (minwise sampling), so two texts of similarity J agree in a symbol with probability J whatever
-other texts there are. The string is cut into ``SEGMENTS`` segments of fixed number and length; a segment is stored under its position.
-Two texts of similarity J have no segment in common with probability (1 - J^LENGTH)^SEGMENTS: 1.7e-7 at 0.6, 1e-12 at 0.7.
+other texts there are. The string is cut into segments of fixed number and length; a segment is stored under its position.
+Two texts of similarity J have no segment in common with probability (1 - J^length)^segments: 1.8e-7 at 0.6 and below 2e-11 at 0.7, for both shapes.
 
 Segments move between tasks packed: a row holds those of many texts for one bucket of segment values, as 4 bytes
 a segment and one or two a text number. A segment that comes back in a task's chunk of texts more than ``HOT`` times, such as one that a
@@ -13,6 +13,7 @@ third of all texts share, passes by the buckets and goes on as it is, so no buck
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +22,40 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import grams as G
 
-#: Segments, and symbols in each: longer segments keep unrelated texts with common phrases apart, more segments let no pair at the threshold slip.
-SEGMENTS, LENGTH = 64, 3
+class Shape(NamedTuple):
+    """Segments of a sketch string, and symbols in each: longer segments keep unrelated texts with common phrases apart, more segments let no pair at the threshold slip."""
+
+    segments: int
+    length: int
+
+    @property
+    def symbols(self) -> int:
+        return self.segments * self.length
+
+
+#: Few and short segments, whose meetings a tree sifts; and more and longer ones, which few unrelated texts share.
+SHORT, LONG = Shape(64, 3), Shape(112, 4)
 #: 64-bit words of a text's bitmap.
 WORDS = 8
 #: Texts that a task packs together, places of a segment among them above which it is hot, and segments that a bucket should hold.
 CHUNK, HOT, BUCKET = 16_384, 64, 1_000_000
-_SEEDS = G.mix(np.arange(1, SEGMENTS * LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = G.mix(np.arange(1, LONG.symbols + 1, dtype=np.uint64)) | np.uint64(1)
 U = np.uint64
 #: A packed text: number, size, clustering symbol, bitmap.
 RECORD = np.dtype([("cid", "<i8"), ("n", "<i4"), ("near", "<u4"), ("bits", "<u8", WORDS)])
 
 
-def draw(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def draw(g: np.ndarray, doc: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segments, symbols, near) of each text, in order of appearance: 32-bit hashes of the segments, the symbols cut to a byte, and one symbol of 32 bits to order texts by."""
     start, _ = G.spans(doc)
-    segs, symbols, near = np.zeros((SEGMENTS, len(start)), U), np.zeros((SEGMENTS * LENGTH, len(start)), np.uint8), None
-    for j, seed in enumerate(_SEEDS):
+    segs, symbols, near = np.zeros((shape.segments, len(start)), U), np.zeros((shape.symbols, len(start)), np.uint8), None
+    for j, seed in enumerate(_SEEDS[: shape.symbols]):
         h = g * seed
         h ^= h >> U(32)
         h *= U(0x94D049BB133111EB)
         least = np.minimum.reduceat(h, start)
         symbols[j] = (least >> U(8)).astype(np.uint8)
-        segs[j // LENGTH] = G.mix(segs[j // LENGTH] + least)
+        segs[j // shape.length] = G.mix(segs[j // shape.length] + least)
         if j == 0:
             near = (G.mix(least) >> U(32)).astype(np.uint32)
     return np.ascontiguousarray((segs.T >> U(32)).astype(np.uint32)), np.ascontiguousarray(symbols.T), near
@@ -72,8 +84,8 @@ def matrix(a: pa.Array, kind: np.dtype | type) -> np.ndarray:
     return np.frombuffer(a.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind).reshape(len(a), -1)
 
 
-def sketches(rows: DataFrame, key: str, text: str, carry: list[str], n: int, min_words: int) -> DataFrame:
-    """(key, carry..., n, sum, segs, symbols, rec) of each row with at least ``min_words`` words: size and sum of its word ``n``-grams, segments, symbols and packed text."""
+def sketches(rows: DataFrame, key: str, text: str, carry: list[str], n: int, min_words: int, shape: Shape) -> DataFrame:
+    """(key, carry..., n, sum, segs, rec) of each row with at least ``min_words`` words: size and sum of its word ``n``-grams, segments and packed text."""
     kept = rows.select(F.col(key).cast("long").alias(key), *carry, F.col(text).alias("t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
@@ -87,16 +99,16 @@ def sketches(rows: DataFrame, key: str, text: str, carry: list[str], n: int, min
                 if not len(ids):
                     continue
                 counts = np.diff(np.append(start, len(doc)))
-                segs, symbols, near = draw(g, doc)
+                segs, _, near = draw(g, doc, shape)
                 rec = np.zeros(len(ids), RECORD)
                 cols = [c.take(pa.array(ids)) for c in s.columns[:-1]]
                 rec["cid"], rec["n"], rec["near"] = cols[0].to_numpy(zero_copy_only=False), counts, near
                 rec["bits"] = bitmaps(g, np.repeat(np.arange(len(ids)), counts), len(ids))
                 sums = np.add.reduceat(G.mix(g), start).view(np.int64)
-                cols += [pa.array(counts, pa.int32()), pa.array(sums), _binaries(segs), _binaries(symbols), _binaries(rec[:, None])]
-                yield pa.RecordBatch.from_arrays(cols, names=[*s.schema.names[:-1], "n", "sum", "segs", "symbols", "rec"])
+                cols += [pa.array(counts, pa.int32()), pa.array(sums), _binaries(segs), _binaries(rec[:, None])]
+                yield pa.RecordBatch.from_arrays(cols, names=[*s.schema.names[:-1], "n", "sum", "segs", "rec"])
 
-    return kept.mapInArrow(make, f"{schema}, n int, sum long, segs binary, symbols binary, rec binary")
+    return kept.mapInArrow(make, f"{schema}, n int, sum long, segs binary, rec binary")
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -119,13 +131,13 @@ PACKED = "bucket int, kind byte, roots binary, cids binary"
 PLACES, NAMES, HOT_PLACES = 0, 1, 2
 
 
-def packed(sigs: DataFrame, buckets: int) -> DataFrame:
+def packed(sigs: DataFrame, buckets: int, shape: Shape) -> DataFrame:
     """(bucket, kind, roots, cids): the segments of ``sigs`` (cid, segs) by bucket, packed."""
 
     def chunk(cid: np.ndarray, segs: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(cid, kind="stable")
-        cid, segs = np.repeat(cid[order], SEGMENTS), segs[order]
-        full = G.mix(((np.arange(SEGMENTS, dtype=U) << U(32))[None, :] | segs.astype(U)).reshape(-1))
+        cid, segs = np.repeat(cid[order], shape.segments), segs[order]
+        full = G.mix(((np.arange(shape.segments, dtype=U) << U(32))[None, :] | segs.astype(U)).reshape(-1))
         bucket = ((full >> U(32)) % U(buckets)).astype(np.int64)
         _, first, inverse, count = np.unique(full, return_index=True, return_inverse=True, return_counts=True)
         hot = count[inverse] > HOT
@@ -160,8 +172,8 @@ def packed(sigs: DataFrame, buckets: int) -> DataFrame:
     return sigs.select(F.col("cid").cast("long").alias("cid"), "segs").mapInArrow(run, PACKED)
 
 
-def buckets_for(n_texts: int) -> int:
-    return max(24, -(-n_texts * SEGMENTS // BUCKET))
+def buckets_for(n_texts: int, shape: Shape) -> int:
+    return max(24, -(-n_texts * shape.segments // BUCKET))
 
 
 def root_ids(bucket: int, roots: np.ndarray) -> np.ndarray:

@@ -35,8 +35,8 @@ FLAT = 16
 U = np.uint64
 
 
-def gram_sets(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, grams): the n-gram hashes of each row, folded to 32 bits to halve what the verification moves.
+def gram_sets(rows: DataFrame, key: str, text: str, n: int, shape: S.Shape | None = None) -> DataFrame:
+    """(key, grams[, symbols]): the n-gram hashes of each row, folded to 32 bits to halve what the verification moves; and with ``shape`` its sketch string.
 
     Two n-grams of a pair share a hash with a probability of about 1e-5, and shift its similarity by less than 1 / n then.
     """
@@ -48,9 +48,16 @@ def gram_sets(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 g, doc, _ = G.word_grams(s.column(1), n)
                 counts = np.bincount(doc, minlength=s.num_rows)
                 off = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.ListArray.from_arrays(off, pa.array((g >> np.uint64(6)).astype(np.uint32).view(np.int32)))], names=["key", "grams"])
+                cols = [s.column(0), pa.ListArray.from_arrays(off, pa.array((g >> np.uint64(6)).astype(np.uint32).view(np.int32)))]
+                if shape:
+                    symbols = np.zeros((s.num_rows, shape.symbols), np.uint8)
+                    if len(g):
+                        symbols[np.unique(doc)] = S.draw(g, doc, shape)[1]
+                    at = pa.array(np.arange(s.num_rows + 1, dtype=np.int32) * shape.symbols)
+                    cols.append(pa.ListArray.from_arrays(at, pa.array(symbols.reshape(-1).view(np.int8))))
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "grams", "symbols"][: len(cols)])
 
-    return kept.mapInArrow(make, "key long, grams array<int>")
+    return kept.mapInArrow(make, "key long, grams array<int>" + ", symbols array<tinyint>" * (shape is not None))
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:
@@ -136,6 +143,15 @@ def _flat_pairs(recs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nda
     return i, j
 
 
+def _cross(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of one of ``na`` and one of ``nb`` records, group by group."""
+    each = np.repeat(nb, na)  # partners of every left record
+    i = np.repeat(np.arange(len(each)), each)
+    start = np.repeat(np.cumsum(nb) - nb, na)
+    j = np.repeat(start, each) + np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+    return i, j
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All records of a column of lists of packed texts, and the number of each list."""
     flat = S.matrix(column.flatten(), S.RECORD)
@@ -145,8 +161,11 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 COUNTS = ("node_pairs", "by_size", "by_overlap", "record_pairs", "left")
 
 
-def traversed(nodes: DataFrame, threshold: float, counts: bool = False) -> DataFrame:
-    """(cid_a, cid_b) of the pairs left by the trees of ``nodes`` (a, b): lists of packed texts, b null for one tree with itself; or the traversals' counts."""
+def traversed(nodes: DataFrame, threshold: float, counts: bool = False, ordered: bool = True) -> DataFrame:
+    """(cid_a, cid_b) of the pairs left by the trees of ``nodes`` (a, b): lists of packed texts, b null for one tree with itself; or the traversals' counts.
+
+    With ``ordered`` cid_a is the smaller one, else the one of list a.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +180,14 @@ def traversed(nodes: DataFrame, threshold: float, counts: bool = False) -> DataF
             fit = _records_fit(some[i], some[j], threshold)
             seen[3:] += (len(i), int(fit.sum()))
             left, right = [some["cid"][i[fit]]], [some["cid"][j[fit]]]
-            for k in np.flatnonzero(~flat):
+            low = ~single & (na * nb <= FLAT * FLAT)
+            x, y = a[np.repeat(low, na)], b[np.repeat(low, nb)]
+            i, j = _cross(na[low], nb[low])
+            fit = _records_fit(x[i], y[j], threshold)
+            seen[3:] += (len(i), int(fit.sum()))
+            left.append(x["cid"][i[fit]])
+            right.append(y["cid"][j[fit]])
+            for k in np.flatnonzero(~flat & ~low):
                 x, y = traverse(a[sa[k] : sa[k] + na[k]], None if single[k] else b[sb[k] : sb[k] + nb[k]], threshold, seen)
                 left.append(x)
                 right.append(y)
@@ -170,7 +196,7 @@ def traversed(nodes: DataFrame, threshold: float, counts: bool = False) -> DataF
                 continue
             x, y = np.concatenate(left), np.concatenate(right)
             if len(x):
-                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)] if ordered else [x, y]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["cid_a", "cid_b"])
 
     return nodes.select("a", "b").mapInArrow(run, ", ".join(f"{c} long" for c in COUNTS) if counts else "cid_a long, cid_b long")
@@ -204,8 +230,8 @@ def _nodes_possible(a: str, b: str, threshold: float) -> Column:
 
 def forest(sigs: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the trees to traverse, as lists of packed texts; b null for a tree with itself. ``sigs``: (cid, segs, rec), written and of unique cid."""
-    buckets = S.buckets_for(sigs.count())
-    met = S.shared(S.packed(sigs, buckets), buckets, NODE).join(sigs.select("cid", "rec"), "cid")
+    buckets = S.buckets_for(sigs.count(), S.SHORT)
+    met = S.shared(S.packed(sigs, buckets, S.SHORT), buckets, NODE).join(sigs.select("cid", "rec"), "cid")
     met = materialize(met.select("root", "rec", "big"), "p2-met")
     small = met.filter("not big").groupBy("root").agg(F.collect_list("rec").alias("a")).select("a", F.lit(None).cast("array<binary>").alias("b"))
     big = met.filter("big").select("root", "rec")
@@ -228,16 +254,20 @@ def forest(sigs: DataFrame, threshold: float) -> DataFrame:
     return small.unionByName(pairs.select(F.col("x.recs").alias("a"), F.when(~same, F.col("y.recs")).alias("b")))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, n: int, threshold: float, shape: S.Shape | None = None, most: int = 0) -> DataFrame:
     """(cid_a, cid_b, similarity) of the candidate pairs that reach the threshold on whole n-gram sets.
 
-    Only the texts of candidates are read into sets. The joins by record are inner ones, so the adaptive skew join splits a record with many partners.
+    With ``shape`` sketch strings that differ in more than ``most`` symbols end before that. Only the texts of candidates are read into sets. The joins by record are inner ones, so the adaptive skew join splits a record with many partners.
     """
     pairs = materialize(pairs, "p2-pairs")
     ids = materialize(pairs.select(F.col("cid_a").alias(key)).union(pairs.select("cid_b")).distinct(), "p2-ids")
-    sets = materialize(gram_sets(checked_join(rows, ids, [key], "left_semi", key), key, text, n), "p2-sets")
-    first = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga")), "cid_a")
-    both = first.join(sets.select(F.col("key").alias("cid_b"), F.col("grams").alias("gb")), "cid_b")
+    sets = materialize(gram_sets(checked_join(rows, ids, [key], "left_semi", key), key, text, n, shape), "p2-sets")
+    more = [[F.col("symbols").alias(f"s{x}")] if shape else [] for x in "ab"]
+    first = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga"), *more[0]), "cid_a")
+    both = first.join(sets.select(F.col("key").alias("cid_b"), F.col("grams").alias("gb"), *more[1]), "cid_b")
+    if shape:
+        edits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
+        both = both.filter(edits <= most)
     common = F.size(F.array_intersect("ga", "gb"))
     sim = common / (F.size("ga") + F.size("gb") - common)
     return both.select("cid_a", "cid_b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -251,7 +281,7 @@ def classes(sigs: DataFrame, key: str) -> DataFrame:
 
 def representatives(rows: DataFrame, key: str, text: str, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(cid, segs, rec) of one row of each class, and the members (key, cid) of classes of several rows."""
-    sigs = materialize(S.sketches(rows.select(key, text), key, text, [], n, min_words).drop("symbols"), "p2-sigs")
+    sigs = materialize(S.sketches(rows.select(key, text), key, text, [], n, min_words, S.SHORT), "p2-sigs")
     members = materialize(classes(sigs, key), "p2-members")
     copies = members.filter(F.col(key) != F.col("cid")).select(key)
     return checked_join(sigs, copies, [key], "left_anti", key).select(F.col(key).alias("cid"), "segs", "rec"), members

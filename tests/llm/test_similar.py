@@ -167,7 +167,7 @@ def test_index_is_reopened_for_every_batch(spark, tmp_path):
         history.SegmentIndex.open(spark, path).accept(df.limit(1), 3, df)
     # a batch that stopped before it was finished leaves files without a row in `batches`: they don't count
     segs = spark.read.parquet(f"{path}/segments")
-    segs.withColumn("batch", segs.batch + 10).write.mode("append").parquet(f"{path}/segments")
+    segs.withColumn("batch", segs.batch + 10).write.mode("append").partitionBy("batch").parquet(f"{path}/segments")
     assert history.SegmentIndex.open(spark, path).accept(df.limit(0), 9, df).count() == 0
 
 
@@ -182,7 +182,7 @@ def test_segments_packed_and_unpacked():
 
 
 def test_edits_between_sketches():
-    assert history.most_edits(0.6) == 118 and history.most_edits(0.0) == 192
+    assert history.most_edits(0.6) == 242 and history.most_edits(0.0) == 448 and history.most_edits(0.6, segments.SHORT) == 118
 
 
 def test_traversal_equals_all_pairs():
@@ -204,7 +204,9 @@ def test_traversal_equals_all_pairs():
     assert {frozenset(p) for p in zip(x.tolist(), y.tolist())} == {p for p in want if len(p & set(recs["cid"][:130].tolist())) == 1}
 
 
-def test_later_rows_of_a_large_family(spark):
+@pytest.mark.parametrize("many", [512, 8])
+def test_later_rows_of_a_large_family(spark, monkeypatch, many):
+    monkeypatch.setattr(history, "MANY", many)  # 8: large segments meet share by share
     texts, sim = family(2, 2400, 12)
     old = 1200
     want = {int(k) for k in old + np.flatnonzero((sim[old:, :old] >= 0.6).any(1))}
