@@ -67,7 +67,8 @@ def line_statistics(lines: DataFrame, sources: DataFrame, min_rows: int = MIN_RO
     tested = within.filter(F.col("in_rows") >= min_rows)
     totals = within.join(tested.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.sum("in_rows").alias("all_rows"))
     n_all = sources.agg(F.sum("rows").alias("n_all"))
-    t = tested.join(totals, "line").join(sources, "src").crossJoin(F.broadcast(n_all))  # one row
+    # a source of a tenth of all lines is not one task: the few totals are broadcast after counting them, or its lines are split into shares
+    t = checked_join(tested.join(totals, "line"), materialize(sources, "p3-sources"), ["src"], "inner", "line").crossJoin(F.broadcast(n_all))  # one row
     a, b = F.col("in_rows"), F.col("all_rows") - F.col("in_rows")
     n1, n2 = F.col("rows"), F.col("n_all") - F.col("rows")
 
@@ -104,15 +105,17 @@ def repeated_lines(rows: DataFrame, min_rows: int = MIN_ROWS, fdr: float = FDR)
 def without_lines(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_idx, content): the rows without the lines of ``found`` (doc_idx, line_no), put together by position.
 
-    A null content stays null; a content all of whose lines go becomes empty.
+    Only rows that lose a line are taken apart: their lines are anti-joined by row and position, and what is left is
+    put together again in order. A null content stays null; a content all of whose lines go becomes empty. doc_idx must be unique.
     """
-    gone = found.groupBy("doc_idx").agg(F.collect_set("line_no").alias("gone"))
-    left = F.array_join(
-        F.filter(F.split("content", "\n"), lambda x, i: ~F.coalesce(F.array_contains("gone", (i + 1).cast("int")), F.lit(False))), "\n"
-    )
-    return rows.select("doc_idx", "content").join(gone, "doc_idx", "left").select(
-        "doc_idx", F.when(F.col("gone").isNull(), F.col("content")).otherwise(left).alias("content")
-    )
+    base = rows.select("doc_idx", "content")
+    touched = found.select("doc_idx").distinct()
+    split = base.join(touched, "doc_idx", "left_semi").select("doc_idx", F.posexplode(F.split("content", "\n")).alias("at", "text")).withColumn("line_no", (F.col("at") + 1).cast("int"))
+    left = split.join(found.select("doc_idx", F.col("line_no").cast("int").alias("line_no")), ["doc_idx", "line_no"], "left_anti")
+    # the lines of one row: bounded by its length
+    whole = left.groupBy("doc_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    emptied = touched.join(whole.select("doc_idx"), "doc_idx", "left_anti").select("doc_idx", F.lit("").alias("content"))
+    return base.join(touched, "doc_idx", "left_anti").unionByName(whole).unionByName(emptied)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +129,9 @@ def p3_excess_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's content without its repeated lines."""
+    """Every row's content without the lines that are significantly more frequent within its source than outside."""
     rows = table(spark, sf_dir, "search_index")
-    return without_lines(rows, repeated_lines(rows).select("doc_idx", "line_no"))
+    return without_lines(rows, materialize(repeated_lines(rows).filter("significant").select("doc_idx", "line_no"), "p3-gone"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_excess_lines": p3_excess_lines, "p3_clean": p3_clean}
@@ -141,11 +144,38 @@ _FOUND = rf"""l AS (SELECT * FROM ({_LINES}) WHERE regexp_matches(line, '\p{{L}}
   f AS (SELECT source, line FROM l GROUP BY ALL HAVING count(DISTINCT doc_idx) >= {MIN_ROWS}),
   found AS (SELECT l.doc_idx, CAST(l.line_no AS INT) AS line_no FROM l JOIN f USING (source, line))"""
 
+
+
+def _term_sql(k: str, n: str, share: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({k} / (CAST({n} AS DOUBLE) * {share})) ELSE 0 END)"
+
+
+def _erfc_sql() -> str:
+    poly = "0.17087277"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"(({poly}) * u + ({c}))"
+    return f"u * exp(-z * z + {poly})"
+
+
+_SIGNIFICANT = f"""l AS (SELECT * FROM ({_LINES}) WHERE regexp_matches(line, '\\p{{L}}')),
+  w AS (SELECT source, line, count(DISTINCT doc_idx) AS a FROM l GROUP BY ALL),
+  tot AS (SELECT line, sum(a) AS s FROM w GROUP BY 1), src AS (SELECT source, count(*) AS n1 FROM (SELECT {SOURCE_SQL} AS source FROM search_index) GROUP BY 1),
+  t AS (SELECT source, line, a, CAST(s - a AS BIGINT) AS b, n1, (SELECT count(*) FROM search_index) - n1 AS n2 FROM w JOIN tot USING (line) JOIN src USING (source) WHERE a >= {MIN_ROWS}),
+  g AS (SELECT *, greatest(0, 2 * ({_term_sql('a', 'n1', 'q')} + {_term_sql('b', 'n2', 'q')} + {_term_sql('(n1 - a)', 'n1', '(1 - q)')} + {_term_sql('(n2 - b)', 'n2', '(1 - q)')})) AS llr,
+    n2 > 0 AND a * 1.0 / n1 > b * 1.0 / n2 AS excess FROM (SELECT *, CAST(a + b AS DOUBLE) / (n1 + n2) AS q FROM t)),
+  p AS (SELECT *, least(floor(-log10(greatest(p, 1e-319)) * {STEPS}), {DECADES * STEPS}) AS step FROM (
+    SELECT *, CASE WHEN excess THEN {_erfc_sql()} ELSE 1.0 END AS p FROM (SELECT *, 1 / (1 + z / 2) AS u FROM (SELECT *, sqrt(llr / 2) AS z FROM g)))),
+  h AS (SELECT step, max(p) AS p, sum(count(*)) OVER (ORDER BY step DESC) AS upto, sum(count(*)) OVER () AS m FROM p GROUP BY step),
+  bar AS (SELECT min(step) AS bar FROM h WHERE p <= {FDR} * upto / m),
+  sig AS (SELECT source, line, a, b FROM p, bar WHERE step >= bar),
+  found AS (SELECT l.doc_idx, CAST(l.line_no AS INT) AS line_no, a AS in_rows, b AS out_rows FROM l JOIN sig USING (source, line))"""
+
 ORACLE_SQL = {
     "p3_found": f"WITH {_FOUND} SELECT doc_idx, line_no FROM found",
-    "p3_clean": f"""WITH {_FOUND}, g AS (SELECT doc_idx, list(line_no) AS gone FROM found GROUP BY doc_idx)
+    "p3_excess_lines": f"WITH {_SIGNIFICANT} SELECT doc_idx, line_no, in_rows, out_rows FROM found",
+    "p3_clean": f"""WITH {_SIGNIFICANT}, gone AS (SELECT doc_idx, list(line_no) AS gone FROM found GROUP BY doc_idx)
       SELECT doc_idx, CASE WHEN gone IS NULL THEN content ELSE array_to_string(list_transform(list_filter(
         range(1, len(string_split(content, chr(10))) + 1), lambda i: NOT list_contains(gone, i)),
         lambda i: string_split(content, chr(10))[i]), chr(10)) END AS content
-      FROM search_index LEFT JOIN g USING (doc_idx)""",
+      FROM search_index LEFT JOIN gone USING (doc_idx)""",
 }

@@ -103,3 +103,37 @@ def test_cap_log_names_the_batch(spark):
 def test_cap_of_nothing(spark):
     state, log = caps.capped(frame(spark, []))
     assert state.count() == 0 == log.count()
+
+
+def test_state_is_reopened_for_every_batch(spark, tmp_path):
+    rows = rows_of(200, 5)
+    all_ = caps.ready(frame(spark, rows))
+    path = f"file://{tmp_path}/caps"
+    for b in range(8):
+        caps.CapState.open(spark, path, 3).accept(all_.filter(F.col("batch_no") == b), b)  # nothing but the folder is carried on
+    again = caps.CapState.open(spark, path, 3)
+    kept = {r.doc_idx for r in again.kept().collect()}
+    ranked = defaultdict(list)
+    for r in all_.collect():
+        ranked[r.source].append((-r.score, r.doc_idx))
+    assert kept == {d for v in ranked.values() for _, d in sorted(v)[:3]}
+    assert Counter(r.doc_idx for r in again.log().collect()) == Counter(r[0] for r in rows if r[0] not in kept)
+    with pytest.raises(ValueError):
+        again.accept(all_.limit(1), 7)
+    assert caps.CapState.open(spark, f"{path}-new").kept().count() == 0
+
+
+@pytest.mark.parametrize("share", [0.001, 0.1, 1.0])
+def test_shares(spark, share):
+    rows = rows_of(200, 6)
+    ranked = defaultdict(list)
+    for r in caps.ready(frame(spark, rows)).collect():
+        ranked[r.source].append((-r.score, r.doc_idx))
+    most = max(int(200 * share), 1)
+    assert {r.doc_idx for r in caps.over_share(frame(spark, rows), share).collect()} == {d for v in ranked.values() for _, d in sorted(v)[most:]}
+
+
+def test_shares_of_nothing(spark):
+    assert caps.over_share(frame(spark, []), 0.5).count() == 0
+    with pytest.raises(ValueError):
+        caps.over_share(frame(spark, []), 0)
