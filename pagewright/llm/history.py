@@ -31,17 +31,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import grams as G
+from pagewright.llm import keyfilter as K
 from pagewright.llm import segments as S
 from pagewright.llm import sigtree as T
 from pagewright.plans.joins import checked_join
 from pagewright.plans.runtime import materialize, scratch_path, table
 
-#: Bits of the filter per segment of the batch (at least 2^FILTER_LEAST, at most 2^FILTER_MOST in all: 64 MB; a larger batch lets more segments through).
-FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 16, 29
 #: Texts of the batch, or stored ones, of a segment up to which they meet all at once.
 MANY = 512
-U = np.uint64
 
 
 #: Parameters that only track where a visitor came from (fixed values).
@@ -69,35 +66,6 @@ def most_edits(threshold: float, shape: S.Shape = S.LONG) -> int:
     return min(n, ceil(n * (1 - threshold) + 6 * sqrt(n * threshold * (1 - threshold))))
 
 
-def _slots(roots: np.ndarray, bits: int) -> np.ndarray:
-    return (G.mix(roots.view(U) if roots.dtype == np.int64 else roots.astype(U)) & U((1 << bits) - 1)).astype(np.int64)
-
-
-def _filter_of(places: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2^bits bits that holds the roots of ``places`` (root, ...); merged block by block in tasks."""
-    block = min(bits, 22)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(_slots(batch.column(0).to_numpy(), bits)) for batch in batches)]))
-        cut = np.searchsorted(at >> block, np.arange((1 << (bits - block)) + 1))
-        rows = [(i, at[a:z] - (i << block)) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x.astype(np.int32).tobytes() for _, x in rows], pa.binary())], names=["block", "at"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total.setdefault(i, np.zeros(1 << block, bool))[np.frombuffer(x.as_buffer(), np.int32)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in total.values()], pa.binary())], names=["block", "at"])
-
-    schema = "block int, at binary"
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    size = 1 << (block - 3)
-    for r in places.select("root").mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.at, np.uint8)
-    return out
-
-
 def _places(parts: DataFrame, held: object = None, bits: int = 0) -> DataFrame:
     """(root, cid) of packed rows; with a broadcast filter only those it may hold."""
 
@@ -109,8 +77,7 @@ def _places(parts: DataFrame, held: object = None, bits: int = 0) -> DataFrame:
                     continue
                 root = S.root_ids(b, r)
                 if held is not None:
-                    at = _slots(root, bits)
-                    ok = (held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                    ok = K.may_hold(held.value, root, bits)
                     root, c = root[ok], c[ok]
                 roots.append(root)
                 cids.append(c)
@@ -194,11 +161,11 @@ class SegmentIndex:
         own = F.col("batch") == batch_no
         parts, texts = self._read("segments").filter(own), self._read("texts").filter(own)
         n = texts.count()
-        bits = min(max(int(n * self.SHAPE.segments * FILTER_BITS).bit_length(), FILTER_LEAST), FILTER_MOST)
+        bits = K.bits_for(n * self.SHAPE.segments)
         context = self.spark.sparkContext
-        probe = context.broadcast(_filter_of(_places(parts), bits))  # at most 2^FILTER_MOST bits, as the next one
+        probe = context.broadcast(K.filter_of(_places(parts), bits))  # at most 2^MOST bits, as the next one
         stored = materialize(_places(old["segments"], probe, bits), "p5-stored")
-        mine = _places(parts, context.broadcast(_filter_of(stored, bits)), bits)
+        mine = _places(parts, context.broadcast(K.filter_of(stored, bits)), bits)
         stored = stored.join(old["texts"].select("cid", "rec"), "cid").select("root", "cid", "rec", F.lit(1).alias("side"))
         mine = mine.join(texts.select("cid", "rec"), "cid").select("root", "cid", "rec", F.lit(0).alias("side"))
         met = materialize(mine.unionByName(stored), "p5-met")

@@ -50,10 +50,7 @@ def draw(g: np.ndarray, doc: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.n
     start, _ = G.spans(doc)
     segs, symbols, near = np.zeros((shape.segments, len(start)), U), np.zeros((shape.symbols, len(start)), np.uint8), None
     for j, seed in enumerate(_SEEDS[: shape.symbols]):
-        h = g * seed
-        h ^= h >> U(32)
-        h *= U(0x94D049BB133111EB)
-        least = np.minimum.reduceat(h, start)
+        least = G.mix(np.minimum.reduceat(g * seed, start))  # n-grams are uniform hashes already: an odd factor permutes them
         symbols[j] = (least >> U(8)).astype(np.uint8)
         segs[j // shape.length] = G.mix(segs[j // shape.length] + least)
         if j == 0:

@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import grams as G
-from pagewright.plans.joins import checked_join
+from pagewright.llm.keyfilter import bits_for, filter_of, may_hold
+from pagewright.llm.sigtree import expanded
+from pagewright.plans.joins import checked_join, salted_join
 from pagewright.plans.runtime import materialize, table
 
 SPAN, K = 200, 64
@@ -103,8 +105,8 @@ def _nodes(texts: pa.Array, edges: bool, span: int, k: int, twins: bool = False)
     return node, doc_of, pos, around, link[:-1], link[1:]
 
 
-def nodes(rows: DataFrame, key: str, text: str, edges: bool, span: int = SPAN, k: int = K) -> DataFrame:
-    """(node, key) or, with edges, (node, key, pos, around, edge_in, edge_out)."""
+def nodes(rows: DataFrame, key: str, text: str, edges: bool, span: int = SPAN, k: int = K, held: object = None, bits: int = 0) -> DataFrame:
+    """(node, key) or, with edges, (node, key, pos, around, edge_in, edge_out); with a broadcast filter only the nodes that it may hold."""
     kept = rows.select(F.col(key), F.col(text).alias("t"))
     kind = kept.schema[key].dataType.simpleString()
 
@@ -112,6 +114,9 @@ def nodes(rows: DataFrame, key: str, text: str, edges: bool, span: int = SPAN, k
         for batch in batches:
             for s in G.slices(batch, "t"):
                 node, doc, *rest = _nodes(s.column(1), edges, span, k)
+                if held is not None:
+                    ok = may_hold(held.value, node.view(np.int64), bits)
+                    node, doc, rest = node[ok], doc[ok], [x[ok] for x in rest]
                 cols = [pa.array(node.view(np.int64)), s.column(0).take(pa.array(doc))]
                 if edges:
                     pos, around, e_in, e_out = rest
@@ -155,8 +160,9 @@ def compacted(at: DataFrame) -> DataFrame:
 
 def _cut(rows: DataFrame, at: DataFrame, key: str, text: str, span: int, k: int) -> DataFrame:
     """(node, key, pos, around, m, left, right): the text before the node, reversed, and after it, up to ``span - k`` characters."""
-    per = at.groupBy(key).agg(F.collect_list(F.struct("node", "pos", "around", "m")).alias("at"))  # bounded by the record's length
-    joined = rows.select(key, F.col(text).alias("t")).join(per, key)
+    per = materialize(at.groupBy(key).agg(F.collect_list(F.struct("node", "pos", "around", "m")).alias("at")), "p10-per")  # bounded by the record's length
+    # only the texts concerned are moved
+    joined = checked_join(rows.select(key, F.col(text).alias("t")), per.select(key), [key], "left_semi", key).join(per, key)
     reach = span - k
     kind = joined.schema[key].dataType.simpleString()
 
@@ -240,11 +246,13 @@ def shared_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", span:
     rows = rows.select(key, text).filter(F.length(text) >= span)
     members = materialize(classes(rows, key, text), "p10-members")
     copies = members.filter(F.col(key) != F.col("cid")).select(key)
-    reps = rows.join(copies, key, "left_anti")
+    reps = checked_join(rows, copies, [key], "left_anti", key)
     # first only which nodes several records have, then their occurrences
     seen = nodes(reps, key, text, False, span, k).groupBy("node").agg(F.min(key).alias("x"), F.max(key).alias("y"), F.count("*").alias("m"))
     several = materialize(seen.filter("x < y").select("node", "m"), "p10-several")
-    at = materialize(nodes(reps, key, text, True, span, k).join(several, "node"), "p10-at")
+    bits = bits_for(several.count())
+    held = rows.sparkSession.sparkContext.broadcast(filter_of(several, bits))  # of bounded size
+    at = materialize(nodes(reps, key, text, True, span, k, held, bits).join(several, "node"), "p10-at")
     if compact:
         at = compacted(at)
     cut = materialize(_cut(reps, at, key, text, span, k).withColumnRenamed(key, "_key"), "p10-cut")
@@ -256,7 +264,7 @@ def shared_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", span:
     if not many.isEmpty():
         w = _windows(many, span, k)
         x, y = (w.select("node", "window", F.col("_key").alias(n), F.col("pos").alias(f"pos_{n}"), F.col("before").alias(f"before_{n}")) for n in "ab")
-        met = x.join(y, ["node", "window"]).filter("a < b")
+        met = salted_join(x, y, ["node", "window"], "inner", "a").filter("a < b")  # a window that many records have is split into shares
         found = found.unionByName(met.select("a", "b", "pos_a", "pos_b", F.col("before_a").alias("before"), (F.lit(span - k) - F.col("before_a")).cast("int").alias("after")))
     return found, members
 
@@ -265,10 +273,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents with a common stretch of at least 200 characters."""
     found, members = shared_spans(table(spark, sf_dir, "documents"))
     pairs = found.select("a", "b").distinct()
-    left, right = members.select(F.col("doc_id").alias("x"), F.col("cid").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("cid").alias("b"))
-    across = pairs.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    within = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    pairs = pairs.select(F.col("a").alias("cid_a"), F.col("b").alias("cid_b"))
+    return expanded(pairs, members, "doc_id").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,3 +279,14 @@ def test_shared_of_nothing(spark):
     for rows in ([], [(1, None), (2, "short")]):
         found, members = shared.shared_spans(spark.createDataFrame(rows, "doc_id long, text string"))
         assert found.count() == 0 == members.count()
+
+
+def test_key_filter(spark):
+    from pagewright.llm import keyfilter
+
+    keys = np.random.default_rng(1).integers(-(2**62), 2**62, 20_000)
+    bits = keyfilter.bits_for(len(keys))
+    held = keyfilter.filter_of(spark.createDataFrame([(int(k),) for k in keys], "root long"), bits)
+    assert keyfilter.may_hold(held, keys, bits).all()
+    assert keyfilter.may_hold(held, np.random.default_rng(2).integers(-(2**62), 2**62, 100_000), bits).mean() < 0.01
+    assert not keyfilter.may_hold(keyfilter.filter_of(spark.createDataFrame([], "root long"), 16), keys, 16).any()
