@@ -133,6 +133,8 @@ class Encoder:
                         continue
                     last[end] = t
                     break
+            else:
+                raise ValueError(f"no token ends {data[:end]!r}: the vocabulary lacks a byte")
         out, at = [], len(data)
         while at:
             out.append(last[at])

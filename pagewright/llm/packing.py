@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.bpe import token_counts
 from pagewright.plans.runtime import materialize, table
 
-#: Shares into which the items of one size are split to rank them.
-SHARES = 64
+#: Items per share: the pieces of one size are ranked share by share.
+SHARE = 50_000
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -160,37 +160,48 @@ def places(containers: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int
     return out
 
 
-def pieces(sizes: DataFrame, capacity: int, key: str) -> DataFrame:
-    """(key, piece_no, start, tokens): items up to the capacity whole, larger ones in full pieces and a rest.
+def pieces(sizes: DataFrame, budgets: list[tuple[int, int]], key: str) -> DataFrame:
+    """(budget_id, capacity, key, piece_no, start, tokens) for every budget (id, capacity): items up to the capacity whole, larger ones in full pieces and a rest.
 
-    Null and non-positive sizes count as 0 and give one piece of 0 tokens.
+    Null and non-positive sizes count as 0 and give one piece of 0 tokens. The sizes are read once for all budgets, which are few.
     """
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("capacity")) for b, c in budgets])).alias("b")
     t = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))
-    n = F.greatest(F.ceil(t / capacity), F.lit(1)).cast("int")
-    out = sizes.select(F.col(key), t.alias("all"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece_no"))
-    start = F.col("piece_no").cast("long") * capacity
-    return out.select(key, "piece_no", start.alias("start"), F.least(F.col("all") - start, F.lit(capacity)).cast("int").alias("tokens"))
+    base = sizes.select(F.col(key), t.alias("all"), each).select("b.*", key, "all")
+    n = F.greatest(F.ceil(F.col("all") / F.col("capacity")), F.lit(1)).cast("int")
+    out = base.withColumn("piece_no", F.explode(F.sequence(F.lit(0), n - 1)))
+    start = F.col("piece_no").cast("long") * F.col("capacity")
+    return out.select("budget_id", "capacity", key, "piece_no", start.alias("start"), F.least(F.col("all") - start, F.col("capacity")).cast("int").alias("tokens"))
 
 
-def packed(sizes: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """(key, piece_no, start, tokens, container_id) for items (key, tokens); container_id counts from 1.
+def packed_all(sizes: DataFrame, budgets: list[tuple[int, int]], key: str = "doc_id") -> DataFrame:
+    """(budget_id, key, piece_no, start, tokens, container_id) for items (key, tokens) and budgets (id, capacity); container_id counts from 1 in each budget.
 
     Pieces of 0 tokens take no room and go to container 1. Keys should be unique; repeated
-    ones are items of their own. Equal items are told apart by key and piece.
+    ones are items of their own. Equal items are told apart by key and piece. The shares that rank the pieces of a size
+    follow from the number of items, so a size that most pieces have, full ones above all, is spread over tasks.
     """
     spark = sizes.sparkSession
-    parts = pieces(sizes, capacity, key).withColumn("share", F.pmod(F.xxhash64(key, "piece_no"), F.lit(SHARES)).cast("int"))
-    by_share = materialize(parts.filter("tokens > 0").groupBy("tokens", "share").agg(F.count("*").alias("n")), "p9-sizes")
-    histogram = {r.tokens: r.n for r in by_share.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    layout = places(plan(histogram, capacity))
-    before = by_share.select("tokens", "share", (F.sum("n").over(Window.partitionBy("tokens").orderBy("share")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("tokens", "share").orderBy(key, "piece_no")) - 1
-    ranked = parts.withColumn("in_share", rank).join(before, ["tokens", "share"], "left").withColumn("rank", F.col("in_share") + F.col("before"))
-    place = spark.createDataFrame(layout, "size int, lo long, hi long, first long, each int")
-    # the layout has a few rows per size, so the capacity bounds it too
-    fit = (F.col("tokens") == F.col("size")) & F.col("rank").between(F.col("lo"), F.col("hi"))
+    shares = max(8, -(-sizes.count() // SHARE))
+    parts = pieces(sizes, budgets, key).withColumn("share", F.pmod(F.xxhash64(key, "piece_no"), F.lit(shares)).cast("int"))
+    by_share = materialize(parts.filter("tokens > 0").groupBy("budget_id", "tokens", "share").agg(F.count("*").alias("n")), "p9-sizes")
+    histograms: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in by_share.groupBy("budget_id", "tokens").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows a budget
+        histograms[r.budget_id][r.tokens] = r.n
+    layout = [(b, *place) for b, c in budgets for place in places(plan(histograms[b], c))]
+    before = by_share.select("budget_id", "tokens", "share", (F.sum("n").over(Window.partitionBy("budget_id", "tokens").orderBy("share")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("budget_id", "tokens", "share").orderBy(key, "piece_no")) - 1
+    ranked = parts.withColumn("in_share", rank).join(before, ["budget_id", "tokens", "share"], "left").withColumn("rank", F.col("in_share") + F.col("before"))
+    place = spark.createDataFrame(layout, "budget int, size int, lo long, hi long, first long, each int")
+    # the layout has a few rows per size, so the capacities bound it too
+    fit = (F.col("budget_id") == F.col("budget")) & (F.col("tokens") == F.col("size")) & F.col("rank").between(F.col("lo"), F.col("hi"))
     at = F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))
-    return ranked.join(F.broadcast(place), fit, "left").select(key, "piece_no", "start", "tokens", F.coalesce(at, F.lit(1)).cast("long").alias("container_id"))
+    return ranked.join(F.broadcast(place), fit, "left").select("budget_id", key, "piece_no", "start", "tokens", F.coalesce(at, F.lit(1)).cast("long").alias("container_id"))
+
+
+def packed(sizes: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """(key, piece_no, start, tokens, container_id) of one capacity; see :func:`packed_all`."""
+    return packed_all(sizes, [(0, capacity)], key).drop("budget_id")
 
 
 def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, int]]:
@@ -200,12 +211,13 @@ def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, int]]:
 
 
 def pack_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(budget_id, doc_id, piece_no, start, tokens, container_id) for every budget."""
-    out, counted = None, {}
+    """(budget_id, doc_id, piece_no, start, tokens, container_id) for every budget; documents are encoded once per tokenizer."""
+    by_name: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for budget, name, capacity in _budgets(spark, sf_dir):
-        if name not in counted:
-            counted[name] = materialize(token_counts(table(spark, sf_dir, "documents"), name=name), "p9-tokens")
-        one = packed(counted[name], capacity).select(F.lit(budget).alias("budget_id"), "*")
+        by_name[name].append((budget, capacity))
+    out = None
+    for name, budgets in by_name.items():
+        one = packed_all(materialize(token_counts(table(spark, sf_dir, "documents"), name=name), "p9-tokens"), budgets)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], "budget_id int, doc_id long, piece_no int, start long, tokens int, container_id long")
