@@ -140,7 +140,9 @@ class SegmentIndex:
         # rows with one set are one text of the index: its smallest key, and only if no earlier batch has the set
         sets = sigs.groupBy("sum", "n").agg(F.min("cid").alias("text"))
         sets = materialize(sets.join(old["texts"].select("sum", "n", F.lit(True).alias("stored")), ["sum", "n"], "left").withColumn("stored", F.coalesce("stored", F.lit(False))), "p5-sets")
-        fresh = sigs.join(sets.filter("not stored").select(F.col("text").alias("cid")), "cid", "left_semi")
+        # the rows that go are few as a rule: they are broadcast after counting them, so that no sketch is shuffled
+        gone = sigs.select("cid", "sum", "n").join(sets, ["sum", "n"]).filter("stored or cid <> text").select("cid")
+        fresh = checked_join(sigs, materialize(gone, "p5-gone"), ["cid"], "left_anti", "cid")
         # what is written before the batch is finished doesn't count as accepted
         where = {"segments": S.packed(fresh, self.BUCKETS, self.SHAPE), "texts": fresh.select("cid", "n", "sum", "rec"), "addresses": addresses.select("address").distinct()}
         for name, df in where.items():
