@@ -313,4 +313,9 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN} + 2)) AS i FROM documents WHERE length(text) >= {SPAN})),
       r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), v AS (SELECT w.* FROM w SEMI JOIN r USING (h))
       SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM v a JOIN v b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_share": f"""WITH w AS (SELECT doc_id, i, hash(substr(text, i, {SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN} + 2)) AS i FROM documents WHERE length(text) >= {SPAN})),
+      r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), v AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM w SEMI JOIN r USING (h)),
+      c AS (SELECT doc_id, sum(least({SPAN}, coalesce(j - i, {SPAN}))) AS n FROM v GROUP BY 1)
+      SELECT doc_id, CAST(coalesce(length(text), 0) AS INT) AS chars, CAST(coalesce(n, 0) AS INT) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(n, 0) * 1.0 / length(text) ELSE 0.0 END AS share
+      FROM documents LEFT JOIN c USING (doc_id)""",
 }

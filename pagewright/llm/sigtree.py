@@ -367,4 +367,11 @@ GRAMS_SQL = r"""w AS (SELECT doc_idx, batch_no, regexp_extract_all(lower(content
   o AS (SELECT a.doc_idx AS a, b.doc_idx AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_idx < b.doc_idx GROUP BY ALL),
   pairs AS (SELECT a, b FROM o JOIN n x ON x.doc_idx = a JOIN n y ON y.doc_idx = b WHERE o >= 0.6 * (x.n + y.n - o))"""
 
-ORACLE_SQL = {"p2_found": f"WITH {GRAMS_SQL} SELECT a AS doc_idx_a, b AS doc_idx_b FROM pairs"}
+ORACLE_SQL = {
+    "p2_found": f"WITH {GRAMS_SQL} SELECT a AS doc_idx_a, b AS doc_idx_b FROM pairs",
+    "p2_groups": f"""WITH RECURSIVE {GRAMS_SQL}, s AS (SELECT doc_idx, md5(string_agg(g, '|' ORDER BY g)) AS s FROM g GROUP BY 1), c AS (SELECT doc_idx, min(doc_idx) OVER (PARTITION BY s) AS c FROM s),
+      e AS (SELECT DISTINCT x.c AS a, y.c AS b FROM pairs JOIN c x ON x.doc_idx = a JOIN c y ON y.doc_idx = b WHERE x.c <> y.c), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      r AS (SELECT a AS c, a AS d FROM both_ UNION SELECT r.c, b.b FROM r JOIN both_ b ON b.a = r.d), m AS (SELECT c, min(d) AS grp FROM r GROUP BY 1), k AS (SELECT a AS c, count(*) AS links FROM both_ GROUP BY 1)
+      SELECT i.doc_idx, coalesce(c.c, i.doc_idx) AS class_id, coalesce(grp, c.c, i.doc_idx) AS group_id, coalesce(links, 0) AS n_links
+      FROM search_index i LEFT JOIN c USING (doc_idx) LEFT JOIN m ON m.c = c.c LEFT JOIN k ON k.c = c.c""",
+}
