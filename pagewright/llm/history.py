@@ -9,7 +9,7 @@ takes up a folder again.
 
 1. Rows whose address or whole n-gram set the index has are known.
 2. The other rows' segments are the probe: a filter of their values, sized to the batch, is held against the stored segments where these lie, so only
-   the batch's own segments leave the scan. Texts of a common segment meet; where more than ``MANY`` have it, each row of the batch meets one stored text first, and rows
+   the batch's own segments leave the scan. Texts of a common segment meet; where more than ``MANY`` stored ones have it, each row of the batch meets one of them first, and rows
    that this does not settle meet all the others, share by share.
 3. Pairs must have sizes and bitmaps that allow the similarity, and sketch strings within ``most_edits`` substitutions (the strings have one length, so this bounds their edit distance);
    what is left is verified on whole n-gram sets. Both are read from the collection, for these texts only.
@@ -23,7 +23,6 @@ exceeds ``most_edits`` with one of 1e-9, however large its family.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,10 @@ from pyspark.sql import functions as F
 from pagewright.llm import keyfilter as K
 from pagewright.llm import segments as S
 from pagewright.llm import sigtree as T
-from pagewright.plans.joins import checked_join
+from pagewright.plans.joins import checked_join, salted_join
 from pagewright.plans.runtime import materialize, scratch_path, table
 
-#: Texts of the batch, or stored ones, of a segment up to which they meet all at once.
+#: Stored texts of a segment up to which a row meets them all at once.
 MANY = 512
 
 
@@ -60,12 +59,6 @@ def address_key(url: Column) -> Column:
     return F.when(u != "", F.concat(scheme, F.lit("://"), port, path, F.lit("?"), F.array_join(kept, "&")))
 
 
-def most_edits(threshold: float, shape: S.Shape = S.LONG) -> int:
-    """Substitutions between the sketch strings of two texts at ``threshold`` that six standard deviations allow."""
-    n = shape.symbols
-    return min(n, ceil(n * (1 - threshold) + 6 * sqrt(n * threshold * (1 - threshold))))
-
-
 def _places(parts: DataFrame, held: object = None, bits: int = 0) -> DataFrame:
     """(root, cid) of packed rows; with a broadcast filter only those it may hold."""
 
@@ -95,7 +88,7 @@ class SegmentIndex:
 
     #: Buckets of segment values; fixed for an index, so that segments of all batches fall into the same ones.
     BUCKETS = 64
-    SHAPE = S.LONG
+    SHAPE = S.SHAPE
     TABLES = {
         "segments": S.PACKED + ", batch int", "texts": "cid long, n int, sum long, rec binary, batch int", "addresses": "address long, batch int", "batches": "batch int, rows long",
     }
@@ -168,43 +161,44 @@ class SegmentIndex:
         probe = context.broadcast(K.filter_of(_places(parts), bits))  # at most 2^MOST bits, as the next one
         stored = materialize(_places(old["segments"], probe, bits), "p5-stored")
         mine = _places(parts, context.broadcast(K.filter_of(stored, bits)), bits)
-        stored = stored.join(old["texts"].select("cid", "rec"), "cid").select("root", "cid", "rec", F.lit(1).alias("side"))
-        mine = mine.join(texts.select("cid", "rec"), "cid").select("root", "cid", "rec", F.lit(0).alias("side"))
-        met = materialize(mine.unionByName(stored), "p5-met")
-        counted = met.groupBy("root").agg(F.count_if(F.col("side") == 0).alias("m0"), F.count_if(F.col("side") == 1).alias("m1"))
-        large = materialize(counted.filter((F.least("m0", "m1") > 0) & (F.greatest("m0", "m1") > MANY)), "p5-large")
+        mine = mine.withColumnRenamed("cid", "cid_a")
+        large = materialize(stored.groupBy("root").agg(F.count("*").alias("m"), F.min("cid").alias("first")).filter(F.col("m") > MANY).select("root", "first"), "p5-large")
+        stored = stored.withColumnRenamed("cid", "cid_b")
         if large.isEmpty():
-            return self._similar(_meetings(met), collection).distinct()
-        small = _meetings(checked_join(met, large.select("root"), ["root"], "left_anti", "cid"))
+            return self._similar(mine.join(stored, "root"), texts, old["texts"], collection)
         # one stored text per large segment settles most rows, also those of large families
-        other = checked_join(met.filter("side = 1"), large, ["root"], "inner", "cid").select("root", "cid", "rec", "side", "m0", "m1")
-        first = materialize(other.groupBy("root").agg(F.min_by("rec", "cid").alias("first")), "p5-first")
-        mine = checked_join(checked_join(met.filter("side = 0"), large, ["root"], "inner", "cid"), first, ["root"], "inner", "cid")
-        near = materialize(self._similar(small.unionByName(mine.select(F.array("rec").alias("a"), F.array("first").alias("b"))), collection).distinct(), "p5-near")
-        left = mine.join(near, "cid", "left_anti").select("root", "cid", "rec", F.lit(0).alias("side"), "m0", "m1")
-        return near.unionByName(self._similar(_meetings(_shares(left.unionByName(other)), "share0", "share1"), collection)).distinct()
-
-    def _similar(self, nodes: DataFrame, collection: DataFrame) -> DataFrame:
-        """(cid) of the texts of list a of ``nodes`` (a, b) that are similar to one of list b: by sizes and bitmaps, sketch strings, and whole sets."""
-        pairs = T.traversed(nodes, self.threshold, ordered=False).distinct()
+        few = checked_join(mine, large, ["root"], "left_anti", "cid_a").join(stored, "root").select("cid_a", "cid_b")
+        many = materialize(checked_join(mine, large, ["root"], "inner", "cid_a"), "p5-many")
+        near = materialize(self._similar(few.unionByName(many.select("cid_a", F.col("first").alias("cid_b"))), texts, old["texts"], collection), "p5-near")
+        left = many.join(near.withColumnRenamed("cid", "cid_a"), "cid_a", "left_anti")
+        # rows that are left meet all others, the stored side of a large segment in shares
+        rest = salted_join(stored, left.select("root", "cid_a"), ["root"], "inner", "cid_b").select("cid_a", "cid_b")
+        return near.unionByName(self._similar(rest, texts, old["texts"], collection)).distinct()
+
+    def _similar(self, met: DataFrame, own: DataFrame, stored: DataFrame, collection: DataFrame) -> DataFrame:
+        """(cid) of the texts cid_a of ``met`` (cid_a, cid_b) that are similar to cid_b: by sizes and bitmaps, sketch strings, and whole sets."""
+        pairs = materialize(met.select("cid_a", "cid_b").distinct(), "p5-pairs")
+        ids = pairs.select("cid_b").distinct()
+        bits = K.bits_for(pairs.count())
+        held = self.spark.sparkContext.broadcast(K.filter_of(ids, bits))  # of bounded size
+        b = K.sifted(stored.select(F.col("cid").alias("cid_b"), F.col("rec").alias("b")), "cid_b", held, bits)
+        fit = _records_fit(checked_join(pairs.join(b, "cid_b"), own.select(F.col("cid").alias("cid_a"), F.col("rec").alias("a")), ["cid_a"], "inner", "cid_b"), self.threshold)
         texts = collection.select(F.col(self.key).cast("long").alias(self.key), "content")
-        sure = T.verified(pairs, texts, self.key, "content", self.n, self.threshold, self.SHAPE, most_edits(self.threshold, self.SHAPE))
-        return sure.select(F.col("cid_a").alias("cid"))
+        sure = T.verified(fit, texts, self.key, "content", self.n, self.threshold)
+        return sure.select(F.col("cid_a").alias("cid")).distinct()
 
 
-def _meetings(met: DataFrame, *shares: str) -> DataFrame:
-    """(a, b): per root, and share of it, the texts of the batch and the stored ones; at most MANY each."""
-    lists = (F.collect_list(F.when(F.col("side") == k, F.col("rec"))).alias(n) for k, n in enumerate("ab"))
-    return met.groupBy("root", *shares).agg(*lists).filter((F.size("a") > 0) & (F.size("b") > 0)).select("a", "b")
+def _records_fit(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(cid_a, cid_b) of (cid_a, cid_b, a, b) whose packed texts a and b allow the similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(0, np.int64)
+            if batch.num_rows:
+                ok = np.flatnonzero(T._records_fit(*(S.matrix(batch.column(i), S.RECORD).reshape(-1) for i in (2, 3)), threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(2)], names=["cid_a", "cid_b"])
 
-def _shares(met: DataFrame) -> DataFrame:
-    """Large roots cut into shares: every text of one side meets every share of the other."""
-    own = F.pmod(F.xxhash64("cid"), F.ceil(F.col(("m0")) / MANY)), F.pmod(F.xxhash64("cid"), F.ceil(F.col("m1") / MANY))
-    all_ = F.sequence(F.lit(0), F.ceil(F.col("m0") / MANY) - 1), F.sequence(F.lit(0), F.ceil(F.col("m1") / MANY) - 1)
-    first = met.filter("side = 0").withColumn("share0", own[0]).withColumn("share1", F.explode(all_[1]))
-    second = met.filter("side = 1").withColumn("share1", own[1]).withColumn("share0", F.explode(all_[0]))
-    return first.select("root", "share0", "share1", "cid", "rec", "side").unionByName(second.select("root", "share0", "share1", "cid", "rec", "side"))
+    return pairs.select("cid_a", "cid_b", "a", "b").mapInArrow(run, "cid_a long, cid_b long")
 
 
 def known_rows(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -30,6 +30,17 @@ def slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(x & mask).astype(np.int64) for x in (h, h >> U(32), G.mix(h))]
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Ascending places within a block as distances of two bytes, or of four where one is wider."""
+    step = np.diff(at, prepend=0)
+    width = 2 if int(step.max()) < 1 << 16 else 4
+    return bytes([width]) + step.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64))
+
+
 def filter_of(keys: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2^bits bits that holds the first column of ``keys``, longs; merged block by block in tasks."""
     block = min(bits, 22)
@@ -38,13 +49,13 @@ def filter_of(keys: DataFrame, bits: int) -> np.ndarray:
         at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(np.concatenate(slots(batch.column(0).to_numpy(), bits))) for batch in batches)]))
         cut = np.searchsorted(at >> block, np.arange((1 << (bits - block)) + 1))
         rows = [(i, at[a:z] - (i << block)) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x.astype(np.int32).tobytes() for _, x in rows], pa.binary())], names=["block", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([packed(x) for _, x in rows], pa.binary())], names=["block", "at"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total.setdefault(i, np.zeros(1 << block, bool))[np.frombuffer(x.as_buffer(), np.int32)] = True
+                total.setdefault(i, np.zeros(1 << block, bool))[unpacked(x.as_buffer())] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in total.values()], pa.binary())], names=["block", "at"])
 
     schema = "block int, at binary"
@@ -64,3 +75,13 @@ def may_hold(held: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
         at = at[left]
         ok[left] = (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
     return ok
+
+
+def sifted(df: DataFrame, column: str, held: object, bits: int) -> DataFrame:
+    """The rows of ``df`` whose ``column``, a long without nulls, the broadcast filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held.value, batch.column(batch.schema.get_field_index(column)).to_numpy(), bits)))
+
+    return df.mapInArrow(run, df.schema)

@@ -3,7 +3,7 @@
 A text's set of word n-grams is drawn into a string of symbols: symbol i is the n-gram that takes the least
 value under hash function i (minwise sampling), so two texts of similarity J agree in a symbol with probability J whatever
 other texts there are. The string is cut into segments of fixed number and length; a segment is stored under its position.
-Two texts of similarity J have no segment in common with probability (1 - J^length)^segments: 1.8e-7 at 0.6 and below 2e-11 at 0.7, for both shapes.
+Two texts of similarity J have no segment in common with probability (1 - J^length)^segments: 1.8e-7 at 0.6 and 2e-14 at 0.7.
 
 Segments move between tasks packed: a row holds those of many texts for one bucket of segment values, as 4 bytes
 a segment and one or two a text number. A segment that comes back in a task's chunk of texts more than ``HOT`` times, such as one that a
@@ -33,13 +33,13 @@ class Shape(NamedTuple):
         return self.segments * self.length
 
 
-#: Few and short segments, whose meetings a tree sifts; and more and longer ones, which few unrelated texts share.
-SHORT, LONG = Shape(64, 3), Shape(112, 4)
+#: The shape of all indexes and forests here.
+SHAPE = Shape(112, 4)
 #: 64-bit words of a text's bitmap.
 WORDS = 8
 #: Texts that a task packs together, places of a segment among them above which it is hot, and segments that a bucket should hold.
 CHUNK, HOT, BUCKET = 16_384, 64, 1_000_000
-_SEEDS = G.mix(np.arange(1, LONG.symbols + 1, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = G.mix(np.arange(1, SHAPE.symbols + 1, dtype=np.uint64)) | np.uint64(1)
 U = np.uint64
 #: A packed text: number, size, clustering symbol, bitmap.
 RECORD = np.dtype([("cid", "<i8"), ("n", "<i4"), ("near", "<u4"), ("bits", "<u8", WORDS)])

@@ -3,7 +3,7 @@
 1. Rows with the same set of word n-grams collapse into a class; only its smallest row goes on.
 2. Every class has a sketch string whose segments (see segments) are the roots of the forest: classes that have a segment in common
    meet in one tree. One tree over all records could not be split over executors; a pair at similarity 0.6 is in no common
-   tree with a probability of 1.7e-7, however many copies its family has.
+   tree with a probability of 1.8e-7, however many copies its family has.
 3. A tree's records carry a bitmap of their hashed n-grams and their size. They are ordered by size band and by a symbol that
    similar records share, and every ``FAN`` neighbours make a node, which holds the OR of the bitmaps and the range of sizes, level by level up to one node. The
    dual traversal goes down from pairs of nodes to pairs of records, dropping those whose sizes or largest possible overlap
@@ -17,6 +17,7 @@ the bound holds, and each pair is one traversal, so a root that a third of all r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ FLAT = 16
 U = np.uint64
 
 
-def gram_sets(rows: DataFrame, key: str, text: str, n: int, shape: S.Shape | None = None) -> DataFrame:
-    """(key, grams[, symbols]): the n-gram hashes of each row, folded to 32 bits to halve what the verification moves; and with ``shape`` its sketch string.
+def gram_sets(rows: DataFrame, key: str, text: str, n: int, shape: S.Shape) -> DataFrame:
+    """(key, grams, symbols): the n-gram hashes of each row, folded to 32 bits to halve what the verification moves, and its sketch string.
 
     Two n-grams of a pair share a hash with a probability of about 1e-5, and shift its similarity by less than 1 / n then.
     """
@@ -48,16 +49,13 @@ def gram_sets(rows: DataFrame, key: str, text: str, n: int, shape: S.Shape | Non
                 g, doc, _ = G.word_grams(s.column(1), n)
                 counts = np.bincount(doc, minlength=s.num_rows)
                 off = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                cols = [s.column(0), pa.ListArray.from_arrays(off, pa.array((g >> np.uint64(6)).astype(np.uint32).view(np.int32)))]
-                if shape:
-                    symbols = np.zeros((s.num_rows, shape.symbols), np.uint8)
-                    if len(g):
-                        symbols[np.unique(doc)] = S.draw(g, doc, shape)[1]
-                    at = pa.array(np.arange(s.num_rows + 1, dtype=np.int32) * shape.symbols)
-                    cols.append(pa.ListArray.from_arrays(at, pa.array(symbols.reshape(-1).view(np.int8))))
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "grams", "symbols"][: len(cols)])
+                symbols = np.zeros((s.num_rows, shape.symbols), np.uint8)
+                if len(g):
+                    symbols[np.unique(doc)] = S.draw(g, doc, shape)[1]
+                grams = pa.ListArray.from_arrays(off, pa.array((g >> np.uint64(6)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([s.column(0), grams, S._binaries(symbols)], names=["key", "grams", "symbols"])
 
-    return kept.mapInArrow(make, "key long, grams array<int>" + ", symbols array<tinyint>" * (shape is not None))
+    return kept.mapInArrow(make, "key long, grams array<int>, symbols binary")
 
 
 def _ones(bits: np.ndarray) -> np.ndarray:
@@ -230,8 +228,8 @@ def _nodes_possible(a: str, b: str, threshold: float) -> Column:
 
 def forest(sigs: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the trees to traverse, as lists of packed texts; b null for a tree with itself. ``sigs``: (cid, segs, rec), written and of unique cid."""
-    buckets = S.buckets_for(sigs.count(), S.SHORT)
-    met = S.shared(S.packed(sigs, buckets, S.SHORT), buckets, NODE).join(sigs.select("cid", "rec"), "cid")
+    buckets = S.buckets_for(sigs.count(), S.SHAPE)
+    met = S.shared(S.packed(sigs, buckets, S.SHAPE), buckets, NODE).join(sigs.select("cid", "rec"), "cid")
     met = materialize(met.select("root", "rec", "big"), "p2-met")
     small = met.filter("not big").groupBy("root").agg(F.collect_list("rec").alias("a")).select("a", F.lit(None).cast("array<binary>").alias("b"))
     big = met.filter("big").select("root", "rec")
@@ -254,23 +252,46 @@ def forest(sigs: DataFrame, threshold: float) -> DataFrame:
     return small.unionByName(pairs.select(F.col("x.recs").alias("a"), F.when(~same, F.col("y.recs")).alias("b")))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, n: int, threshold: float, shape: S.Shape | None = None, most: int = 0) -> DataFrame:
+def most_edits(threshold: float, shape: S.Shape = S.SHAPE) -> int:
+    """Substitutions between the sketch strings of two texts at ``threshold`` that six standard deviations allow."""
+    n = shape.symbols
+    return min(n, ceil(n * (1 - threshold) + 6 * sqrt(n * threshold * (1 - threshold))))
+
+
+#: Symbols of the sketch string that are compared before whole sets are.
+CHECKED = S.Shape(S.SHAPE.segments // 2, S.SHAPE.length)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
     """(cid_a, cid_b, similarity) of the candidate pairs that reach the threshold on whole n-gram sets.
 
-    With ``shape`` sketch strings that differ in more than ``most`` symbols end before that. Only the texts of candidates are read into sets. The joins by record are inner ones, so the adaptive skew join splits a record with many partners.
+    First sketch strings within ``most_edits`` substitutions (the strings have one length, so this bounds their edit distance), which are a quarter of the sets' size; a pair at the
+    threshold exceeds them with a probability of 1e-9. Only the texts of candidates are read. The joins by record are inner ones, so the adaptive
+    skew join splits a record with many partners.
     """
     pairs = materialize(pairs, "p2-pairs")
     ids = materialize(pairs.select(F.col("cid_a").alias(key)).union(pairs.select("cid_b")).distinct(), "p2-ids")
-    sets = materialize(gram_sets(checked_join(rows, ids, [key], "left_semi", key), key, text, n, shape), "p2-sets")
-    more = [[F.col("symbols").alias(f"s{x}")] if shape else [] for x in "ab"]
-    first = pairs.join(sets.select(F.col("key").alias("cid_a"), F.col("grams").alias("ga"), *more[0]), "cid_a")
-    both = first.join(sets.select(F.col("key").alias("cid_b"), F.col("grams").alias("gb"), *more[1]), "cid_b")
-    if shape:
-        edits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
-        both = both.filter(edits <= most)
-    common = F.size(F.array_intersect("ga", "gb"))
-    sim = common / (F.size("ga") + F.size("gb") - common)
-    return both.select("cid_a", "cid_b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
+    sets = materialize(gram_sets(checked_join(rows, ids, [key], "left_semi", key), key, text, n, CHECKED), "p2-sets")
+
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(sets.select(F.col("key").alias(f"cid_{x}"), F.col(column).alias(x)), f"cid_{x}")
+        return pairs
+
+    most = most_edits(threshold, CHECKED)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(0, np.int64)
+            if batch.num_rows:
+                ok = np.flatnonzero((S.matrix(batch.column(2), np.uint8) != S.matrix(batch.column(3), np.uint8)).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in range(2)], names=["cid_a", "cid_b"])
+
+    left = both(pairs, "symbols").select("cid_a", "cid_b", "a", "b").mapInArrow(near, "cid_a long, cid_b long")
+    whole = both(left, "grams")
+    common = F.size(F.array_intersect("a", "b"))
+    sim = common / (F.size("a") + F.size("b") - common)
+    return whole.select("cid_a", "cid_b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def classes(sigs: DataFrame, key: str) -> DataFrame:
@@ -281,7 +302,7 @@ def classes(sigs: DataFrame, key: str) -> DataFrame:
 
 def representatives(rows: DataFrame, key: str, text: str, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(cid, segs, rec) of one row of each class, and the members (key, cid) of classes of several rows."""
-    sigs = materialize(S.sketches(rows.select(key, text), key, text, [], n, min_words, S.SHORT), "p2-sigs")
+    sigs = materialize(S.sketches(rows.select(key, text), key, text, [], n, min_words, S.SHAPE), "p2-sigs")
     members = materialize(classes(sigs, key), "p2-members")
     copies = members.filter(F.col(key) != F.col("cid")).select(key)
     return checked_join(sigs, copies, [key], "left_anti", key).select(F.col(key).alias("cid"), "segs", "rec"), members

@@ -182,7 +182,7 @@ def test_segments_packed_and_unpacked():
 
 
 def test_edits_between_sketches():
-    assert history.most_edits(0.6) == 242 and history.most_edits(0.0) == 448 and history.most_edits(0.6, segments.SHORT) == 118
+    assert sigtree.most_edits(0.6) == 242 and sigtree.most_edits(0.0) == 448 and sigtree.most_edits(0.6, segments.Shape(64, 3)) == 118
 
 
 def test_traversal_equals_all_pairs():
