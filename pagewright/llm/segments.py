@@ -48,9 +48,11 @@ RECORD = np.dtype([("cid", "<i8"), ("n", "<i4"), ("near", "<u4"), ("bits", "<u8"
 def draw(g: np.ndarray, doc: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segments, symbols, near) of each text, in order of appearance: 32-bit hashes of the segments, the symbols cut to a byte, and one symbol of 32 bits to order texts by."""
     start, _ = G.spans(doc)
+    held = np.empty_like(g)
     segs, symbols, near = np.zeros((shape.segments, len(start)), U), np.zeros((shape.symbols, len(start)), np.uint8), None
     for j, seed in enumerate(_SEEDS[: shape.symbols]):
-        least = G.mix(np.minimum.reduceat(g * seed, start))  # n-grams are uniform hashes already: an odd factor permutes them
+        np.multiply(g, seed, out=held)  # n-grams are uniform hashes already: an odd factor permutes them
+        least = G.mix(np.minimum.reduceat(held, start))
         symbols[j] = (least >> U(8)).astype(np.uint8)
         segs[j // shape.length] = G.mix(segs[j // shape.length] + least)
         if j == 0:
