@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import classify_queries, pipeline_queries, report_queries, scalar_queries, search_queries
+from pagewright.plans import classify_queries, pipeline_queries, report_queries, scalar_queries, search_queries, source_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scalar_queries, search_queries, classify_queries, pipeline_queries, report_queries)
+MODULES = (scalar_queries, search_queries, classify_queries, pipeline_queries, report_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:
