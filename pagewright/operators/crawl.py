@@ -98,8 +98,11 @@ def outgoing_links(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     return _other_hosts(a, key)
 
 
-def feeds(pages: DataFrame, url: str = "url", html: str = "html_content") -> DataFrame:
-    """(host, feed): feed links of the pages of a host, and the usual places, each once. Rows without a host are left out."""
+def feeds(pages: DataFrame, url: str = "url", html: str = "html_content", answers: DataFrame | None = None) -> DataFrame:
+    """(host, feed): feed links of the pages of a host, and the usual places, each once. Rows without a host are left out.
+
+    With ``answers`` (url, status_code) only those usual places count that answered 200; without, all of them do.
+    """
     root = F.concat(F.lit("https://"), F.col("host"))
     base = pages.select(U.raw_netloc(F.col(url)).alias("host"), F.col(html).alias("html")).filter("host <> ''")
     declared = F.regexp_extract_all("html", F.lit(r"(?is)(<link\b[^>]*type\s*=\s*[\"']application/(?:rss|atom)\+xml[\"'][^>]*>)"), F.lit(1))
@@ -107,6 +110,8 @@ def feeds(pages: DataFrame, url: str = "url", html: str = "html_content") -> Dat
     found = base.select("host", F.explode(declared).alias("tag")).select("host", href.alias("h")).filter("h <> ''")
     found = found.select("host", F.when(F.col("h").startswith("/"), F.concat(root, F.col("h"))).otherwise(F.col("h")).alias("feed"))
     usual = base.select("host").distinct().select("host", F.explode(F.array(*[F.concat(root, F.lit(p)) for p in L.FEED_PATHS])).alias("feed"))
+    if answers is not None:
+        usual = usual.join(answers.filter("status_code = 200").select(F.col("url").alias("feed")), "feed", "left_semi").select("host", "feed")
     return found.unionByName(usual).distinct()
 
 

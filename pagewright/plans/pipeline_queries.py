@@ -280,6 +280,15 @@ def enhanced_crawl(spark: SparkSession, d: str) -> DataFrame:
     return crawl.enhanced_crawl(table(spark, d, "crawled_pages"), docs)
 
 
+@query(rf"""SELECT host, CASE WHEN starts_with(h, '/') THEN 'https://' || host || h ELSE h END AS feed FROM (SELECT host, regexp_extract(tag, '(?is)href\s*=\s*["'']([^"'']+)["'']', 1) AS h FROM (
+      SELECT {_NET.format(x='url')} AS host, unnest(regexp_extract_all(html_content, '(?is)(<link\b[^>]*type\s*=\s*["'']application/(?:rss|atom)\+xml["''][^>]*>)', 1)) AS tag FROM crawled_pages)) WHERE h <> '' AND host <> ''
+    UNION SELECT 'mossfenjournal.example', 'https://mossfenjournal.example/atom' WHERE (SELECT count(*) FROM crawled_pages WHERE {_NET.format(x='url')} = 'mossfenjournal.example') > 0""")
+def feeds_that_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Declared feeds, and of the usual places those that answered."""
+    answers = spark.createDataFrame([(u, s) for u, _, s in FEEDS], "url string, status_code int")
+    return crawl.feeds(table(spark, d, "crawled_pages"), answers=answers)
+
+
 _REASONS = " UNION ALL ".join(
     f"SELECT doc_idx, '{g.name}' AS category, '{p}' AS pattern, len(regexp_extract_all(content, {Q._re(p)})) AS matches, '{'Positive' if g.weight > 0 else 'Negative'}' AS sign FROM search_index"
     for g in L.CONTENT

@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,8 +65,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def _sweep() -> None:
     for spark, path in _MADE:
-        if path.startswith("file://"):
-            shutil.rmtree(path[len("file://"):], ignore_errors=True)
+        parts = urlsplit(path)
+        if parts.scheme in ("", "file") and os.path.isdir(parts.path):
+            shutil.rmtree(parts.path, ignore_errors=True)
         else:
             try:
                 jvm = spark.sparkContext._jvm

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pagewright.operators import api
 from pagewright.plans.runtime import scratch_path, table
 from pagewright.plans.search_queries import _hits
 from pagewright.sources import files, web
+from pagewright.sources.sqlite import SqliteSource, write_upsert
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -118,6 +121,22 @@ def prototype_store(spark: SparkSession, d: str) -> DataFrame:
     return vectors.select("vec_id", "label", F.lit(params["threshold"]).alias("threshold"))
 
 
+@query("SELECT proto_id, title, content FROM prototype_dataset WHERE content <> '' AND proto_id % 2 = 0 UNION ALL SELECT proto_id, 'changed', content FROM prototype_dataset WHERE content <> '' AND proto_id % 2 = 1")
+def sqlite_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed table of prototypes in SQLite, half of it written twice (the last write wins), scanned in parts; the database filters and prunes."""
+    path = scratch_path(spark, "sqlite")
+    if urlsplit(path).scheme not in ("", "file"):
+        raise ValueError("SQLite needs a shared folder that is mounted as files")
+    os.makedirs(urlsplit(path).path)
+    local = urlsplit(path).path + "/rows.db"
+    rows = [r.asDict() for r in table(spark, d, "prototype_dataset").select("proto_id", "title", "content", "author").collect()]  # 240 rows
+    write_upsert(iter(rows), local, "prototypes", "proto_id", list(rows[0]) if rows else ["proto_id", "title", "content", "author"])
+    write_upsert(({**r, "title": "changed"} for r in rows if r["proto_id"] % 2), local, "prototypes", "proto_id", list(rows[0]) if rows else [])
+    spark.dataSource.register(SqliteSource)
+    reader = spark.read.format("sqlite").schema("proto_id long, title string, content string")
+    return reader.option("path", local).option("table", "prototypes").option("partitions", "4").option("where", "content <> ''").load()
+
+
 _FEED = "https://feeds.example/"
 
 

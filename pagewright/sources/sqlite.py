@@ -12,7 +12,10 @@ _TYPES = (("INT", "long"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "dou
 
 
 class SqliteSource(DataSource):
-    """Options: path, table, and partitions (1). Columns and types come from the table's declaration; anything else is a string."""
+    """Options: path, table, partitions (1), and where: a condition in SQLite's SQL that the database itself applies.
+
+    Columns and types come from the table's declaration; anything else is a string. A schema given to the reader prunes the columns.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -52,8 +55,9 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         cols = ", ".join(_quote(f.name) for f in self.schema.fields)
+        where = f" AND ({self.options['where']})" if self.options.get("where") else ""
         with self._connect() as c:
-            yield from c.execute(f"SELECT {cols} FROM {_quote(self.options['table'])} WHERE rowid BETWEEN ? AND ?", (partition.lo, partition.hi))
+            yield from c.execute(f"SELECT {cols} FROM {_quote(self.options['table'])} WHERE rowid BETWEEN ? AND ?{where}", (partition.lo, partition.hi))
 
 
 def _quote(name: str) -> str:
