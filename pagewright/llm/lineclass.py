@@ -20,7 +20,7 @@ from pagewright.llm import grams as G
 
 #: Hashed features of the model.
 FEATURES = 1 << 18
-#: Words of a line that are looked at beyond its first and last ones count by their hashes; all of them do.
+#: Kinds of features, hashed apart.
 _SALT = {n: np.uint64(zlib.crc32(n.encode()) << 20 | 1) for n in ("one", "two", "first", "firsttwo", "last", "prev", "prevtwo", "next", "shape", "tag", "around", "place", "title", "site", "prevtag")}
 U = np.uint64
 

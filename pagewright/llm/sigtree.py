@@ -71,7 +71,7 @@ def _records_fit(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
 
 
 class Level:
-    """The nodes of one level of a tree: range of sizes, OR of bitmaps, largest excess of a size over its bits, and first child of each."""
+    """The nodes of one level of a tree: range of sizes, OR of bitmaps, and largest excess of a size over its bits."""
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, slack: np.ndarray, bits: np.ndarray):
         self.lo, self.hi, self.slack, self.bits = lo, hi, slack, bits
