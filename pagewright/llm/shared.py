@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import grams as G
 from pagewright.llm.keyfilter import bits_for, filter_of, may_hold
 from pagewright.llm.sigtree import expanded
-from pagewright.plans.joins import checked_join, salted_join
+from pagewright.plans.joins import checked_join, salted_join, shuffled_join
 from pagewright.plans.runtime import materialize, table
 
 SPAN, K = 200, 64
@@ -154,7 +154,7 @@ def compacted(at: DataFrame) -> DataFrame:
     )
     one_in = per.filter("in1 = in2 and in1 <> 0").select("node", F.col("in1").alias("edge"))
     one_out = per.filter("out1 = out2 and out1 <> 0").select(F.col("out1").alias("edge"))
-    inner = materialize(one_in.join(one_out, "edge", "left_semi").select("node"), "p10-inner")
+    inner = materialize(shuffled_join(one_in, one_out, "edge", "left_semi").select("node"), "p10-inner")
     return checked_join(at, inner, ["node"], "left_anti", "pos")
 
 
@@ -162,7 +162,7 @@ def _cut(rows: DataFrame, at: DataFrame, key: str, text: str, span: int, k: int)
     """(node, key, pos, around, m, left, right): the text before the node, reversed, and after it, up to ``span - k`` characters."""
     per = materialize(at.groupBy(key).agg(F.collect_list(F.struct("node", "pos", "around", "m")).alias("at")), "p10-per")  # bounded by the record's length
     # only the texts concerned are moved
-    joined = checked_join(rows.select(key, F.col(text).alias("t")), per.select(key), [key], "left_semi", key).join(per, key)
+    joined = shuffled_join(checked_join(rows.select(key, F.col(text).alias("t")), per.select(key), [key], "left_semi", key), per, key)
     reach = span - k
     kind = joined.schema[key].dataType.simpleString()
 
@@ -252,14 +252,14 @@ def shared_spans(rows: DataFrame, key: str = "doc_id", text: str = "text", span:
     several = materialize(seen.filter("x < y").select("node", "m"), "p10-several")
     bits = bits_for(several.count())
     held = rows.sparkSession.sparkContext.broadcast(filter_of(several, bits))  # of bounded size
-    at = materialize(nodes(reps, key, text, True, span, k, held, bits).join(several, "node"), "p10-at")
+    at = materialize(shuffled_join(nodes(reps, key, text, True, span, k, held, bits), several, "node"), "p10-at")
     if compact:
         at = compacted(at)
     cut = materialize(_cut(reps, at, key, text, span, k).withColumnRenamed(key, "_key"), "p10-cut")
     few = cut.filter(F.col("m") <= DIRECT)
     a = few.select("node", *(F.col(c).alias(n) for c, n in (("_key", "a"), ("pos", "pos_a"), ("left", "left_a"), ("right", "right_a"))))
     b = few.select("node", *(F.col(c).alias(n) for c, n in (("_key", "b"), ("pos", "pos_b"), ("left", "left_b"), ("right", "right_b"))))
-    found = _agree(a.join(b, "node").filter("a < b"), span, k)
+    found = _agree(shuffled_join(a, b, "node").filter("a < b"), span, k)  # both sides hold texts
     many = cut.filter(F.col("m") > DIRECT)
     if not many.isEmpty():
         w = _windows(many, span, k)
@@ -288,8 +288,8 @@ def shares(rows: DataFrame) -> DataFrame:
     # all places at one occurrence hold its node, so their union is one stretch
     places = found.select(F.explode(F.array(*(F.struct(F.col(n).alias("cid"), F.col(f"pos_{n}").alias("pos"), "before", "after") for n in "ab"))).alias("p")).select("p.*")
     places = materialize(places.groupBy("cid", "pos").agg(F.max("before").alias("before"), F.max("after").alias("after")), "p10-places")
-    concerned = rows.join(places.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    again = twins(concerned, "doc_id", "text").withColumnRenamed("doc_id", "cid").join(places, ["cid", "pos"]).select("cid", F.col("at").alias("pos"), "before", "after")
+    concerned = shuffled_join(rows, places.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    again = shuffled_join(twins(concerned, "doc_id", "text").withColumnRenamed("doc_id", "cid"), places, ["cid", "pos"]).select("cid", F.col("at").alias("pos"), "before", "after")
     places = places.select("cid", "pos", "before", "after").unionByName(again).select("cid", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + K + F.col("after")).alias("e"))
     # places of one record, merged: bounded by its length
     merged = F.aggregate(
@@ -300,8 +300,8 @@ def shares(rows: DataFrame) -> DataFrame:
     )
     covered = places.groupBy("cid").agg(merged.alias("n"))
     n = F.coalesce(F.length("text"), F.lit(0))
-    out = rows.select("doc_id", n.alias("chars")).join(members, "doc_id", "left").withColumn("has_copy", F.col("cid").isNotNull())
-    out = out.withColumn("cid", F.coalesce("cid", "doc_id")).join(covered, "cid", "left")
+    out = shuffled_join(rows.select("doc_id", n.alias("chars")), members, "doc_id", "left").withColumn("has_copy", F.col("cid").isNotNull())
+    out = shuffled_join(out.withColumn("cid", F.coalesce("cid", "doc_id")), covered, "cid", "left")
     shared = F.when(F.col("has_copy"), F.col("chars")).otherwise(F.coalesce("n", F.lit(0)))
     return out.select("doc_id", "chars", shared.alias("shared_chars"), F.when(F.col("chars") > 0, shared / F.col("chars")).otherwise(0.0).alias("share"))
 

@@ -290,3 +290,19 @@ def test_key_filter(spark):
     assert keyfilter.may_hold(held, keys, bits).all()
     assert keyfilter.may_hold(held, np.random.default_rng(2).integers(-(2**62), 2**62, 100_000), bits).mean() < 0.01
     assert not keyfilter.may_hold(keyfilter.filter_of(spark.createDataFrame([], "root long"), 16), keys, 16).any()
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Spark takes a table for as large as its compressed files; the tables of p10 that grow must not end in the driver for that."""
+    random.seed(3)
+    same = " ".join(random.choice(VOCAB) for _ in range(90))
+    texts = [" ".join(random.choice(VOCAB) for _ in range(9)) + same for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, _ = shared.shared_spans(df)
+    assert found.count() >= len(texts) * (len(texts) - 1) // 2
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    big, small = spark.range(1000).selectExpr("id", "id * 7 AS x"), spark.range(500)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = shared.salted_join(big, small, ["id"], how, "x")
+        assert joined.count() == {"inner": 500, "left": 1000, "left_semi": 500, "left_anti": 500}[how]
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
