@@ -120,9 +120,11 @@ class Batch:
         return np.add.reduceat(weights[idx], start) / np.sqrt(counts) + weights[-1]
 
 
-def fit(idx: np.ndarray, start: np.ndarray, labels: np.ndarray, l2: float = 1e-6, rounds: int = 120, features: int = FEATURES, trust: float = 1.0, balanced: bool = False) -> np.ndarray:
+def fit(idx: np.ndarray, start: np.ndarray, labels: np.ndarray, l2: float = 1e-6, rounds: int = 120, features: int = FEATURES, trust: float = 1.0, balanced: bool = False, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Logistic regression by full-batch Adam; ``features`` weights and the intercept. Rows are scaled to unit length.
 
+    With ``more``, further features and the row of each, every row counts twice, as it is and with those; labels are for one of both.
+
     ``trust`` below 1 weighs the label 0 less than 1, for labels that miss cases; ``balanced`` weighs a rare label more, by the root of its rarity.
     """
     w = np.zeros(features + 1, np.float32)
@@ -136,14 +138,31 @@ def fit(idx: np.ndarray, start: np.ndarray, labels: np.ndarray, l2: float = 1e-6
     weight = np.where(labels, 1.0, trust).astype(np.float32)
     if balanced:
         weight = np.where(labels, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32) ** 0.5
-    used, idx = np.unique(idx, return_inverse=True)
+    used, idx = np.unique(idx if more is None else np.concatenate((idx, more[0])), return_inverse=True)
+    total = n
+    if more is not None:
+        idx, extra, of = idx[: len(idx) - len(more[0])], idx[len(idx) - len(more[0]) :], more[1]
+        scale2 = (1 / np.sqrt(counts + np.bincount(of, minlength=n))).astype(np.float32)
+        total = 2 * n
+    row = np.repeat(np.arange(n), counts)
+    held, spread = np.empty(len(idx), np.float32), np.empty(len(idx))
     w, m, v = (np.zeros(len(used) + 1, np.float32) for _ in range(3))
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(w[idx], start) * scale + w[-1]
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        plain = np.add.reduceat(np.take(w, idx, out=held, mode="clip"), start)
+        z = plain * scale + w[-1]
+        d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
+        pull, last = d * scale, d.sum()
+        if more is not None:
+            z = (plain + np.bincount(of, w[extra], n).astype(np.float32)) * scale2 + w[-1]
+            d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
+            full = d * scale2
+            pull, last = pull + full, last + d.sum()
         g = np.empty_like(w)
-        g[:-1] = np.bincount(idx, weights=np.repeat(d * scale, counts), minlength=len(used)) + l2 * w[:-1]
-        g[-1] = d.sum()
+        sums = np.bincount(idx, np.take(pull.astype(np.float64), row, out=spread, mode="clip"), len(used))
+        if more is not None:
+            sums += np.bincount(extra, full[of], len(used))
+        g[:-1] = sums + l2 * w[:-1]
+        g[-1] = last
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 - 0.9 * t / rounds)

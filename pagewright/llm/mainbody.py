@@ -5,9 +5,10 @@
    paths are smoothed over the neighbouring containers of the page and fused into one score.
    Containers below a share of the best one are beside the post. Within the others a leaf path goes that
    consists of links, or whose mean length and punctuation are low while its tag sets it apart from the text.
-2. The paths of a bounded sample of pages label lines for a linear classifier (see lineclass). Lines that come
-   back in posts of many hosts, and headings over lines that are beside the post, are labelled so too. The
-   classifier judges what the paths keep, and contents that came without markup, which are one path only.
+2. The paths of all pages label lines for a linear classifier (see lineclass). Lines that come back in posts of
+   many hosts, counted over all pages, and headings over lines that are beside the post, are labelled so too. The
+   classifier is fitted on blocks of pages in tasks; a feature's weight is the mean over its occurrences in all blocks.
+   It judges what the paths keep, and contents that came without markup, which are one path only.
 3. A heading beside the post takes the rest of its container along; a block broken over lines is judged as a whole.
 
 No list of phrases says what stands beside a post. Text that stands in place of a post (error notices, unfilled
@@ -19,12 +20,16 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import grams as G
 from pagewright.llm import lineclass as LC
 from pagewright.llm import pagelines as P
 from pagewright.llm.source import source_of
@@ -32,13 +37,17 @@ from pagewright.plans.runtime import table
 
 #: Share of the best container's score that a container needs, weight of a neighbour in the smoothing, and share of the best path's ratio that a set-apart leaf path needs.
 KEEP, SMOOTH, LEAF = 0.34, 0.1, 0.2
-#: Bound of the sample that the line classifier is fitted on, in pages, and the longest page in it in characters.
-TRAIN_PAGES, TRAIN_CHARS = 2000, 200_000
+#: Pages, and characters, of a block that the line classifier is fitted on at once (a longer page makes a larger block).
+TRAIN_PAGES, BLOCK_CHARS = 2000, 32_000_000
+#: Longest page in a sample in characters.
+TRAIN_CHARS = 200_000
 #: Hosts, and posts, in which a line must come back to count as recurring.
 RECUR = 8
 #: Share of the places of a recurring short line that lie beside the post by their paths, above which all do.
 OFTEN = 0.2
 SEED = 1
+#: Weights are added up as whole multiples of this part, so that the sum does not depend on the order.
+PARTS = 1 << 20
 _APART = frozenset(["span", "small", "time", "button", "label", "address"])
 _HEADINGS = frozenset(["h2", "h3", "h4", "h5", "h6"])
 _CODE = frozenset(["code", "pre"])
@@ -131,47 +140,120 @@ def judge(pages: list[Page], weights: np.ndarray) -> np.ndarray:
     return _whole(pages, paths | ((score > 0) & text))
 
 
-def _recurring(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each line comes back in posts of several hosts, digits aside, and is no part of them: it has three words or
-    more, or stands beside the post by its path in a share ``OFTEN`` of its places; and whether it is a heading that comes back."""
+def _key(text: str) -> str:
+    """A line as it is counted: normalised, digits aside."""
+    return _DIGITS.sub("0", P.normal(text))
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _places(pages: list[Page]) -> Iterator[tuple[int, int | None, int | None, int, int, bool]]:
+    """(key, host, post, beside, n, whether it has three words), hashed: per line of the pages up to ``RECUR`` hosts and posts, one to a row, and in the
+    first row how often its path is beside the post and how often it stands at all. Lines without a letter are left out."""
     hosts: dict[str, set[str]] = defaultdict(set)
     posts: dict[str, set[str]] = defaultdict(set)
     beside: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    keys = [[_DIGITS.sub("0", P.normal(x.text)) for x in p.lines] for p in pages]
-    for p, ks in zip(pages, keys):
+    for p in pages:
         post = max((x.text for x in p.lines), key=len, default="")
-        for k, o in zip(ks, p.out):
-            hosts[k].add(p.site)
-            posts[k].add(post)
+        for x, o in zip(p.lines, p.out):
+            k = _key(x.text)
+            if len(hosts[k]) < RECUR:
+                hosts[k].add(p.site)
+            if len(posts[k]) < RECUR:
+                posts[k].add(post)
             beside[k][0] += o
             beside[k][1] += 1
-    often = {k for k in hosts if len(hosts[k]) >= RECUR and len(posts[k]) >= RECUR and _LETTER.search(k)}
-    apart = {k for k in often if len(k.split()) >= 3 or beside[k][0] >= OFTEN * beside[k][1]}
-    lines = [(x, k) for p, ks in zip(pages, keys) for x, k in zip(p.lines, ks)]
-    return np.array([k in apart and x.tag not in _CODE for x, k in lines], bool), np.array([k in often and x.tag in _HEADINGS for x, k in lines], bool)
+    site, post = lru_cache(None)(_hash), lru_cache(None)(_hash)
+    for k, (out, n) in beside.items():
+        if _LETTER.search(k):
+            h = _hash(k)
+            for i, (a, b) in enumerate(zip_longest(hosts[k], posts[k])):
+                yield h, None if a is None else site(a), None if b is None else post(b), 0 if i else out, 0 if i else n, len(k.split()) >= 3
+
+
+def recurring(ready: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the lines of all pages of ``prepared`` rows that come back in posts of several hosts, digits aside;
+    and whether each is no part of the posts: it has three words or more, or stands beside the post by its path in a share ``OFTEN`` of its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in G.slices(batch, "t"):
+                rows = list(_places(_marked(part)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PLACE.types)], schema=_PLACE)
+
+    at = ready.select("k", "t", "h", "s").mapInArrow(run, "key long, host long, post long, beside long, n long, long boolean")
+    per = at.groupBy("key").agg(F.size(F.collect_set("host")).alias("hosts"), F.size(F.collect_set("post")).alias("posts"), F.sum("beside").alias("beside"), F.sum("n").alias("n"), F.max("long").alias("long"))
+    often = per.filter((F.col("hosts") >= RECUR) & (F.col("posts") >= RECUR)).select("key", (F.col("long") | (F.col("beside") >= OFTEN * F.col("n"))).alias("apart"))
+    got = often.toArrow().sort_by("key")  # 9 bytes a line that recurs
+    return got["key"].to_numpy(), got["apart"].to_numpy()
+
+
+_PLACE = pa.schema([("key", pa.int64()), ("host", pa.int64()), ("post", pa.int64()), ("beside", pa.int64()), ("n", pa.int64()), ("long", pa.bool_())])
 
 
-def fit(pages: list[Page], residue: bool = True, rounds: int = 2) -> np.ndarray:
-    """Weights of the line classifier, from the paths of ``pages``; with ``residue`` it also learns what stands in place of a post."""
+def _marked(rows: pa.RecordBatch | pa.Table) -> list[Page]:
+    """The pages with markup of ``prepared`` rows of HTML source."""
+    return [p for r in rows.select(["k", "t", "h", "s"]).to_pylist() if (p := Page(*r.values(), True)).marked]
+
+
+def _counted(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`recurring` gives, of pages at hand."""
+    hosts: dict[int, set] = defaultdict(set)
+    posts: dict[int, set] = defaultdict(set)
+    sums: dict[int, list] = defaultdict(lambda: [0, 0, False])
+    for k, host, post, out, n, long in _places(pages):
+        hosts[k] |= {host} - {None}
+        posts[k] |= {post} - {None}
+        sums[k] = [sums[k][0] + out, sums[k][1] + n, long]
+    keys = sorted(k for k in sums if len(hosts[k]) >= RECUR and len(posts[k]) >= RECUR)
+    return np.array(keys, np.int64), np.array([sums[k][2] or sums[k][0] >= OFTEN * sums[k][1] for k in keys], bool)
+
+
+def _recurring(pages: list[Page], often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line recurs and is no part of the posts; and whether it is a heading that recurs."""
+    keys, apart = often
+    if not len(keys):
+        none = np.zeros(sum(len(p.lines) for p in pages), bool)
+        return none, none
+    lines = [x for p in pages for x in p.lines]
+    h = np.array([_hash(_key(x.text)) for x in lines], np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    known = keys[at] == h
+    return known & apart[at] & np.array([x.tag not in _CODE for x in lines], bool), known & np.array([x.tag in _HEADINGS for x in lines], bool)
+
+
+def fit(pages: list[Page], residue: bool = True, rounds: int = 2, often: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights of the line classifier, from the paths of ``pages``; with ``residue`` it also learns what stands in place of a post.
+    ``often`` holds the lines that recur, if they were counted over more than these pages."""
+    return _fitted(pages, residue, rounds, often)[0]
+
+
+def _fitted(pages: list[Page], residue: bool = True, rounds: int = 2, often: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The weights, and the occurrences of each feature; the last is that of the intercept, the lines."""
     pages = [p for p in pages if p.marked]
     if not pages:
-        return LC.fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+        return LC.fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)), np.zeros(LC.FEATURES + 1, np.int64)
     lines = [x for p in pages for x in p.lines]
     batch = _features(pages)
-    recurs, heading = _recurring(pages)
+    recurs, heading = _recurring(pages, often or _counted(pages))
     y = np.fromiter((o for p in pages for o in p.out), bool, len(lines)) | recurs
     bad = np.array([x.tag not in _CODE and P.is_residue(P.normal(x.text)) for x in lines], bool)
     y = y | bad if residue else y & ~bad
     (i1, s1), (i2, s2) = batch.plain, batch.full
-    idx, start = np.concatenate((i1, i2)), np.concatenate((s1, s2 + len(i1)))
+    # a line's features with markup are those without it and then the rest
+    line = np.repeat(np.arange(len(lines)), np.diff(np.append(s2, len(i2))))
+    rest = np.arange(len(i2)) - s2[line] >= np.diff(np.append(s1, len(i1)))[line]
+    more = i2[rest], line[rest]
     last = np.append(batch.page[1:] != batch.page[:-1], True)
     for k in range(rounds + 1):
-        w = LC.fit(idx, start, np.concatenate((y, y)), rounds=80, trust=0.6)
+        w = LC.fit(i1, s1, y, rounds=80, trust=0.6, more=more)
         if k < rounds:  # labels that the paths alone could not give
             sure = y | ((batch.scores(w, True) > 0) & (batch.scores(w, False) > 0))
             follows = np.append(sure[1:], False) & ~last
             y = _whole(pages, y | (heading & follows))
-    return w
+    return w, np.append(np.bincount(i1, minlength=LC.FEATURES) + np.bincount(i2, minlength=LC.FEATURES), 2 * len(lines))
 
 
 def site_name(source: Column) -> Column:
@@ -194,10 +276,30 @@ def sample(ready: DataFrame, bound: int, seed: int = SEED) -> DataFrame:
     return ready.filter(h <= worst) if worst is not None else ready.limit(0)
 
 
-def train(ready: DataFrame, residue: bool = True, bound: int = TRAIN_PAGES) -> np.ndarray:
-    """Weights fitted on a sample of at most ``bound`` pages of ``prepared`` rows of HTML source."""
-    got = sample(ready, bound).toArrow().sort_by("k")  # `bound` pages of at most TRAIN_CHARS characters
-    return fit([Page(*r.values(), True) for r in got.select(["k", "t", "h", "s"]).to_pylist()], residue)
+def train(ready: DataFrame, residue: bool = True) -> np.ndarray:
+    """Weights fitted on all ``prepared`` rows of HTML source, block by block: a feature's is the mean over its occurrences.
+    Blocks are made by the hash of k, so the weights don't depend on how the table is split; one block alone is fitted as it is."""
+    size = ready.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // TRAIN_PAGES), -(-size.chars // BLOCK_CHARS))
+    often = ready.sparkSession.sparkContext.broadcast(recurring(ready))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = list(batches)
+        if block:
+            rows = pa.Table.from_batches(block).sort_by([("k", "ascending"), ("t", "ascending")])
+            w, n = _fitted(_marked(rows), residue, often=often.value)
+            used = np.flatnonzero(n)
+            whole = np.rint(w[used].astype(np.float64) * n[used] * PARTS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(whole), pa.array(n[used])], names=["f", "w", "n"])
+
+    block = F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(blocks)).cast("int")
+    per = ready.select("k", "t", "h", "s").repartitionById(blocks, block).mapInArrow(run, "f long, w long, n long")  # a block is a partition
+    got = per.groupBy("f").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toArrow()  # as many rows as there are features
+    out = fit([])
+    if got.num_rows:
+        out[:] = 0
+        out[got["f"].to_numpy()] = got["w"].to_numpy() / PARTS / got["n"].to_numpy()
+    return out
 
 
 #: Pages that are judged together.

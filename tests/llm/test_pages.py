@@ -205,3 +205,45 @@ def test_phrases_are_no_features():
     idx, start = blocks.features()
     assert len(start) == 1 and len(idx) == 40 + 39 + 38 + 5  # words, pairs, triples; first word twice, last word, slot and headline
     assert pagelines.is_filler("welcome to lorem ipsum dolor sit amet")
+
+
+def many_pages(spark, n):
+    """Pages with a word of their own each, one of them long, and a line of nine hosts only."""
+    r = random.Random(4)
+    names = ["".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for i, name in enumerate(names):
+        body = sentence(r) * (3000 if i == 0 else 3)
+        side = "the ninefold notice of friends" if i % (n // 9) == 1 else sentence(r)
+        rows.append((i, f"<div class='m'><h1>{sentence(r)}</h1>\n<p>{body} {name}.</p>\n<p>{side}</p></div>\n<div class='f'><a href='/'>home</a>\n<a href='/x'>tags</a></div>", sentence(r), f"h{i}.example", None))
+    return spark.createDataFrame(rows, "page_id long, html_content string, title string, domain string, url string"), names
+
+
+def test_training_reads_every_page(spark, monkeypatch):
+    df, names = many_pages(spark, 2100)
+    ready = mainbody.prepared(df, "page_id", "html_content", "title")
+    assert df.selectExpr("max(length(html_content))").first()[0] > mainbody.TRAIN_CHARS
+    w = mainbody.train(ready)
+    h, doc, _ = mainbody.LC.word_lists(names)
+    assert len(h) == len(names) and (w[mainbody.LC._fold(h, "one")] != 0).all()
+    monkeypatch.setattr(mainbody, "TRAIN_PAGES", 300)
+    blocks = mainbody.train(ready)
+    assert (blocks[mainbody.LC._fold(h, "one")] != 0).all()
+    assert np.array_equal(blocks, mainbody.train(ready.repartition(7))), "the weights don't depend on how the table is split"
+
+
+def test_recurring_lines_are_counted_over_all_pages(spark):
+    df, _ = many_pages(spark, 2100)
+    ready = mainbody.prepared(df, "page_id", "html_content", "title")
+    keys, apart = mainbody.recurring(ready.repartition(5))
+    want = mainbody._counted([mainbody.Page(r.k, r.t, r.h, r.s, True) for r in ready.collect()])
+    assert np.array_equal(keys, want[0]) and np.array_equal(apart, want[1])
+    assert mainbody._hash("the ninefold notice of friends") in keys
+    assert len(mainbody.recurring(ready.limit(0))[0]) == 0
+
+
+def test_one_block_is_fitted_as_it_is(spark):
+    df, _ = many_pages(spark, 90)
+    ready = mainbody.prepared(df, "page_id", "html_content", "title")
+    pages = [mainbody.Page(r.k, r.t, r.h, r.s, True) for r in ready.orderBy("k").collect()]
+    assert np.allclose(mainbody.train(ready), mainbody.fit(pages), atol=1e-5)
