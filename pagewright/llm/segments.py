@@ -39,6 +39,8 @@ SHAPE = Shape(112, 4)
 WORDS = 8
 #: Texts that a task packs together, places of a segment among them above which it is hot, and segments that a bucket should hold.
 CHUNK, HOT, BUCKET = 16_384, 64, 1_000_000
+#: N-grams that are drawn from at once; a longer text is drawn from alone.
+DRAWN = 32_768
 _SEEDS = G.mix(np.arange(1, SHAPE.symbols + 1, dtype=np.uint64)) | np.uint64(1)
 U = np.uint64
 #: A packed text: number, size, clustering symbol, bitmap.
@@ -48,15 +50,22 @@ RECORD = np.dtype([("cid", "<i8"), ("n", "<i4"), ("near", "<u4"), ("bits", "<u8"
 def draw(g: np.ndarray, doc: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segments, symbols, near) of each text, in order of appearance: 32-bit hashes of the segments, the symbols cut to a byte, and one symbol of 32 bits to order texts by."""
     start, _ = G.spans(doc)
-    held = np.empty_like(g)
-    segs, symbols, near = np.zeros((shape.segments, len(start)), U), np.zeros((shape.symbols, len(start)), np.uint8), None
-    for j, seed in enumerate(_SEEDS[: shape.symbols]):
-        np.multiply(g, seed, out=held)  # n-grams are uniform hashes already: an odd factor permutes them
-        least = G.mix(np.minimum.reduceat(held, start))
-        symbols[j] = (least >> U(8)).astype(np.uint8)
-        segs[j // shape.length] = G.mix(segs[j // shape.length] + least)
-        if j == 0:
-            near = (G.mix(least) >> U(32)).astype(np.uint32)
+    n, end = len(start), np.append(start[1:], len(g))
+    segs, symbols, near = np.zeros((shape.segments, n), U), np.zeros((shape.symbols, n), np.uint8), np.zeros(n, np.uint32)
+    a = 0
+    while a < n:  # some texts at a time, whose n-grams stay in the cache over all draws
+        z = max(a + 1, min(a + DRAWN // 16, int(np.searchsorted(end, start[a] + DRAWN, side="right"))))
+        part, at = g[start[a] : end[z - 1]], start[a:z] - start[a]
+        held, least = np.empty_like(part), np.empty((shape.symbols, z - a), U)
+        for j, seed in enumerate(_SEEDS[: shape.symbols]):
+            np.multiply(part, seed, out=held)  # n-grams are uniform hashes already: an odd factor permutes them
+            np.minimum.reduceat(held, at, out=least[j])
+        least = G.mix(least)
+        symbols[:, a:z] = (least >> U(8)).astype(np.uint8)
+        for k in range(shape.length):
+            segs[:, a:z] = G.mix(segs[:, a:z] + least[k :: shape.length])
+        near[a:z] = (G.mix(least[0]) >> U(32)).astype(np.uint32)
+        a = z
     return np.ascontiguousarray((segs.T >> U(32)).astype(np.uint32)), np.ascontiguousarray(symbols.T), near
 
 
@@ -137,15 +146,17 @@ def packed(sigs: DataFrame, buckets: int, shape: Shape) -> DataFrame:
         order = np.argsort(cid, kind="stable")
         cid, segs = np.repeat(cid[order], shape.segments), segs[order]
         full = G.mix(((np.arange(shape.segments, dtype=U) << U(32))[None, :] | segs.astype(U)).reshape(-1))
-        bucket = ((full >> U(32)) % U(buckets)).astype(np.int64)
-        _, first, inverse, count = np.unique(full, return_index=True, return_inverse=True, return_counts=True)
-        hot = count[inverse] > HOT
-        name = np.zeros(len(full), bool)
-        name[first] = hot[first]
+        bucket = ((full >> U(32)) % U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers are sorted by radix
+        order = np.argsort(full)
+        start = np.flatnonzero(np.concatenate(([True], full[order[1:]] != full[order[:-1]])))
+        count = np.diff(np.append(start, len(full)))
+        hot, name = np.zeros(len(full), bool), np.zeros(len(full), bool)
+        hot[order] = np.repeat(count > HOT, count)
+        name[np.minimum.reduceat(order, start)[count > HOT]] = True
         out: dict[str, list] = {"bucket": [], "kind": [], "roots": [], "cids": []}
         for kind, rows in ((PLACES, np.flatnonzero(~hot)), (NAMES, np.flatnonzero(name)), (HOT_PLACES, np.flatnonzero(hot))):
             at = rows[np.argsort(bucket[rows], kind="stable")]
-            cut = np.flatnonzero(np.diff(bucket[at], prepend=-1))
+            cut = np.flatnonzero(np.diff(bucket[at].astype(np.int64), prepend=-1))
             for a, z in zip(cut, np.append(cut[1:], len(at))):
                 part = at[a:z]
                 out["bucket"].append(int(bucket[part[0]]))

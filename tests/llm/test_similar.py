@@ -306,3 +306,25 @@ def test_growing_sides_are_not_broadcast(spark):
         joined = shared.salted_join(big, small, ["id"], how, "x")
         assert joined.count() == {"inner": 500, "left": 1000, "left_semi": 500, "left_anti": 500}[how]
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_stay_in_small_blocks(monkeypatch):
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    counts = r.integers(1, 4000, 1000)
+    doc, g = np.repeat(np.arange(1000), counts), grams.mix(np.arange(counts.sum(), dtype=np.uint64)) >> np.uint64(20)
+    shape = segments.Shape(4, 2)
+    tracemalloc.start()
+    got = segments.draw(g, doc, shape)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < g.nbytes, "no array of all n-grams is made for the draws"
+    start = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    for j in range(shape.symbols):
+        least = grams.mix(np.minimum.reduceat(g * segments._SEEDS[j], start))
+        assert np.array_equal(got[1][:, j], (least >> np.uint64(8)).astype(np.uint8))
+    for block in (16, 1000, 1 << 30):
+        monkeypatch.setattr(segments, "DRAWN", block)
+        assert all(np.array_equal(a, b) for a, b in zip(got, segments.draw(g, doc, shape)))
+    assert [len(x) for x in segments.draw(g[:0], doc[:0], shape)] == [0, 0, 0]
